@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, jaccard
 
 
 def queries():
     return {
         "op3_byte_bpe": bpe.op3_query,
         "op5_exact_dedup": exact_dedup.op5_query,
+        "op10_jaccard_join": jaccard.op10_query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -18,4 +19,5 @@ def queries():
 def oracle_sql():
     return {
         "op5_exact_dedup": exact_dedup.OP5_SQL,
+        "op10_jaccard_join": jaccard.OP10_SQL,
     }
