@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, jaccard
+from . import bpe, exact_dedup, jaccard, quality
 
 
 def queries():
     return {
         "op3_byte_bpe": bpe.op3_query,
         "op5_exact_dedup": exact_dedup.op5_query,
+        "op7_quality_rules": quality.op7_query,
         "op10_jaccard_join": jaccard.op10_query,
         "pipeline": corpus_pipeline.run,
     }
