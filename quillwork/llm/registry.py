@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, jaccard, quality
+from . import bpe, exact_dedup, jaccard, langid, quality
 
 
 def queries():
@@ -12,6 +12,8 @@ def queries():
         "op3_byte_bpe": bpe.op3_query,
         "op5_exact_dedup": exact_dedup.op5_query,
         "op7_quality_rules": quality.op7_query,
+        "op9_language_id": langid.op9_query,
+        "language_id_pages": langid.pages_query,
         "op10_jaccard_join": jaccard.op10_query,
         "pipeline": corpus_pipeline.run,
     }
