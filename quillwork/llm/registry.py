@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, jaccard, langid, quality
+from . import bpe, exact_dedup, jaccard, langid, line_dedup, quality, sharding
 
 
 def queries():
     return {
+        "op2_line_dedup": line_dedup.op2_query,
         "op3_byte_bpe": bpe.op3_query,
         "op5_exact_dedup": exact_dedup.op5_query,
         "op7_quality_rules": quality.op7_query,
+        "op8_kd_sharding": sharding.op8_query,
         "op9_language_id": langid.op9_query,
         "language_id_pages": langid.pages_query,
         "op10_jaccard_join": jaccard.op10_query,
@@ -21,6 +23,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op2_line_dedup": line_dedup.OP2_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
         "op10_jaccard_join": jaccard.OP10_SQL,
     }
