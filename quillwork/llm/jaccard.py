@@ -20,7 +20,8 @@ broadcast; a token beyond that bound counts as rare, which costs time only.
 
 Candidates are checked in two rounds against whole sets: first each node against
 the one it shares most index entries with, then all candidates that still lie in
-different components.
+different components. A bitmap of a few bits a token rules out most pairs before
+their sets are fetched; it proves what it rules out.
 """
 
 from __future__ import annotations
@@ -201,35 +202,63 @@ def _groups_in_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     )
 
 
-def _sets_task(shingle: int):
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """One bit for each token's hash, four bits a token at least; the length is a power of two."""
+    size = max(64, 1 << (4 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = 1
+    return len(tokens).to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    return bits if len(bits) == size else np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+
+def _may_reach(a: bytes, b: bytes, percent: int) -> bool:
+    """False only if the bits prove that the sets have too little in common.
+
+    A bit that is set for one set alone stands for a token of that set alone.
+    """
+    n, m = int.from_bytes(a[:8], "little"), int.from_bytes(b[:8], "little")
+    x, y = np.frombuffer(a, np.uint8, offset=8), np.frombuffer(b, np.uint8, offset=8)
+    size = min(len(x), len(y))
+    x, y = _folded(x, size), _folded(y, size)
+    common = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return 100 * common >= percent * (n + m - common)
+
+
+def _reach(a: bytes, b: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = np.sort(np.concatenate([x, y]))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _sets_task(shingle: int, pack):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in slices(batch, 0):
                 sets = Words(texts).shingle_sets(shingle)
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([pack(s) for s in sets], pa.binary())], ["node", "packed"])
 
     return task
 
 
-def _compare_task(percent: int):
-    """Rows come sorted: a node's own set first, then the sets it is to be compared with."""
+def _compare_task(percent: int, reach):
+    """Rows come sorted: a node's own packed set first, then those it is to be compared with."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, own = None, None
         for batch in batches:
-            a, b, raw = (batch.column(i) for i in range(3))
             left, right = [], []
-            for i in range(batch.num_rows):
-                other = np.frombuffer(raw[i].as_py(), np.uint64)
-                if b[i].as_py() is None:
-                    current, own = a[i].as_py(), other
-                    continue
-                if a[i].as_py() != current:
+            for a, b, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if b is None:
+                    current, own = a, packed.as_py()
+                elif a != current:
                     raise ValueError("a set to compare with is missing")
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * common >= percent * (len(own) + len(other) - common):
-                    left.append(current)
-                    right.append(b[i].as_py())
+                elif reach(own, packed.as_py(), percent):
+                    left.append(a)
+                    right.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return task
@@ -238,7 +267,7 @@ def _compare_task(percent: int):
 class JaccardJoin:
     """Links between documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more."""
 
-    def __init__(self, spark: SparkSession, shingle: int = 5, percent: int = 75, frequent: int = 100, most_frequent: int = 1_000_000):
+    def __init__(self, spark: SparkSession, shingle: int = 5, percent: int = 75, frequent: int = 20, most_frequent: int = 1_000_000):
         if not 75 <= percent <= 100:
             raise ValueError("the combination prefixes are proved for thresholds from 0.75 to 1")
         self.spark, self.shingle, self.percent = spark, shingle, percent
@@ -255,16 +284,31 @@ class JaccardJoin:
         top = counts.orderBy(F.desc("df"), "code").limit(self.most_frequent).select("code").toArrow()
         return np.sort(top["code"].to_numpy())
 
-    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs ``(a, b)`` that reach the threshold; a node with many partners is dealt out by parts."""
+    def _compared(self, pairs: DataFrame, packed: DataFrame, reach) -> DataFrame:
+        """The pairs ``(a, b)`` that pass; a node with many partners is dealt out by parts."""
         degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
         dealt = written(
             pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / 500)).alias("part")), "pairs"
         )
-        other = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "b", "tokens", "part")
-        own = dealt.select("a", "part").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "tokens", "part")
+        other = dealt.join(packed.withColumnRenamed("node", "b"), "b").select("a", "b", "packed", "part")
+        own = dealt.select("a", "part").distinct().join(packed.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "packed", "part")
         rows = own.unionByName(other).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-        return written(rows.select("a", "b", "tokens").mapInArrow(_compare_task(self.percent), "a long, b long"), "links")
+        return written(rows.select("a", "b", "packed").mapInArrow(_compare_task(self.percent, reach), "a long, b long"), "passed")
+
+    def _packed(self, texts: DataFrame, by_node: DataFrame, nodes: DataFrame, pack, name: str) -> DataFrame:
+        """``node, packed`` for the given nodes, from the whole text of one document of each."""
+        members = written(nodes.join(by_node, "node").select("node", "rank"), "members")
+        chosen = join_small(texts.withColumn("rank", rank_id()), members.select("rank").distinct(), "rank", members.count())
+        return written(
+            chosen.select("text").mapInArrow(_sets_task(self.shingle, pack), "node long, packed binary").join(members.select("node"), "node", "left_semi").dropDuplicates(["node"]),
+            name,
+        )
+
+    def links(self, pairs: DataFrame, bitmaps: DataFrame, texts: DataFrame, by_node: DataFrame) -> DataFrame:
+        """The pairs that reach the threshold: bitmaps rule out most others, whole sets decide the rest."""
+        likely = self._compared(pairs, bitmaps, _may_reach)
+        nodes = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+        return self._compared(likely, self._packed(texts, by_node, nodes, np.ndarray.tobytes, "sets"), _reach)
 
     def classes(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``doc_id, n_shingles, component_id`` for each input row.
@@ -299,14 +343,8 @@ class JaccardJoin:
             star.groupBy("node").agg(F.max(F.struct("shared", "rep")).alias("best")).select(F.col("best.rep").alias("a"), F.col("node").alias("b")), "star"
         )
         if not groups.isEmpty():
-            members = written(groups.select("node").distinct().join(by_node, "node").select("node", "rank"), "members")
-            ranks = members.select("rank").distinct()
-            sets = written(
-                join_small(texts.withColumn("rank", rank_id()), ranks, "rank", members.count()).select("text")
-                .mapInArrow(_sets_task(self.shingle), "node long, tokens binary").join(members.select("node"), "node", "left_semi").dropDuplicates(["node"]),
-                "sets",
-            )
-            links = self.links(star, sets)
+            bitmaps = self._packed(texts, by_node, groups.select("node").distinct(), _bitmap, "bitmaps")
+            links = self.links(star, bitmaps, texts, by_node)
             comps = components(links)
             label = groups.select("gid", "node", "n")
             if comps is not None:
@@ -322,7 +360,7 @@ class JaccardJoin:
                 .select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
             )
             done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            more = self.links(written(pairs.join(done, ["a", "b"], "left_anti"), "cross"), sets)
+            more = self.links(written(pairs.join(done, ["a", "b"], "left_anti"), "cross"), bitmaps, texts, by_node)
             comps = components(links.unionByName(more))
         if comps is None:
             least = by_node.select("node", F.col("least").alias("component_id"))
