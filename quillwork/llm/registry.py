@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, jaccard, langid, line_dedup, quality, sharding
+from . import bpe, exact_dedup, html_text, jaccard, langid, line_dedup, mixing, quality, sharding
 
 
 def queries():
     return {
         "op2_line_dedup": line_dedup.op2_query,
         "op3_byte_bpe": bpe.op3_query,
+        "op4_mixing": mixing.op4_query,
         "op5_exact_dedup": exact_dedup.op5_query,
+        "op6_html_text": html_text.op6_query,
         "op7_quality_rules": quality.op7_query,
         "op8_kd_sharding": sharding.op8_query,
         "op9_language_id": langid.op9_query,
