@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, html_text, jaccard, langid, line_dedup, mixing, quality, sharding
+from . import bpe, exact_dedup, html_text, jaccard, langid, line_dedup, mixing, quality, sharding, substring_dedup
 
 
 def queries():
     return {
+        "op1_substring_dedup": substring_dedup.op1_query,
         "op2_line_dedup": line_dedup.op2_query,
         "op3_byte_bpe": bpe.op3_query,
         "op4_mixing": mixing.op4_query,
