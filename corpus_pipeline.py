@@ -1,8 +1,68 @@
-"""A pipeline over ``documents``."""
+"""A pipeline over ``documents``: language, exact copies, near copies, mixing, tokens.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)``; what it returns is written as Parquet
+and read again for the next. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+import pyspark.sql.functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from quillwork.llm import bpe, exact_dedup, jaccard, langid, mixing
+from quillwork.llm.shared import written
+
+
+def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the ids in ``gone``: up to two million of them are broadcast, more are shuffled.
+
+    Rows without an id cannot be named and stay.
+    """
+    ids = written(gone.where("doc_id is not null").select("doc_id").distinct(), name)
+    return docs.join(F.broadcast(ids) if ids.count() <= 2_000_000 else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is beyond doubt; texts without letters go."""
+    return _without(docs, langid.of_documents(docs).where(~F.col("kept")), "no-language")
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id."""
+    return _without(docs, exact_dedup.DigestIndex(spark).absorb(docs).where(~F.col("kept")), "copies")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the one with the smallest id."""
+    return _without(docs, jaccard.JaccardJoin(spark).classes(docs).where(F.col("doc_id") != F.col("component_id")), "near-copies")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by the rates that bring the domains to their target weights."""
+    rated = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, rated.where(~mixing.drawn(rated)), "not-drawn")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing sources to target weights", mixed),
+    ("byte-level BPE encoding and decoding", tokens),
+]
+
+#: Language ID and mixing rest on models that SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
