@@ -113,15 +113,16 @@ def _index_task(shingle: int, threshold: float, buckets: int, frequent):
         need = -int(-threshold * n // 1)
         singles = rare[: n - need + 1]
         extended = min(n, int(np.ceil(n - (n + need) * (3 * threshold / (1 + threshold) - 1))) + 3)
-        common = common[: max(0, extended - len(rare))]
+        # All common tokens of a pair found by combinations are frequent, so there must be enough of them.
+        common = common[: max(0, extended - len(rare))] if len(common) >= need else common[:0]
         return np.concatenate([singles, mix(common[:-1] * np.uint64(0x9E3779B97F4A7C15) + common[1:])])
 
-    def flush(keys, nodes, sizes):
+    def flush(keys, nodes, sizes, rares):
         which = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(k) for k in keys])
-        keys, nodes, sizes = np.concatenate(keys), np.array(nodes, np.int64), np.array(sizes, np.uint32)
+        keys, nodes, sizes, rares = np.concatenate(keys), np.array(nodes, np.int64), np.array(sizes, np.uint32), np.array(rares, np.uint32)
         parts = _parts(keys, buckets)
         high = (keys >> np.uint64(32)).astype(np.uint32)
-        out = {"bucket": [], "tokens": [], "which": [], "nodes": [], "sizes": []}
+        out = {"bucket": [], "tokens": [], "which": [], "nodes": [], "sizes": [], "rares": []}
         for b, rows in parts:
             used, index = np.unique(which[rows], return_inverse=True)
             out["bucket"].append(b)
@@ -129,18 +130,19 @@ def _index_task(shingle: int, threshold: float, buckets: int, frequent):
             out["which"].append(planes(index.astype(np.uint16 if len(used) < 65536 else np.uint32)))
             out["nodes"].append(nodes[used].tobytes())
             out["sizes"].append(planes(sizes[used]))
+            out["rares"].append(planes(rares[used]))
         return out
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
-        keys, nodes, sizes, seen, size = [], [], [], set(), 0
+        keys, nodes, sizes, rares, seen, size = [], [], [], [], set(), 0
 
         def rows(ids, own_nodes, own_sizes, packs):
             n, m = len(ids), len(packs["bucket"]) if packs else 0
-            packs = packs or {k: [] for k in ("bucket", "tokens", "which", "nodes", "sizes")}
+            packs = packs or {k: [] for k in ("bucket", "tokens", "which", "nodes", "sizes", "rares")}
             columns = [pa.array([*ids, *[None] * m], pa.int64()), pa.array([*own_nodes, *[None] * m], pa.int64()), pa.array([*own_sizes, *[None] * m], pa.int64())]
-            columns += [pa.array([*[None] * n, *packs[k]], kind) for k, kind in (("bucket", pa.int32()), ("tokens", pa.binary()), ("which", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n_shingles", "bucket", "tokens", "which", "nodes", "sizes"])
+            columns += [pa.array([*[None] * n, *packs[k]], kind) for k, kind in (("bucket", pa.int32()), ("tokens", pa.binary()), ("which", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("rares", pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n_shingles", "bucket", "tokens", "which", "nodes", "sizes", "rares"])
 
         for batch in batches:
             ids, own_nodes, own_sizes = batch.column(0).to_pylist(), [], []
@@ -161,43 +163,50 @@ def _index_task(shingle: int, threshold: float, buckets: int, frequent):
                         keys.append(keys_of(tokens, is_often[start:end]))
                         nodes.append(node)
                         sizes.append(len(tokens))
+                        rares.append(len(tokens) - int(is_often[start:end].sum()))
                         size += len(keys[-1])
             packs = None
             if size > GATHER:
-                packs = flush(keys, nodes, sizes)
-                keys, nodes, sizes, seen, size = [], [], [], set(), 0
+                packs = flush(keys, nodes, sizes, rares)
+                keys, nodes, sizes, rares, seen, size = [], [], [], [], set(), 0
             yield rows(ids, own_nodes, own_sizes, packs)
         if size:
-            yield rows([], [], [], flush(keys, nodes, sizes))
+            yield rows([], [], [], flush(keys, nodes, sizes, rares))
 
     return task
 
 
 def _groups_in_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Index entries that two nodes or more share, each with the smallest of the nodes."""
-    tokens, nodes, sizes = [], [], []
-    for row in table.select(["tokens", "which", "nodes", "sizes"]).to_pylist():
+    """Index entries that two nodes or more share, each with the hub among them.
+
+    The hub is the node with the fewest rare tokens: what near copies were copied
+    from has hardly a token of its own.
+    """
+    tokens, nodes, sizes, rares = [], [], [], []
+    for row in table.select(["tokens", "which", "nodes", "sizes", "rares"]).to_pylist():
         token, own = from_planes(row["tokens"], np.uint32), np.frombuffer(row["nodes"], np.int64)
         which = from_planes(row["which"], np.uint16 if len(own) < 65536 else np.uint32)
         tokens.append(token)
         nodes.append(own[which])
         sizes.append(from_planes(row["sizes"], np.uint32)[which])
-    token, node, size = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
-    order = np.lexsort((node, token))
+        rares.append(from_planes(row["rares"], np.uint32)[which])
+    token, node, size, rare = (np.concatenate(x) for x in (tokens, nodes, sizes, rares))
+    order = np.lexsort((node, rare, token))
     token, node, size = token[order], node[order], size[order]
+    # Equal nodes have equal counts of rare tokens and stand side by side.
     new = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
     token, node, size = token[new], node[new], size[new]
     at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
     length = np.diff(np.concatenate([at, [len(token)]]))
     keep = np.repeat(length > 1, length)
-    rep = np.repeat(at, length)[keep]
+    hub = np.repeat(at, length)[keep]
     return pa.table(
         {
             "gid": pa.array((token[keep].astype(np.int64) << 20) | key[0].as_py(), pa.int64()),
             "node": pa.array(node[keep], pa.int64()),
             "n": pa.array(size[keep].astype(np.int64), pa.int64()),
-            "rep": pa.array(node[rep], pa.int64()),
-            "rep_n": pa.array(size[rep].astype(np.int64), pa.int64()),
+            "rep": pa.array(node[hub], pa.int64()),
+            "rep_n": pa.array(size[hub].astype(np.int64), pa.int64()),
         }
     )
 
@@ -264,6 +273,56 @@ def _compare_task(percent: int, reach):
     return task
 
 
+def _bits(packed: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of sets and their bitmaps, folded to ``size`` bytes, as rows of 64-bit words."""
+    rows = np.stack([_folded(np.frombuffer(x, np.uint8, offset=8), size) for x in packed])
+    return np.array([int.from_bytes(x[:8], "little") for x in packed]), rows.view(np.uint64)
+
+
+def _family_task(percent: int):
+    """Pairs of two blocks of a family, from different components, that their bitmaps do not rule out."""
+
+    def reduce(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("block", "comp", "node", "packed")), strict=True))
+        first, second = key[1].as_py(), key[2].as_py()
+        left, right = [], []
+        by_size: dict[int, list] = {}
+        for row in rows:
+            by_size.setdefault(len(row[3]), []).append(row)
+        for small in sorted(by_size):
+            for large in sorted(by_size):
+                if small > large:
+                    continue
+                a = [r for r in by_size[small] if small != large or r[0] == first]
+                b = [r for r in by_size[large] if small != large or r[0] == second]
+                if not a or not b:
+                    continue
+                (n, x), (m, y) = _bits([r[3] for r in a], small - 8), _bits([r[3] for r in b], small - 8)
+                px, py = np.bitwise_count(x).sum(1, dtype=np.int64), np.bitwise_count(y).sum(1, dtype=np.int64)
+                ca, cb = np.array([r[1] for r in a]), np.array([r[1] for r in b])
+                na, nb = np.array([r[2] for r in a]), np.array([r[2] for r in b])
+                for i in range(len(a)):
+                    # Each pair once: within a block, or between sizes, it turns up twice.
+                    j = np.flatnonzero((cb != ca[i]) & ((na[i] < nb) if small == large and first == second else True))
+                    if not len(j):
+                        continue
+                    both = np.bitwise_count(y[j] & x[i]).sum(1, dtype=np.int64)
+                    common = np.minimum(n[i] - (px[i] - both), m[j] - (py[j] - both))
+                    j = j[100 * common >= percent * (n[i] + m[j] - common)]
+                    left.append(np.minimum(na[i], nb[j]))
+                    right.append(np.maximum(na[i], nb[j]))
+        join = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(join(left), pa.int64()), "b": pa.array(join(right), pa.int64())})
+
+    return reduce
+
+
+#: Nodes that share an index entry: from this many on, pairs are not listed for each entry but found once for all entries with one hub.
+FAMILY = 32
+#: Nodes of a family that one task compares with as many others.
+BLOCK = 2000
+
+
 class JaccardJoin:
     """Links between documents whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more."""
 
@@ -304,12 +363,31 @@ class JaccardJoin:
             name,
         )
 
-    def links(self, pairs: DataFrame, bitmaps: DataFrame, texts: DataFrame, by_node: DataFrame) -> DataFrame:
-        """The pairs that reach the threshold: bitmaps rule out most others, whole sets decide the rest."""
-        likely = self._compared(pairs, bitmaps, _may_reach)
+    def links(self, likely: DataFrame, texts: DataFrame, by_node: DataFrame) -> DataFrame:
+        """The pairs that reach the threshold, by whole sets."""
         nodes = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
         return self._compared(likely, self._packed(texts, by_node, nodes, np.ndarray.tobytes, "sets"), _reach)
 
+    def _across(self, label: DataFrame, bitmaps: DataFrame, near) -> DataFrame:
+        """Candidates ``(a, b)`` that share an index entry and lie in different components."""
+        mixed = label.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("gid", "m")
+        open_ = written(label.join(mixed, "gid"), "open")
+        x, y = (open_.where(F.col("m") < FAMILY).select("gid", *(F.col(c).alias(f"{c}{i}") for c in ("node", "n", "comp"))) for i in "xy")
+        pairs = (
+            x.join(y, "gid").where("compx < compy").where(near(F.col("nx"), F.col("ny")))
+            .select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
+        )
+        small = self._compared(written(pairs, "cross"), bitmaps, _may_reach)
+        members = written(open_.where(F.col("m") >= FAMILY).select("rep", "node", "comp").distinct(), "families")
+        blocks = members.groupBy("rep").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = (
+            members.join(blocks, "rep").join(bitmaps, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("rep", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "comp", "node", "packed")
+        )
+        large = dealt.groupBy("rep", "first", "second").applyInArrow(_family_task(self.percent), "a long, b long")
+        return written(small.unionByName(large).distinct(), "likely")
+
     def classes(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``doc_id, n_shingles, component_id`` for each input row.
 
@@ -325,13 +403,13 @@ class JaccardJoin:
         index = written(
             texts.mapInArrow(
                 _index_task(self.shingle, t, self.buckets, often),
-                "doc_id long, node long, n_shingles long, bucket int, tokens binary, which binary, nodes binary, sizes binary",
+                "doc_id long, node long, n_shingles long, bucket int, tokens binary, which binary, nodes binary, sizes binary, rares binary",
             ),
             "index",
         )
         rows = index.where("bucket is null").select("doc_id", "node", "n_shingles")
         groups = written(
-            index.where("bucket is not null").select("bucket", "tokens", "which", "nodes", "sizes").groupBy("bucket")
+            index.where("bucket is not null").select("bucket", "tokens", "which", "nodes", "sizes", "rares").groupBy("bucket")
             .applyInArrow(_groups_in_bucket, "gid long, node long, n long, rep long, rep_n long"),
             "groups",
         )
@@ -344,23 +422,15 @@ class JaccardJoin:
         )
         if not groups.isEmpty():
             bitmaps = self._packed(texts, by_node, groups.select("node").distinct(), _bitmap, "bitmaps")
-            links = self.links(star, bitmaps, texts, by_node)
+            links = self.links(self._compared(star, bitmaps, _may_reach), texts, by_node)
             comps = components(links)
-            label = groups.select("gid", "node", "n")
+            label = groups.select("gid", "node", "n", "rep")
             if comps is not None:
                 label = label.join(comps, "node", "left")
             else:
                 label = label.withColumn("comp", F.lit(None).cast("long"))
             label = written(label.withColumn("comp", F.coalesce("comp", "node")), "labelled")
-            mixed = label.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
-            open_ = written(label.join(mixed, "gid", "left_semi"), "open")
-            x, y = (open_.select("gid", *(F.col(c).alias(f"{c}{i}") for c in ("node", "n", "comp"))) for i in "xy")
-            pairs = (
-                x.join(y, "gid").where("compx < compy").where(near(F.col("nx"), F.col("ny")))
-                .select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
-            )
-            done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            more = self.links(written(pairs.join(done, ["a", "b"], "left_anti"), "cross"), bitmaps, texts, by_node)
+            more = self.links(self._across(label, bitmaps, near), texts, by_node)
             comps = components(links.unionByName(more))
         if comps is None:
             least = by_node.select("node", F.col("least").alias("component_id"))

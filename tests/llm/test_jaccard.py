@@ -61,6 +61,15 @@ def test_against_brute_force_with_rare_and_frequent_classes(spark):
         assert got == brute(rows), (seed, frequent)
 
 
+def test_families_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FAMILY", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    for seed, frequent in ((5, 2), (6, 100)):
+        rows = corpus(seed)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert sorted(map(tuple, JaccardJoin(spark, frequent=frequent).classes(docs).collect())) == brute(rows), seed
+
+
 def test_empty_table_and_clashing_columns(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, node long, n_shingles string, comp int")
     assert JaccardJoin(spark).classes(docs).collect() == []
