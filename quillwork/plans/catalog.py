@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import linking, listing
+
+_MODULES = (listing, linking)
+
 
 def queries():
-    return {}
+    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
