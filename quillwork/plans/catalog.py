@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import linking, listing
+from . import linking, listing, reviewing
 
-_MODULES = (listing, linking)
+_MODULES = (listing, linking, reviewing)
 
 
 def queries():
