@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import linking, listing, reviewing
+from . import linking, listing, meaning, reviewing
 
-_MODULES = (listing, linking, reviewing)
+_MODULES = (listing, linking, reviewing, meaning)
 
 
 def queries():
