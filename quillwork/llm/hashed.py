@@ -18,16 +18,17 @@ from pyspark.sql import DataFrame
 from .shared import bounded_batches, text_or_empty
 from .words import Words, mix, slices
 
-#: Features in a block.
-BLOCK = 1 << 14
-BLOCKS = 3
+#: Features in the blocks (trigrams, words, pairs), as powers of two; where each block begins, and all of them.
+BITS = (14, 15, 14)
+BEGINS = (0, 1 << 14, (1 << 14) + (1 << 15))
+SIZE = 1 << 16
 
 
 def trigrams(buf: np.ndarray) -> np.ndarray:
     """Feature of the three bytes that start at each position (two fewer than bytes)."""
     b = buf.astype(np.uint32)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    return ((code * np.uint32(2654435761)) >> np.uint32(32 - 14)).astype(np.int32)
+    return ((code * np.uint32(2654435761)) >> np.uint32(32 - BITS[0])).astype(np.int32)
 
 
 class Features:
@@ -37,9 +38,9 @@ class Features:
         tri = trigrams(words.buf) if len(words.buf) > 2 else np.zeros(0, np.int32)
         begin = words.at[:-1]
         end = np.maximum(begin, words.at[1:] - 3)
-        word = (words.hash >> np.uint64(50)).astype(np.int32)
+        word = (words.hash >> np.uint64(64 - BITS[1])).astype(np.int32)
         h = words.hash
-        pair = (mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) >> np.uint64(50)).astype(np.int32)
+        pair = (mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) >> np.uint64(64 - BITS[2])).astype(np.int32)
         pair[h[:-1] == h[1:]] = 0
         first = words.first
         self.blocks = [
@@ -53,9 +54,9 @@ class Features:
         numbers, values = [], []
         for k, (feature, begin, end) in enumerate(self.blocks):
             found, count = np.unique(feature[begin[d] : end[d]], return_counts=True)
-            numbers.append(found + k * BLOCK)
+            numbers.append(found + BEGINS[k])
             values.append(count / max(1, end[d] - begin[d]))
-        return np.concatenate(numbers).astype(np.int32), np.concatenate(values).astype(np.float32)
+        return np.concatenate(numbers).astype(np.uint16), np.concatenate(values).astype(np.float32)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """Texts x classes: the dot products with ``weights`` (features x classes)."""
@@ -63,7 +64,7 @@ class Features:
         for k, (feature, begin, end) in enumerate(self.blocks):
             for c in range(weights.shape[1]):
                 total = np.zeros(len(feature) + 1)
-                np.cumsum(weights[k * BLOCK : (k + 1) * BLOCK, c][feature], out=total[1:])
+                np.cumsum(weights[BEGINS[k] : BEGINS[k] + (1 << BITS[k]), c][feature], out=total[1:])
                 out[:, c] += (total[end] - total[begin]) / np.maximum(1, end - begin)
         return out
 
@@ -98,76 +99,99 @@ def labelled_sample(docs: DataFrame, labelled: DataFrame, rows_per_label: int) -
     return rows.mapInArrow(_sample_task, "label int, fold int, numbers binary, values binary").toArrow().to_pylist(), counts
 
 
+class _Sample:
+    """Feature rows one after the other, gone through in parts that bound what is held at once."""
+
+    def __init__(self, rows: list[dict], classes: list[int]):
+        rows = [r for r in rows if r["numbers"]]
+        self.numbers = np.concatenate([np.frombuffer(r["numbers"], np.uint16) for r in rows])
+        self.values = np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows])
+        self.bounds = np.concatenate([[0], np.cumsum([len(r["numbers"]) // 2 for r in rows])])
+        self.target = np.eye(len(classes), dtype=np.float32)[[classes.index(r["label"]) for r in rows]]
+
+    def parts(self, most: int = 400_000):
+        """Rows i to j with about ``most`` features: (i, j, first feature, last feature)."""
+        i = 0
+        while i < len(self.target):
+            j = max(i + 1, int(np.searchsorted(self.bounds, self.bounds[i] + most, "right")) - 1)
+            yield i, j, int(self.bounds[i]), int(self.bounds[j])
+            i = j
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        out = np.empty((len(self.target), weights.shape[1]), np.float32)
+        for i, j, a, b in self.parts():
+            out[i:j] = np.add.reduceat(self.values[a:b, None] * weights[self.numbers[a:b]], self.bounds[i:j] - a)
+        return out
+
+    def pulls(self, gap: np.ndarray) -> np.ndarray:
+        """Features x classes: what each feature's weight has to do with the gaps of the rows."""
+        out = np.zeros((SIZE, gap.shape[1]))
+        for i, j, a, b in self.parts():
+            each = np.repeat(gap[i:j], np.diff(self.bounds[i : j + 1]), axis=0) * self.values[a:b, None]
+            for c in range(gap.shape[1]):
+                out[:, c] += np.bincount(self.numbers[a:b], each[:, c], len(out))
+        return out
+
+
+def _shares(score: np.ndarray) -> np.ndarray:
+    p = np.exp(score - score.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
 class Model:
     """Multinomial logistic regression, its scores calibrated on a held-out fold."""
 
-    def __init__(self, sample: list[dict], counts: dict[int, int], steps: int = 150, penalty: float = 1e-4):
+    def __init__(self, sample: list[dict], counts: dict[int, int], steps: int = 80, penalty: float = 1e-4):
         self.classes = sorted(counts)
         # The order of rows from Spark is not fixed; sums of floats depend on it.
         sample = sorted(sample, key=lambda r: (r["fold"], r["label"], r["numbers"], r["values"]))
-        fit, held = [r for r in sample if r["fold"]] or sample, [r for r in sample if not r["fold"]] or sample
-        self.weights, self.bias = self._fit(fit, steps, penalty)
-        self.scale, self.shift = self._calibrate(held, counts)
-
-    def state(self) -> tuple:
-        """What a worker needs to score: plain values, for a broadcast."""
-        return self.classes, self.weights, self.bias, self.scale, self.shift
-
-    @classmethod
-    def restored(cls, state: tuple) -> Model:
-        model = cls.__new__(cls)
-        model.classes, model.weights, model.bias, model.scale, model.shift = state
-        return model
-
-    def _matrix(self, rows):
-        numbers = [np.frombuffer(r["numbers"], np.int32) for r in rows]
-        values = [np.frombuffer(r["values"], np.float32) for r in rows]
-        label = np.array([self.classes.index(r["label"]) for r in rows])
-        return np.repeat(np.arange(len(rows)), [len(n) for n in numbers]), np.concatenate(numbers), np.concatenate(values), label
-
-    def _fit(self, rows, steps, penalty):
-        row, number, value, label = self._matrix(rows)
-        size, classes = BLOCK * BLOCKS, len(self.classes)
-        mean = np.bincount(number, value, size) / len(rows)
-        spread = np.sqrt(np.maximum(np.bincount(number, value.astype(float) ** 2, size) / len(rows) - mean**2, 0))
-        scaled = value / (spread + 1e-4)[number]
-        target = np.eye(classes)[label]
-        share = target / np.maximum(1, target.sum(0))
-        weight_of = share.sum(1) * len(rows) / classes  # every label counts the same
+        every = {r["label"] for r in sample if r["numbers"]}
+        fit, held = ([r for r in sample if bool(r["fold"]) == side and r["numbers"]] for side in (True, False))
+        fit = fit if {r["label"] for r in fit} == every else sample
+        held = held if {r["label"] for r in held} == every else sample
+        self.weights, self.bias = self._fit(_Sample(fit, self.classes), steps, penalty)
+        self.scale, self.shift = self._calibrate(_Sample(held, self.classes), counts)
+
+    @staticmethod
+    def _fit(rows: _Sample, steps: int, penalty: float):
+        size, n, classes = SIZE, *rows.target.shape
+        mean = np.bincount(rows.numbers, rows.values, size) / n
+        spread = np.sqrt(np.maximum(np.bincount(rows.numbers, rows.values**2, size) / n - mean**2, 0)) + 1e-4
+        share = (rows.target / np.maximum(1, rows.target.sum(0))).sum(1, keepdims=True) / classes  # every label counts the same
         w, bias = np.zeros((size, classes)), np.zeros(classes)
         m, v, bm, bv = np.zeros_like(w), np.zeros_like(w), np.zeros(classes), np.zeros(classes)
         for step in range(1, steps + 1):
-            score = np.stack([np.bincount(row, scaled * w[number, c], len(rows)) for c in range(classes)], 1) + bias
-            p = np.exp(score - score.max(1, keepdims=True))
-            gap = (p / p.sum(1, keepdims=True) - target) * weight_of[:, None] / len(rows)
-            grad = np.stack([np.bincount(number, scaled * gap[row, c], size) for c in range(classes)], 1) + penalty * w
-            gbias = gap.sum(0)
+            gap = (_shares(rows.scores((w / spread[:, None]).astype(np.float32)) + bias) - rows.target) * share
+            grad, gbias = rows.pulls(gap) / spread[:, None] + penalty * w, gap.sum(0)
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             bm, bv = 0.9 * bm + 0.1 * gbias, 0.99 * bv + 0.01 * gbias**2
-            fix = np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-            w -= 0.01 * fix * m / (np.sqrt(v) + 1e-8)
-            bias -= 0.01 * fix * bm / (np.sqrt(bv) + 1e-8)
-        return (w / (spread + 1e-4)[:, None]).astype(np.float32), bias
+            rate = 0.02 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+            w -= rate * m / (np.sqrt(v) + 1e-8)
+            bias -= rate * bm / (np.sqrt(bv) + 1e-8)
+        return (w / spread[:, None]).astype(np.float32), bias
 
-    def _calibrate(self, rows, counts):
+    def _calibrate(self, rows: _Sample, counts: dict[int, int]):
         """One factor and a shift per class, fitted on held-out rows weighted to the true label counts."""
-        row, number, value, label = self._matrix(rows)
-        classes = len(self.classes)
-        raw = np.stack([np.bincount(row, value * self.weights[number, c], len(rows)) for c in range(classes)], 1) + self.bias
-        target = np.eye(classes)[label]
-        weight_of = (target @ (np.array([counts[c] for c in self.classes]) / np.maximum(1, target.sum(0))))[:, None]
-        weight_of = weight_of / weight_of.sum()
+        raw = (rows.scores(self.weights) + self.bias).astype(float)
+        weight = rows.target @ (np.array([counts[c] for c in self.classes]) / np.maximum(1, rows.target.sum(0)))[:, None]
+        weight = weight / weight.sum()
         scale, shift = 1.0, np.log(np.array([counts[c] for c in self.classes]) / sum(counts.values()))
         for _ in range(500):
-            score = scale * raw + shift
-            p = np.exp(score - score.max(1, keepdims=True))
-            gap = (p / p.sum(1, keepdims=True) - target) * weight_of
+            gap = (_shares(scale * raw + shift) - rows.target) * weight
             scale = max(0.05, scale - 0.5 * float((gap * raw).sum()) / max(1.0, float(np.abs(raw).mean()) ** 2))
             shift = shift - 2.0 * gap.sum(0)
         return scale, shift
 
+    def state(self) -> tuple:
+        """What a worker needs to score: plain values, for a broadcast."""
+        return self.classes, self.weights, self.bias, self.scale, self.shift
+
+    @classmethod
+    def restored(cls, state: tuple) -> Model:
+        model = cls.__new__(cls)
+        model.classes, model.weights, model.bias, model.scale, model.shift = state
+        return model
+
     def probabilities(self, features: Features) -> np.ndarray:
         """Texts x classes, in the order of ``classes``."""
-        score = self.scale * (features.scores(self.weights) + self.bias) + self.shift
-        p = np.exp(score - score.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True)
+        return _shares(self.scale * (features.scores(self.weights) + self.bias) + self.shift)

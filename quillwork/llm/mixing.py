@@ -24,7 +24,7 @@ from .words import Words, slices
 
 #: Domains in the order of their labels, with the share of all tokens that each is to have.
 TARGETS = {"clean": 0.96, "toxic": 0.015, "low_quality": 0.025}
-ROWS_PER_LABEL = 2500
+ROWS_PER_LABEL = 1500
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:

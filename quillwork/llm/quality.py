@@ -14,7 +14,7 @@ from .shared import bounded_batches, text_or_empty
 from .words import Words, mix, slices
 
 #: Labelled rows of each label that the classifier is fitted on at most.
-ROWS_PER_LABEL = 3000
+ROWS_PER_LABEL = 2000
 #: A document is kept at this calibrated probability of good quality.
 THRESHOLD = 0.5
 #: Base rules: fewer words than this, or a larger share of repeated words, fails.
