@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 
 from ..functions import text
 from ..operators import candidates as assembly
-from ..operators import grouping, similarity, signature
+from ..operators import alignment, grouping, similarity, signature
 from . import views
 from .listing import _sig
 from .views import read
@@ -120,6 +120,26 @@ def uid_prefix(spark, sf):
     return own.join(other, "page_id").select("page_id", F.round(text.prefix_ratio(F.col("before"), F.col("uid")), 6).alias("ratio"))
 
 
+def variable_dups(spark, sf):
+    """Parts whose names and types nearly agree."""
+    rows = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ord"), text.normalize_punct(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("text"))
+    return alignment.near_texts(rows)
+
+
+def _aligned(spark, sf):
+    variables = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 10 != 0, F.col("p_name")).alias("label"), F.when(F.col("p_size") % 20 != 0, F.col("p_type")).alias("description"))
+    concepts = read(spark, sf, "part").groupBy("p_type").agg(F.min("p_partkey").alias("ord"), F.min("p_name").alias("label")).select(F.col("p_type").alias("concept"), "ord", "label", F.col("p_type").alias("definition"))
+    return alignment.align_best(variables, concepts)
+
+
+def align_best(spark, sf):
+    return _aligned(spark, sf)
+
+
+def align_stats(spark, sf):
+    return _aligned(spark, sf).agg(F.count("*").alias("analysed"), *(F.count_if(F.col("status") == s).alias(s) for s in ("accepted", "rejected", "no_text")))
+
+
 BASE = f"""WITH RECURSIVE customer_codes AS ({views.SQL['customer_codes']}),
   s AS (SELECT list_id, {_sig()} AS sig, string_agg(DISTINCT label, ';' ORDER BY label) AS labels, count(*) AS n FROM customer_codes GROUP BY 1),
   vs AS (SELECT c_custkey AS list_id, coalesce(list_sort(list(DISTINCT CAST(year(o_orderdate) AS VARCHAR) || o_orderstatus) FILTER (o_custkey IS NOT NULL)), []) AS v FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
@@ -173,4 +193,4 @@ ORACLES = {
         SELECT x.page_id, round((SELECT count(*) FROM range(1, least(len(x.s), len(y.s)) + 1) AS i(i) WHERE x.s[1:i] = y.s[1:i]) / greatest(len(x.s), len(y.s)), 6) AS ratio FROM u x JOIN u y ON y.page_id = x.page_id - 1""",
 }
 
-QUERIES = {f.__name__: f for f in (representatives_excluded, code_similarity, fuzzy_pairs, filter_pairs, cross_check, context_link, compare_codes, candidates, fuse_pairs, components, choose_parent, links, registry, shared_vars, uid_prefix)}
+QUERIES = {f.__name__: f for f in (representatives_excluded, code_similarity, fuzzy_pairs, filter_pairs, cross_check, context_link, compare_codes, candidates, fuse_pairs, components, choose_parent, links, registry, shared_vars, uid_prefix, variable_dups, align_best, align_stats)}

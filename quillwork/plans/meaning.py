@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import pyspark.sql.functions as F
 
-from ..operators import semantic
+from pyspark.sql import Window
+
+from ..operators import ingest, quality, semantic, signature
+from . import operation, views
 from .linking import _lists
+from .listing import ESCAPE_SQL
 from .views import SQL, read
 
 THRESHOLD = 0.3
@@ -67,9 +71,53 @@ def hash_embed(spark, sf):
     return rows.select("p_partkey", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)).alias("mass"))
 
 
+def rml_lines(spark, sf):
+    pairs = semantic.cosine_pairs(_vectors(spark, sf), THRESHOLD).select("a", "b", F.round("score", 4).alias("score"))
+    return operation.turtle_lines(pairs, "http://id.example.org")
+
+
+def run_summary(spark, sf):
+    lists, codes = views.part_lists(spark, sf), views.part_codes(spark, sf)
+    flagged = lists.join(quality.quality_flags(lists, codes), "list_id").withColumn("name_key", F.lit(""))
+    signed = signature.signatures(flagged, codes)
+    return operation.run_summary(signed, signature.business_groups(signed), ingest.latest_version(views.user_versions(spark, sf)), most_codes=14)
+
+
+def based_on_split(spark, sf):
+    """Of the brands that share a type, which lie in the part's own size class."""
+    p = read(spark, sf, "part")
+    based = p.groupBy("p_type").agg(F.array_sort(F.collect_set("p_brand")).alias("based_on"))
+    group = p.groupBy("p_size").agg(F.array_sort(F.collect_set("p_brand")).alias("members"))
+    both = p.select("p_partkey", "p_type", "p_size").join(based, "p_type").join(group, "p_size")
+    inside, outside = F.array_intersect("based_on", "members"), F.array_except("based_on", "members")
+    return both.select("p_partkey", F.array_join(F.array_sort(inside), ",").alias("inside"), F.array_join(F.array_sort(outside), ",").alias("outside"))
+
+
+def two_operations(spark, sf):
+    """Two runs over customers' lists: what the first run's review approves does not come up in the second."""
+    lists = views.customers(spark, sf).withColumn("vars", F.array().cast("array<string>"))
+    codes = views.customer_codes(spark, sf).withColumn("pos", F.dense_rank().over(Window.partitionBy("list_id").orderBy("value")))
+    first = operation.run_operation(lists, codes)
+    reviewed = first["members"].withColumn("decision", F.when(F.array_contains("detection_types", "exact"), "approve").when(F.col("id") % 3 == 0, "reject").otherwise("pending"))
+    none = {"cleaned": lists.select("list_id").limit(0), "replaces": reviewed.select("parent_id", "id").limit(0), "store": spark.createDataFrame([], "key string, decision string, updated_at string")}
+    state = operation.close_review(reviewed, none, "2026-01-01")
+    second = operation.run_operation(lists, codes, state)
+    return second["members"].select("parent_id", "id", F.array_join("detection_types", ",").alias("types"), "decision", "decision_carried")
+
+
 PAIRS = """WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
   p AS (SELECT x.id AS a, y.id AS b, x.label AS la, y.label AS lb, list_cosine_similarity(x.e, y.e) AS score FROM v x JOIN v y ON x.id < y.id WHERE list_cosine_similarity(x.e, y.e) >= 0.3)"""
 ORACLES = {
+    "rml_lines": PAIRS + """ SELECT printf('<http://id.example.org/%d> skos:closeMatch <http://id.example.org/%d> ; rdfs:comment "%.4f" .', a, b, round(score, 4)) AS line FROM p""",
+    "run_summary": f"""WITH part_codes AS ({SQL['part_codes']}), user_versions AS ({SQL['user_versions']}),
+        s AS (SELECT list_id, count(*) AS n, bool_or(starts_with(label, 'voir ') AND NOT {ESCAPE_SQL}) AS held FROM part_codes GROUP BY 1),
+        c AS (SELECT list_id, held, string_agg(DISTINCT value || '=' || label, ';' ORDER BY value || '=' || label) AS full_, coalesce(string_agg(DISTINCT value || '=' || label, ';' ORDER BY value || '=' || label) FILTER (NOT {ESCAPE_SQL}), '') AS bus,
+          count(DISTINCT value || '=' || label) FILTER (NOT {ESCAPE_SQL}) AS nb FROM part_codes JOIN s USING (list_id) GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY bus, full_ ORDER BY list_id) AS nth FROM c WHERE nb >= 2 AND NOT held)
+        SELECT (SELECT count(*) FROM s) AS codelists, (SELECT count(*) FROM s WHERE held) AS placeholder, (SELECT count(*) FROM s WHERE n > 14) AS excluded_over_max_codes,
+          (SELECT count(*) - count(DISTINCT bus) FROM r WHERE nth = 1) AS candidates, (SELECT count(*) - count(DISTINCT list_id) FROM user_versions) AS older_versions_ignored""",
+    "based_on_split": """WITH b AS (SELECT p_type, list(DISTINCT p_brand) AS l FROM part GROUP BY 1), g AS (SELECT p_size, list(DISTINCT p_brand) AS m FROM part GROUP BY 1)
+        SELECT p_partkey, array_to_string(list_sort(list_filter(l, lambda x: list_contains(m, x))), ',') AS inside, array_to_string(list_sort(list_filter(l, lambda x: NOT list_contains(m, x))), ',') AS outside FROM part JOIN b USING (p_type) JOIN g USING (p_size)""",
     "l2_normalize": "SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS first FROM embeddings",
     "cosine_pairs": PAIRS + " SELECT a, b, round(score, 4) AS score FROM p",
     "cosine_list_pairs": PAIRS + " SELECT least(la, lb) AS a, greatest(la, lb) AS b, round(max(score), 4) AS score FROM p WHERE la <> lb GROUP BY 1, 2",
@@ -85,4 +133,4 @@ ORACLES = {
         q AS (SELECT x.page_id AS a, y.page_id AS b, (SELECT count(*) FROM range(1, least(len(x.s), len(y.s)) + 1) AS i(i) WHERE x.s[1:i] = y.s[1:i]) / greatest(len(x.s), len(y.s)) AS score FROM u x JOIN u y ON x.page_id < y.page_id AND x.s[1] = y.s[1])
         SELECT a, b, round(score, 6) AS score FROM q WHERE score >= 0.8""",
 }
-QUERIES = {f.__name__: f for f in (l2_normalize, cosine_pairs, cosine_list_pairs, judge_topk, pairs_to_candidates, judge_prompt, judge_parse, uid_prefix_pairs, hash_embed)}
+QUERIES = {f.__name__: f for f in (l2_normalize, cosine_pairs, cosine_list_pairs, judge_topk, pairs_to_candidates, judge_prompt, judge_parse, uid_prefix_pairs, hash_embed, rml_lines, run_summary, based_on_split, two_operations)}
