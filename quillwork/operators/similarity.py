@@ -66,6 +66,17 @@ def near_size(n: Column, m: Column) -> Column:
     return F.least(n, m) >= F.greatest(n, m) * LEAST_CODE_SIM
 
 
+def size_ratio_counts(lists: DataFrame) -> DataFrame:
+    """How many pairs of lists pass the size test, by their sizes: ``small, large, n_pairs``. Sizes are counted, pairs are not listed."""
+    sizes = lists.groupBy("n_codes").agg(F.count("*").alias("n"))
+    x, y = sizes.select(F.col("n_codes").alias("small"), F.col("n").alias("p")), sizes.select(F.col("n_codes").alias("large"), F.col("n").alias("q"))
+    # A size meets few others: those up to a third larger.
+    reach = x.withColumn("large", F.explode(F.sequence(F.col("small"), F.floor(F.col("small") / LEAST_CODE_SIM))))
+    both = reach.join(y, "large").where(near_size(F.col("small"), F.col("large")))
+    pairs = F.when(F.col("small") == F.col("large"), F.expr("p * (p - 1) div 2")).otherwise(F.col("p") * F.col("q"))
+    return both.select("small", "large", pairs.alias("n_pairs")).where("n_pairs > 0")
+
+
 def candidate_pairs(lists: DataFrame) -> DataFrame:
     """Pairs that can reach the least code similarity: ``ida, idb``, the earlier list first.
 

@@ -22,10 +22,15 @@ def _lists(spark, sf):
     return signed.join(ordered, "list_id", "left").join(usage, "list_id", "left").withColumn("codes", F.coalesce("codes", empty.cast(signature.PAIRS))).withColumn("var_sig", F.coalesce("var_sig", empty.cast("array<string>")))
 
 
-def representatives_excluded(spark, sf):
+def fuzzy_excluded(spark, sf):
     return similarity.fuzzy_excluded(_lists(spark, sf), 11)
 
 
+def size_ratio_pairs(spark, sf):
+    lists = signature.representatives(_lists(spark, sf).where("n_codes > 0"), "sig")
+    return similarity.size_ratio_counts(lists)
+
+
 def code_similarity(spark, sf):
     """Every fifth list against its neighbours by id: the bare score."""
     own = _lists(spark, sf).select("list_id", "codes")
@@ -107,6 +112,11 @@ def registry(spark, sf):
     return found.select("parent_id", "id", F.array_join("detection_types", ",").alias("detection_types"), F.round("confidence", 4).alias("confidence"), via)
 
 
+def vs_parent(spark, sf):
+    """Members alone: how each was detected against its parent."""
+    return registry(spark, sf).where("id <> parent_id").select("id", "detection_types", "confidence")
+
+
 def shared_vars(spark, sf):
     members = components(spark, sf).select(F.col("comp").alias("group_id"), F.col("node").alias("list_id")).join(_lists(spark, sf).select("list_id", F.col("var_sig").alias("vars")), "list_id")
     return grouping.shared_vars(members).select("group_id", F.array_join("shared_vars", ",").alias("shared_vars"))
@@ -158,7 +168,7 @@ LINKS = BASE + """, c AS (SELECT master_id, slave_id, 'exact' AS detection_type,
   par AS (SELECT comp, first(id ORDER BY CASE WHEN reg THEN 0 ELSE 1 END, CASE WHEN pref THEN 0 ELSE 1 END, id) AS parent_id FROM rk GROUP BY 1)"""
 
 ORACLES = {
-    "representatives_excluded": BASE + " SELECT list_id, n AS n_codes FROM a WHERE n > 11",
+    "fuzzy_excluded": BASE + " SELECT list_id, n AS n_codes FROM a WHERE n > 11",
     "code_similarity": BASE + """ SELECT x.list_id, round(CASE WHEN x.n = 0 AND y.n = 0 THEN 1.0 WHEN x.n = 0 OR y.n = 0 THEN 0.0 ELSE
         (SELECT count(*) FROM customer_codes p JOIN customer_codes q ON p.value = q.value WHERE p.list_id = x.list_id AND q.list_id = y.list_id) / greatest(x.n, y.n) END, 6) AS score FROM a x JOIN a y ON y.list_id = x.list_id + 1""",
     "fuzzy_pairs": BASE + " SELECT a, b, score, CASE WHEN score >= 0.9 THEN 'detected' ELSE 'inspect' END AS level FROM f",
@@ -187,10 +197,15 @@ ORACLES = {
         UNION ALL SELECT parent_id, id, types, round(confidence, 4), '' FROM d
         UNION ALL SELECT m.parent_id, m.id, string_agg(DISTINCT t, ',' ORDER BY t), round(max(w.confidence), 4), string_agg(DISTINCT CAST(w.other AS VARCHAR), ',' ORDER BY CAST(w.other AS VARCHAR)) FROM m JOIN w ON w.id = m.id, unnest(string_split(w.types, ',')) AS x(t)
           WHERE m.id <> m.parent_id AND m.id NOT IN (SELECT id FROM d) GROUP BY 1, 2""",
+    "size_ratio_pairs": BASE + """, h AS (SELECT n, count(*) AS c FROM r GROUP BY 1) SELECT x.n AS small, y.n AS large, CASE WHEN x.n = y.n THEN x.c * (x.c - 1) // 2 ELSE x.c * y.c END AS n_pairs
+        FROM h x JOIN h y ON x.n <= y.n AND x.n >= 0.75 * y.n WHERE x.n < y.n OR x.c > 1""",
+    "vs_parent": LINKS + """, m AS (SELECT parent_id, id FROM rk JOIN par USING (comp) WHERE id <> parent_id), d AS (SELECT m.id, w.types, w.confidence FROM m JOIN w ON w.id = m.id AND w.other = m.parent_id)
+        SELECT id, types AS detection_types, round(confidence, 4) AS confidence FROM d
+        UNION ALL SELECT m.id, string_agg(DISTINCT t, ',' ORDER BY t), round(max(w.confidence), 4) FROM m JOIN w ON w.id = m.id, unnest(string_split(w.types, ',')) AS x(t) WHERE m.id NOT IN (SELECT id FROM d) GROUP BY 1""",
     "shared_vars": LINKS + """, g AS (SELECT comp, count(*) AS n FROM comp GROUP BY 1), q AS (SELECT comp, z, count(*) AS c FROM comp JOIN vs ON list_id = id, unnest(v) AS x(z) GROUP BY 1, 2)
         SELECT g.comp AS group_id, coalesce(string_agg(z, ',' ORDER BY z) FILTER (c = n), '') AS shared_vars FROM g LEFT JOIN q USING (comp) GROUP BY 1""",
     "uid_prefix": """WITH u AS (SELECT page_id, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[^A-Za-z0-9]+', '-', 'g'), '-') AS s FROM pages)
         SELECT x.page_id, round((SELECT count(*) FROM range(1, least(len(x.s), len(y.s)) + 1) AS i(i) WHERE x.s[1:i] = y.s[1:i]) / greatest(len(x.s), len(y.s)), 6) AS ratio FROM u x JOIN u y ON y.page_id = x.page_id - 1""",
 }
 
-QUERIES = {f.__name__: f for f in (representatives_excluded, code_similarity, fuzzy_pairs, filter_pairs, cross_check, context_link, compare_codes, candidates, fuse_pairs, components, choose_parent, links, registry, shared_vars, uid_prefix, variable_dups, align_best, align_stats)}
+QUERIES = {f.__name__: f for f in (fuzzy_excluded, size_ratio_pairs, code_similarity, fuzzy_pairs, filter_pairs, cross_check, context_link, compare_codes, candidates, fuse_pairs, components, choose_parent, links, registry, vs_parent, shared_vars, uid_prefix, variable_dups, align_best, align_stats)}

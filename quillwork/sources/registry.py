@@ -49,10 +49,10 @@ def read_concepts(spark: SparkSession, path: str, lang: str = "fr") -> DataFrame
     triples = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", CONCEPT)).alias("uri", "p"))
     ending = lambda name: F.map_filter("p", lambda k, _: F.endswith(k, F.lit(name)))
     values = lambda name: F.flatten(F.map_values(ending(name)))
-    local = lambda name: F.filter(values(name), lambda v: v["lang"] == lang)[0]["value"]
+    local = lambda name: F.get(F.filter(values(name), lambda v: v["lang"] == lang), 0)["value"]
     labels = triples.select(F.col("uri").alias("concept"), local("prefLabel").alias("label")).where("label is not null")
     definitions = triples.where(F.col("uri").contains("/definition")).select(
-        F.regexp_extract("uri", "^(.*?)/definition", 1).alias("concept"), F.coalesce(values("version")[0]["value"].try_cast("long"), F.lit(0).cast("long")).alias("version"), local("content").alias("definition"), (F.size(values("validUntil")) > 0).alias("expired"), "uri"
+        F.regexp_extract("uri", "^(.*?)/definition", 1).alias("concept"), F.coalesce(F.get(values("version"), 0)["value"].try_cast("long"), F.lit(0).cast("long")).alias("version"), local("content").alias("definition"), (F.size(values("validUntil")) > 0).alias("expired"), "uri"
     ).where("not expired and definition is not null")
     best = definitions.groupBy("concept").agg(F.max_by("definition", F.struct("version", "uri")).alias("definition"))
     return best.join(labels, "concept", "left").select("concept", F.coalesce("label", F.lit("")).alias("label"), "definition")

@@ -53,3 +53,52 @@ def test_missing_path_is_an_error(spark):
 def test_empty_document(spark, tmp_path):
     (tmp_path / "e.xml").write_text("<root></root>")
     assert xml.extract(spark, f"file://{tmp_path}/e.xml")["lists"].collect() == []
+
+
+def test_cleaned_registry_and_decisions(spark, tmp_path):
+    import json
+
+    from quillwork.sources import registry
+
+    new = {"entries": {"p1": {"id": "p1", "name": "SEXE", "label": "Sexe", "codes": [["1", "Homme"], ["2", "Femme"]], "vars": ["s"], "replaces": [{"id": "d1", "name": "x"}]}, "p2": {"id": "p2", "merged_duplicates": ["d2", "d3"]}}}
+    (tmp_path / "c.json").write_text(json.dumps(new, indent=1, ensure_ascii=False))
+    lists, replaces = registry.read_cleaned(spark, f"file://{tmp_path}/c.json")
+    got = {r.list_id: r for r in lists.collect()}
+    assert [tuple(c) for c in got["p1"].codes] == [("1", "Homme"), ("2", "Femme")] and got["p2"].name is None and got["p1"].origin == "registry"
+    assert sorted(map(tuple, replaces.collect())) == [("p1", "d1"), ("p2", "d2"), ("p2", "d3")]
+    none = registry.read_cleaned(spark, f"file://{tmp_path}/none.json", missing_ok=True)
+    assert none[0].collect() == [] and none[1].collect() == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        registry.read_cleaned(spark, f"file://{tmp_path}/none.json")[0].collect()
+    (tmp_path / "d.json").write_text(json.dumps({"pairs": {"a|b": {"decision": "reject", "updated_at": "t"}}, "dismissed": {"z": {"updated_at": "t"}}}))
+    found = registry.read_decisions(spark, f"file://{tmp_path}/d.json")
+    assert [tuple(r) for r in found["pairs"].collect()] == [("a|b", "reject", "t")]
+    assert [r.id for r in found["dismissed"].collect()] == ["z"] and found["masters"].collect() == []
+
+
+def test_concepts(spark, tmp_path):
+    import json
+
+    from quillwork.sources import registry
+
+    ns, lit = "http://x/", lambda v, lang=None: [{"value": v, "type": "literal"} | ({"lang": lang} if lang else {})]
+    doc = {
+        f"{ns}c1": {"skos#prefLabel": lit("Age", "fr") + lit("Age en", "en")},
+        f"{ns}c1/definition/1/fr": {"pav/version": lit("1"), "content": lit("vieux", "fr")},
+        f"{ns}c1/definition/2/fr": {"pav/version": lit("2"), "content": lit("actuel", "fr")},
+        f"{ns}c1/definition/3/fr": {"pav/version": lit("3"), "content": lit("fini", "fr"), "validUntil": lit("2020")},
+        f"{ns}c2/definition/1/fr": {"content": lit("seul", "fr")}, f"{ns}c3/definition/1/en": {"content": lit("only", "en")},
+    }
+    (tmp_path / "s.json").write_text(json.dumps(doc))
+    got = {r.concept: (r.label, r.definition) for r in registry.read_concepts(spark, f"file://{tmp_path}/s.json").collect()}
+    assert got == {f"{ns}c1": ("Age", "actuel"), f"{ns}c2": ("", "seul")}
+
+
+def test_summary_is_written_either_way(spark, tmp_path):
+    from quillwork.plans import operation
+
+    path = f"file://{tmp_path}/runs"
+    operation.summarised(spark, path, "r1", lambda: spark.range(1).select(F.lit(3).alias("codelists")))
+    with pytest.raises(ZeroDivisionError):
+        operation.summarised(spark, path, "r2", lambda: 1 / 0)
+    assert {(r.run_id, r.status) for r in spark.read.json(path).collect()} == {("r1", "success"), ("r2", "error")}
