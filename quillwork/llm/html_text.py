@@ -43,6 +43,8 @@ ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 
 #: A text is template where this share of a host's pages, and so many pages, have it at a node.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 5
+#: Bytes of wrappers (trees of hosts) that are broadcast at most; beyond that they are joined by a shuffle.
+BROADCAST = 16_000_000
 
 
 class Page:
@@ -238,7 +240,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), text_or_empty(html_col).alias("html"))
     shapes = rows.select("host", "html").mapInArrow(_shapes_task, "host string, shape string, n long").groupBy("host", "shape").agg(F.sum("n").alias("n"))
     hosts = written(shapes.groupBy("host").agg(F.max(F.struct("n", "shape"))["shape"].alias("exemplar"), F.sum("n").alias("pages")), "hosts")
-    few = hosts.count() <= 50_000
+    held = hosts.agg(F.count("*").alias("n"), F.sum(F.length("exemplar")).alias("chars")).first()
+    few = 100 * held["n"] + (held["chars"] or 0) <= BROADCAST
     side = lambda df: F.broadcast(df) if few else df
     counted = (
         rows.join(side(hosts.select("host", "exemplar")), "host").select("host", "html", "exemplar")

@@ -33,6 +33,8 @@ TEXT_NATS = 40.0
 #: Rows that the next wider level counts for when a level is smoothed.
 PRIOR_ROWS = 20.0
 THRESHOLD = 0.7
+#: Numbers of an evidence table that are broadcast at most; a larger one is joined by a shuffle.
+BROADCAST = 2_000_000
 
 
 def _letters_table() -> np.ndarray:
@@ -169,7 +171,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     fused = likely
     for name, found in (("declared", evidence("declared")), ("suffix", evidence("suffix")), ("host", host_p)):
         found = written(found, name)
-        fused = fused.join(F.broadcast(found) if found.count() <= 200_000 else found, name, "left")
+        fused = fused.join(F.broadcast(found) if found.count() * (n + 2) <= BROADCAST else found, name, "left")
     prior = F.coalesce("host_log", F.transform(base, lambda x: F.log(x)))
     posterior = _softmax(_add(F.col("text_log"), F.coalesce("declared_log", zero), F.coalesce("suffix_log", zero), prior))
     some = F.col("letters") > 0
