@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import bounded_batches, text_or_empty
 
 #: Pre-tokens that a worker remembers before it starts over.
-MEMORY = 200_000
+MEMORY = 60_000
 
 
 def byte_letters() -> list[str]:

@@ -38,7 +38,7 @@ from .shared import bounded_batches, join_small, rank_id, text_or_empty, written
 from .words import Words, from_planes, mix, planes, slices
 
 #: Tokens or index entries that a task gathers before it packs and passes them on.
-GATHER = 2_000_000
+GATHER = 700_000
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -331,7 +331,7 @@ class JaccardJoin:
             raise ValueError("the combination prefixes are proved for thresholds from 0.75 to 1")
         self.spark, self.shingle, self.percent = spark, shingle, percent
         self.frequent, self.most_frequent = frequent, most_frequent
-        self.buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.buckets = max(16, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def frequent_tokens(self, texts: DataFrame) -> np.ndarray:
         counts = (

@@ -33,7 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 250) -> None:
     """Keep Arrow batches small, so that very long texts do not add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

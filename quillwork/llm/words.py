@@ -1,6 +1,6 @@
 """Words, word hashes and shingle sets of a few texts at a time, as numpy arrays.
 
-These helpers run inside tasks, on slices of an Arrow batch of about a megabyte.
+These helpers run inside tasks, on slices of an Arrow batch of about half a megabyte.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
