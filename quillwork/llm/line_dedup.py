@@ -3,9 +3,9 @@
 A unit is a line (or, with ``delimiter='\\n\\n'``, a paragraph). Its digest covers the
 lower-cased unit with runs of white space as one space. Of all units with one
 digest the one with the smallest (doc_id, position) stays. Units of fewer than
-``least_words`` words are always kept: they are headings and fillers that clean
-texts share. Removed units are reported by their character offsets in the
-original text.
+``least_words`` words are always kept, and so are empty ones; with ``least_words=1``
+every unit that is not empty takes part. Removed units are reported by their
+character offsets in the original text.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = (
         texts.select("rank", F.posexplode(units).alias("pos", "unit"))
         .select("rank", "pos", normalised(F.col("unit")).alias("unit"))
-        .where(F.size(F.split("unit", " ")) >= least_words)
+        .where((F.col("unit") != "") & (F.size(F.split("unit", " ")) >= least_words))
         .select("rank", "pos", F.unhex(F.md5("unit")).alias("digest"))
     )
     each = written(each, "units")
@@ -85,6 +85,10 @@ def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_words=1)
+
+
 OP2_SQL = rf"""
 WITH d AS (SELECT coalesce(doc_id, {LAST}) AS rank, doc_id, string_split(coalesce(text, ''), chr(10)) AS units FROM documents),
 u AS (SELECT rank, generate_subscripts(units, 1) AS pos, unnest(units) AS unit FROM d),
@@ -100,3 +104,6 @@ SELECT d.doc_id, count(*) AS n_units, count(*) FILTER (nth > 1) AS n_removed,
   coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (nth = 1), '') AS text
 FROM d JOIN f USING (rank) GROUP BY d.doc_id
 """
+
+#: The same without the floor: every unit that is not empty.
+OP2_WHOLE_SQL = OP2_SQL.replace(f"len(string_split(norm, ' ')) >= {LEAST_WORDS}", "norm <> ''")

@@ -11,6 +11,7 @@ def queries():
     return {
         "op1_substring_dedup": substring_dedup.op1_query,
         "op2_line_dedup": line_dedup.op2_query,
+        "op2_line_dedup_whole": line_dedup.op2_whole_query,
         "op3_byte_bpe": bpe.op3_query,
         "op4_mixing": mixing.op4_query,
         "op5_exact_dedup": exact_dedup.op5_query,
@@ -27,6 +28,7 @@ def queries():
 def oracle_sql():
     return {
         "op2_line_dedup": line_dedup.OP2_SQL,
+        "op2_line_dedup_whole": line_dedup.OP2_WHOLE_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
         "op10_jaccard_join": jaccard.OP10_SQL,
     }

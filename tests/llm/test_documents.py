@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -64,6 +65,19 @@ def test_lines_against_plain_version(spark, texts):
         assert got[d] == (text.count("\n") + 1, len(spans), ",".join(spans), "\n".join(kept))
 
 
+def test_short_lines_are_deduplicated_without_a_floor(spark, tmp_path):
+    rows = [(1, "Chapter one\n\ntext of the first\n \t"), (2, "chapter  ONE\n\nmore"), (3, "more\nmore\nmore"), (None, "text of the first\nlast"), (4, None), (5, ""), (6, "Chapter one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.removed_spans, r.text) for r in line_dedup.dedup_lines(docs, least_words=1).collect()}
+    assert got == {1: (0, "", rows[0][1]), 2: (1, "0-12", "\nmore"), 3: (3, "0-4,5-9,10-14", ""), None: (1, "0-17", "last"), 4: (0, "", ""), 5: (0, "", ""), 6: (1, "0-11", "")}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    columns = ("doc_id", "n_units", "n_removed", "removed_spans", "text")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = db.execute(f"SELECT {', '.join(columns)} FROM ({line_dedup.OP2_WHOLE_SQL})").fetchall()
+    assert sorted(map(tuple, line_dedup.op2_whole_query(spark, str(tmp_path)).select(*columns).collect()), key=str) == sorted(want, key=str)
+
+
 def test_lines_on_odd_rows(odd, empty):
     got = sorted(((r.doc_id, r.n_units, r.n_removed) for r in line_dedup.dedup_lines(odd).collect()), key=str)
     assert got == sorted([(1, 1, 0), (2, 1, 0), (3, 2, 0), (4, 1, 0), (None, 1, 0), (5, 2, 0), (6, 1, 0), (6, 1, 0)], key=str)
