@@ -11,36 +11,55 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from quillwork.llm import bpe, exact_dedup, jaccard, langid, mixing
-from quillwork.llm.shared import written
+from quillwork.llm.shared import rank_id, written
 
 
-def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """``docs`` without the ids in ``gone``: up to two million of them are broadcast, more are shuffled.
+#: Tells the rows of a stage apart: ids may be null or shared, and whole rows may repeat.
+KEY = "row_key_"
+
+
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a row key, written so that the keys stay as they are."""
+    return written(docs.withColumn(KEY, F.monotonically_increasing_id()), name)
+
 
-    Rows without an id cannot be named and stay.
-    """
-    ids = written(gone.where("doc_id is not null").select("doc_id").distinct(), name)
-    return docs.join(F.broadcast(ids) if ids.count() <= 2_000_000 else ids, "doc_id", "left_anti").select(docs.columns)
+def _small(found: DataFrame, name: str) -> DataFrame:
+    """``found``, written; up to two million rows are broadcast, more are shuffled."""
+    found = written(found, name)
+    return F.broadcast(found) if found.count() <= 2_000_000 else found
+
+
+def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the rows whose keys are in ``gone``, and without the key."""
+    return docs.join(_small(gone.select(KEY), name), KEY, "left_anti").drop(KEY)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is beyond doubt; texts without letters go."""
-    return _without(docs, langid.of_documents(docs).where(~F.col("kept")), "no-language")
+    docs = _keyed(docs, "language")
+    found = langid.of_documents(docs, id_col=KEY).where(~F.col("kept"))
+    return _without(docs, found.withColumnRenamed("doc_id", KEY), "no-language")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id."""
-    return _without(docs, exact_dedup.DigestIndex(spark).absorb(docs).where(~F.col("kept")), "copies")
+    """Of equal texts the one with the largest id; of several such rows one."""
+    docs = _keyed(docs, "exact")
+    return _without(docs, exact_dedup.DigestIndex(spark).absorb(docs, key_col=KEY).where(~F.col("kept")), "copies")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the one with the smallest id."""
-    return _without(docs, jaccard.JaccardJoin(spark).classes(docs).where(F.col("doc_id") != F.col("component_id")), "near-copies")
+    """Of each class of near copies the one with the smallest id; of several such rows one."""
+    docs = _keyed(docs, "near")
+    found = jaccard.JaccardJoin(spark).classes(docs, id_col=KEY).select(F.col("doc_id").alias(KEY), F.col("component_id").alias("class"))
+    ranked = written(found.join(docs.select(KEY, rank_id().alias("rank")), KEY), "classes")
+    first = ranked.groupBy("class").agg(F.min(F.struct("rank", KEY))[KEY].alias(KEY)).select(KEY)
+    return _without(docs, ranked.join(first, KEY, "left_anti"), "near-copies")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by the rates that bring the domains to their target weights."""
-    rated = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = _keyed(docs, "mixing")
+    rated = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), key_col=KEY)
     return _without(docs, rated.where(~mixing.drawn(rated)), "not-drawn")
 
 

@@ -43,7 +43,7 @@ class DigestIndex:
     def entries(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def absorb(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def absorb(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
         """Deduplicate a batch against the index and itself, then append its new digests.
 
         Of equal new texts the largest id stays; a text that the index knows stays
@@ -51,12 +51,16 @@ class DigestIndex:
         group_size, kept, text_sha256``; ``group_size`` counts the batch and what
         the index had when the entry was made. Null text counts as empty. Rows
         without an id rank below all others. Of rows with the same id and text one
-        is kept. An empty batch gives no rows and leaves the index as it was.
+        is kept. ``key_col`` names a column that tells all rows apart; it is returned
+        too and says which of such rows is kept. An empty batch gives no rows and
+        leaves the index as it was.
         """
+        keys = [key_col] if key_col else []
         rows = written(
             docs.select(
                 F.col(id_col).cast("long").alias("doc_id"),
                 F.unhex(F.sha2(normalised(text_or_empty(text_col)), 256)).alias("digest"),
+                *keys,
             ),
             "digests",
         )
@@ -66,7 +70,8 @@ class DigestIndex:
         fresh.join(self.entries().hint("merge"), "digest", "left_anti").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
-        batch = rows.groupBy("digest").agg(F.max("doc_id").alias("new_id"), F.count("*").alias("new_size"))
+        first = [F.max(F.struct("doc_id", key_col))[key_col].alias("new_key")] if key_col else []
+        batch = rows.groupBy("digest").agg(F.max("doc_id").alias("new_id"), F.count("*").alias("new_size"), *first)
         old = known.select("digest", F.col("keep_id").alias("old_id"), F.col("group_size").alias("old_size"), F.lit(True).alias("old"))
         winners = written(
             batch.join(old, "digest", "left").select(
@@ -74,9 +79,14 @@ class DigestIndex:
                 F.when(F.col("old"), F.col("old_id")).otherwise(F.col("new_id")).alias("keep_id"),
                 (F.col("new_size") + F.coalesce("old_size", F.lit(0))).alias("group_size"),
                 F.coalesce("old", F.lit(False)).alias("old"),
+                *(["new_key"] if key_col else []),
             ),
             "winners",
         )
+        if key_col:
+            return rows.join(winners, "digest").select(
+                key_col, "doc_id", "keep_id", "group_size", (~F.col("old") & (F.col(key_col) == F.col("new_key"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+            )
         # Equal (digest, id) rows are counted first, so that just one of them is kept.
         repeated = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
         return (

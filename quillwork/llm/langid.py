@@ -189,9 +189,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     )
 
 
-def of_documents(docs: DataFrame) -> DataFrame:
+def of_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``documents``: the declared language is ``lang``, the source stands for the host."""
-    return identify(docs, declared=F.col("lang"), host=F.col("source"))
+    return identify(docs, id_col=id_col, declared=F.col("lang"), host=F.col("source"))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:

@@ -33,8 +33,8 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("label"))
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, names: list[str], rows_per_label: int = ROWS_PER_LABEL) -> DataFrame:
-    """``doc_id, n_tokens, p`` for each row; ``p`` is in the order of ``names``.
+def posteriors(docs: DataFrame, labelled: DataFrame, names: list[str], rows_per_label: int = ROWS_PER_LABEL, key_col: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, p`` for each row, and ``key_col`` if given; ``p`` is in the order of ``names``.
 
     A domain that no label names has posterior 0. With no labels at all every
     domain is as likely as any other.
@@ -57,10 +57,12 @@ def posteriors(docs: DataFrame, labelled: DataFrame, names: list[str], rows_per_
                     p = np.zeros((len(texts), k))
                     p[:, model.classes] = model.probabilities(Features(words))
                 offsets = pa.array(np.arange(0, p.size + 1, k, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(np.diff(words.first)), pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))], ["doc_id", "n_tokens", "p"])
+                own = [batch.column(c).slice(row, len(texts)) for c in (0, *range(2, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([own[0], pa.array(np.diff(words.first)), pa.ListArray.from_arrays(offsets, pa.array(p.ravel())), *own[1:]], ["doc_id", "n_tokens", "p", *keys])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return written(rows.mapInArrow(task, "doc_id long, n_tokens long, p array<double>"), "posteriors")
+    keys = [key_col] if key_col else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *keys)
+    return written(rows.mapInArrow(task, "doc_id long, n_tokens long, p array<double>" + "".join(f", `{c}` long" for c in keys)), "posteriors")
 
 
 def fit_rates(scored: DataFrame, shares: list[float], tolerance: float = 1e-4, most_steps: int = 40) -> DataFrame:
@@ -96,15 +98,15 @@ def fit_rates(scored: DataFrame, shares: list[float], tolerance: float = 1e-4, m
     return rows.withColumn("rate", rate).select(*scored.columns, "rate")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """``doc_id, n_tokens, p, domain, rate`` for each row of ``docs``.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, key_col: str | None = None) -> DataFrame:
+    """``doc_id, n_tokens, p, domain, rate`` for each row of ``docs``, and ``key_col`` (a long) if given.
 
     Tokens are words without white space. Null text has none and keeps rate 1.
     ``domain`` is the likeliest one (the first of equals).
     """
     targets = targets or TARGETS
     names = list(targets)
-    scored = posteriors(docs, domain_labels(labels), names)
+    scored = posteriors(docs, domain_labels(labels), names, key_col=key_col)
     rated = fit_rates(scored, list(targets.values()))
     best = F.array_position("p", F.array_max("p")).cast("int")
     return rated.withColumn("domain", F.element_at(F.array(*(F.lit(x) for x in names)), best))

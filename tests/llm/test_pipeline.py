@@ -80,3 +80,40 @@ def test_repeated_rows_keep_one(spark):
     rows = spark.createDataFrame([(3, "x"), (3, "x"), (3, "X")], "doc_id long, text string")
     assert sorted(r.kept for r in exact_dedup.DigestIndex(spark).absorb(rows).collect()) == [False, False, True]
     assert exact_dedup.DigestIndex(spark).absorb(rows.limit(0)).collect() == []
+
+
+def _rows(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+
+
+def test_stages_judge_rows_and_not_ids(spark, tmp_path):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    a, b, c, d, e = (" ".join(word() for _ in range(60)) for _ in range(5))
+    got = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=str)
+    want = lambda *rows: sorted(rows, key=str)
+
+    # Language: of rows that share an id, or have none, only those without letters go.
+    rows = [(1, a), (1, "12 34"), (None, b), (None, "56 78"), (2, c), (2, c)]
+    found = corpus_pipeline.language(spark, _rows(spark, [(i, t, "en", "s", 1) for i, t in rows]), "")
+    assert got(found) == want((1, a), (None, b), (2, c), (2, c))
+    assert found.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+    # Exact copies: whole rows repeated, an id with two texts of which one is a copy, copies without an id.
+    rows = [(1, a), (1, a), (2, b), (3, b.upper()), (2, c), (None, d), (None, d), (None, e), (4, e)]
+    found = corpus_pipeline.exact_copies(spark, _rows(spark, [(i, t, "en", "s", 1) for i, t in rows]), "")
+    assert got(found) == want((1, a), (3, b.upper()), (2, c), (None, d), (4, e))
+
+    # Near copies: two that share the smallest id, some without an id, an id that is in two classes.
+    rows = [(1, a), (1, a + " more"), (2, a + " again"), (None, b), (None, b + " more"), (None, c), (2, c + " more"), (3, d), (3, d), (None, ""), (None, "")]
+    found = got(corpus_pipeline.near_copies(spark, _rows(spark, [(i, t, "en", "s", 1) for i, t in rows]), ""))
+    assert [x[0] for x in found if x[1].startswith(a)] == [1]
+    assert [x[0] for x in found if x[1].startswith(b)] == [None]
+    assert [x for x in found if x[1].startswith((c, d))] == want((2, c + " more"), (3, d))
+    assert len(found) == 6  # texts without words are linked with nothing
+
+    # Mixing: of rows that share an id and differ in their rates, those that are not drawn go alone.
+    docs = [(i, (a if i % 2 else "idiot moron " * 30) + " " + word(), "en", "s", 1) for i in range(60)] + [(1, "idiot moron " * 40, "en", "s", 1)]
+    spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(2, 60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {x[1] for x in got(corpus_pipeline.mixed(spark, _rows(spark, docs), str(tmp_path)))}
+    assert docs[1][1] in found and docs[-1][1] not in found
