@@ -57,10 +57,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by the rates that bring the domains to their target weights."""
+    """Documents drawn by the rates that bring the domains to their target weights; at rates above 1 repeatedly."""
     docs = _keyed(docs, "mixing")
     rated = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), key_col=KEY)
-    return _without(docs, rated.where(~mixing.drawn(rated)), "not-drawn")
+    other = rated.select(KEY, mixing.copies(rated, KEY).alias("copies_")).where("copies_ <> 1")
+    times = docs.join(_small(other, "copies"), KEY, "left").withColumn("copies_", F.coalesce("copies_", F.lit(1))).where("copies_ > 0")
+    return times.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).drop(KEY, "copies_", "copy_")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

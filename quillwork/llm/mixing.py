@@ -112,12 +112,39 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     return rated.withColumn("domain", F.element_at(F.array(*(F.lit(x) for x in names)), best))
 
 
-def drawn(rated: DataFrame) -> Column:
+def copies(rated: DataFrame, key_col: str | None = None) -> Column:
+    """How often a document is drawn: the whole part of its rate, and once more by a hash of its id for the rest.
+
+    Rows that share an id share the hash. Rows without an id are told apart by
+    ``key_col`` only.
+    """
+    # Nulls leave the hash as it is.
+    own = [F.when(F.col("doc_id").isNull(), F.col(key_col))] if key_col else []
+    share = F.pmod(F.xxhash64("doc_id", F.lit("draw"), *own), F.lit(1 << 30)) / float(1 << 30)
+    whole = F.floor("rate")
+    return (whole + (F.col("rate") - whole > share).cast("int")).cast("int")
+
+
+def drawn(rated: DataFrame, key_col: str | None = None) -> Column:
     """Whether a document is drawn at least once: always at rate 1 or more, else by a hash of its id."""
-    share = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    return F.col("rate") > share
+    return copies(rated, key_col) > 0
+
+
+def drawn_shares(rated: DataFrame, targets: dict[str, float] | None = None, key_col: str | None = None) -> DataFrame:
+    """``domain, target, rate_share, drawn_share, gap`` for each domain, of the tokens that rates and copies give.
+
+    ``gap``: what the drawn share lacks of its target, below 0 where it has too
+    much. Shares are null where nothing is drawn.
+    """
+    targets = targets or TARGETS
+    total, k = sum(targets.values()), len(targets)
+    tokens = lambda weight, i: F.sum(weight * F.col("n_tokens") * F.col("p")[i])
+    sums = rated.withColumn("copies", copies(rated, key_col)).agg(*(tokens(F.col(c), i).alias(f"{c}{i}") for c in ("rate", "copies") for i in range(k)))
+    share = lambda c, i: F.col(f"{c}{i}") / F.nullif(sum(F.col(f"{c}{j}") for j in range(k)), F.lit(0.0))
+    each = [F.struct(F.lit(name).alias("domain"), F.lit(t / total).alias("target"), share("rate", i).alias("rate_share"), share("copies", i).alias("drawn_share")) for i, (name, t) in enumerate(targets.items())]
+    return sums.select(F.inline(F.array(*each))).withColumn("gap", F.col("target") - F.col("drawn_share"))
 
 
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rated.select("doc_id", "n_tokens", "domain", *(F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(TARGETS)), "rate", drawn(rated).alias("drawn"))
+    return rated.select("doc_id", "n_tokens", "domain", *(F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(TARGETS)), "rate", drawn(rated).alias("drawn"), copies(rated).alias("copies"))

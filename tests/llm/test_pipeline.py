@@ -117,3 +117,30 @@ def test_stages_judge_rows_and_not_ids(spark, tmp_path):
     spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(2, 60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     found = {x[1] for x in got(corpus_pipeline.mixed(spark, _rows(spark, docs), str(tmp_path)))}
     assert docs[1][1] in found and docs[-1][1] not in found
+
+
+def test_mixing_draws_repeatedly_where_rates_exceed_one(spark, tmp_path):
+    r = random.Random(9)
+    kinds = ["clean", "clean", "toxic", "low"]
+    extra = {"clean": "garden river window letter", "toxic": "idiot moron scum filth", "low": "*** $$$ ### %%%"}
+    rows = []
+    for i in range(600):
+        kind = extra[kinds[i % 4]].split()
+        rows.append((i, " ".join(r.choice(kind) + str(r.randrange(9)) for _ in range(r.randrange(20, 60))), "en", "s", 1))
+    docs = _rows(spark, rows)
+    spark.createDataFrame([(i, int(i % 4 != 3), int(i % 4 == 2)) for i in range(600)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    times = {}
+    for x in corpus_pipeline.mixed(spark, docs, str(tmp_path)).collect():
+        times[x.doc_id] = times.get(x.doc_id, 0) + 1
+    rated = mixing.mix(docs, labels)
+    found = rated.withColumn("copies", mixing.copies(rated)).collect()
+    assert {x.doc_id: x.copies for x in found if x.copies} == times and max(times.values()) > 1
+    assert all(x.copies in (int(x.rate), int(x.rate) + 1) for x in found)
+    sums = [sum(times.get(x.doc_id, 0) * x.n_tokens * x.p[i] for x in found) for i in range(3)]
+    assert abs(sum(sums) / sum(x.n_tokens for x in found) - 1) < 0.1
+    gaps = {x.domain: x for x in mixing.drawn_shares(rated).collect()}
+    for i, (name, target) in enumerate(mixing.TARGETS.items()):
+        assert abs(sums[i] / sum(sums) - target) < 0.015
+        assert abs(gaps[name].rate_share - target) < 2e-3 and abs(gaps[name].drawn_share - sums[i] / sum(sums)) < 1e-9
+        assert abs(gaps[name].gap - (target - gaps[name].drawn_share)) < 1e-12
