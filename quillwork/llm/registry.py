@@ -15,6 +15,7 @@ def queries():
         "op3_byte_bpe": bpe.op3_query,
         "op4_mixing": mixing.op4_query,
         "op5_exact_dedup": exact_dedup.op5_query,
+        "exact_dedup_batches": exact_dedup.two_batches_query,
         "op6_html_text": html_text.op6_query,
         "op7_quality_rules": quality.op7_query,
         "op8_kd_sharding": sharding.op8_query,
@@ -30,5 +31,6 @@ def oracle_sql():
         "op2_line_dedup": line_dedup.OP2_SQL,
         "op2_line_dedup_whole": line_dedup.OP2_WHOLE_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
+        "exact_dedup_batches": exact_dedup.TWO_BATCHES_SQL,
         "op10_jaccard_join": jaccard.OP10_SQL,
     }

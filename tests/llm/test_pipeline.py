@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyspark.sql.functions as F
+import pytest
 import tiktoken
 
 import corpus_pipeline
@@ -76,6 +78,56 @@ def test_exact_dedup_goes_on_with_its_index(spark):
     assert sum(k for k, _ in two.values()) == 1 and again.entries().count() == 6
 
 
+@pytest.mark.parametrize(("made", "opened"), [("4", "7"), ("7", "4")])
+def test_an_index_keeps_its_buckets_and_batches_can_be_replayed(spark, tmp_path, made, opened):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    rows = [(i, f"text {i % 500} " + "é" * (i % 3)) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    answer = lambda df: sorted(map(tuple, df.collect()))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", made)
+        index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
+        one = answer(index.absorb(docs, batch="one"))
+        size = index.entries().count()
+        assert sum(x[3] for x in one) == size == len({t for _, t in rows})
+        index.close()
+        spark.conf.set("spark.sql.shuffle.partitions", opened)
+        index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
+        assert index.buckets == int(made)
+        # The same batch under another name is known; under its own name it gets its answer again.
+        assert not any(x[3] for x in answer(index.absorb(docs, batch="two")))
+        assert answer(index.absorb(docs, batch="one")) == one and index.entries().count() == size
+        # An attempt that broke off in the middle of its append.
+        more = docs.select((docs.doc_id + 5000).alias("doc_id"), F.concat("text", F.lit(" more")).alias("text"))
+        whole = answer(exact_dedup.DigestIndex(spark).absorb(more))
+        done = more.where("doc_id % 3 = 0").select(F.unhex(F.sha2("text", 256)).alias("digest"), F.lit(1).cast("long"), F.lit(1).cast("long"), F.lit("three"))
+        done = done.dropDuplicates(["digest"])
+        kept = {x[4]: x for x in whole if x[3]}
+        want = spark.createDataFrame([(x[4], x[1], x[2]) for x in kept.values()], "hex string, keep_id long, group_size long")
+        want.join(done.select(F.lower(F.hex("digest")).alias("hex")), "hex").select(F.unhex("hex"), "keep_id", "group_size", F.lit("three")).write.insertInto(index.name)
+        assert answer(index.absorb(more, batch="three")) == whole and index.entries().count() == 2 * size
+        with pytest.raises(ValueError, match="buckets"):
+            exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=int(made) + 1)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_exact_dedup_with_a_hot_text_clashing_columns_and_very_long_texts(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i % 1999}", "x", 1, True) for i in range(9000)] + [(9001, "long " * 400_000, None, None, None), (9002, "LONG " * 400_000, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string, n int, kept boolean").repartition(5)
+    groups = {}
+    for d, text, *_ in rows:
+        groups.setdefault(text.lower(), []).append(d)
+    got = {r.doc_id: r for r in exact_dedup.DigestIndex(spark).absorb(docs).collect()}
+    assert len(got) == len(rows)
+    for text, ids in groups.items():
+        for d in ids:
+            assert (got[d].keep_id, got[d].group_size, got[d].kept) == (max(ids), len(ids), d == max(ids))
+            assert got[d].text_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_repeated_rows_keep_one(spark):
     rows = spark.createDataFrame([(3, "x"), (3, "x"), (3, "X")], "doc_id long, text string")
     assert sorted(r.kept for r in exact_dedup.DigestIndex(spark).absorb(rows).collect()) == [False, False, True]
