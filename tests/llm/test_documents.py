@@ -131,23 +131,74 @@ def test_quality_base_counts_and_verdict(spark, odd, empty, texts):
     assert quality.quality_rules(empty, labels).collect() == []
 
 
-def test_shards_are_even_and_slots_gapless(spark, odd, empty, texts):
-    docs = spark.createDataFrame(texts + [(1000 + i, texts[0][1], "en", "src0") for i in range(120)], "doc_id long, text string, lang string, source string")
-    rows = sharding.kd_shards(docs, shards=8).collect()
-    size, slots = Counter(), {}
-    for r in rows:
-        size[r["shard"]] += r["size"]
-        slots.setdefault(r.shard, []).append(r.slot)
-        if r.doc_id < 240:
-            assert (r["size"], r.text_crc32) == (len(texts[r.doc_id][1].encode()) + 1, zlib.crc32(texts[r.doc_id][1].encode()))
-    assert len(rows) == 360 and sorted(size) == list(range(8))
-    assert max(size.values()) - min(size.values()) < 0.15 * sum(size.values()) / 8
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
+def plain_tree(points, parts, first=0):
+    """Shard of each (x, y, weight): split along the widest side where the weights are nearest to their share."""
+    if parts == 1:
+        return {p[:2]: first for p in points}
+    dim = max((0, 1), key=lambda d: (max(p[d] for p in points) - min(p[d] for p in points), -d))
+    points = sorted(points, key=lambda p: p[dim])
+    left_parts = -(-parts // 2)
+    goal, sums = sum(p[2] for p in points) * left_parts / parts, [0]
+    for p in points:
+        sums.append(sums[-1] + p[2])
+    cut = next(i for i, s in enumerate(sums) if s >= goal)
+    if goal - sums[cut - 1] <= sums[cut] - goal:
+        cut -= 1
+    return plain_tree(points[:cut], left_parts, first) | plain_tree(points[cut:], parts - left_parts, first + left_parts)
+
+
+@pytest.mark.parametrize("parts", [5, 16])
+def test_kd_tree_is_the_plain_one_where_bins_tell_units_apart(spark, parts):
+    r = random.Random(parts)
+    xs, ys = r.sample(range(997), 400), r.sample(range(997), 400)
+    xs[0], xs[1], ys[2], ys[3] = 0, 1000, 0, 1000  # both sides are as wide
+    points = [(x, y, r.randrange(50, 60)) for x, y in zip(xs, ys, strict=True)]
+    units = spark.createDataFrame([(i, w, x, y) for i, (x, y, w) in enumerate(points)], "unit long, weight long, x long, y long")
+    got = {points[r.unit][:2]: r.shard for r in sharding.kd_leaves(units, ["x", "y"], parts, heavy=1e9).collect()}
+    assert got == plain_tree(points, parts)
+
+
+def test_shards_are_even_texts_stay_together_and_slots_are_gapless(spark, odd, empty, texts):
+    # Sparse ids, one text in a third of all rows but less than a shard in bytes, copies of other texts.
+    rows = [(i * 10**12, t, *x) for i, t, *x in texts] + [(7 + i * 10**9, "short hot text", "en", "src0") for i in range(180)] + [(3 * 10**15 + i, texts[i % 9][1], "fr", None) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    text = dict((r[0], r[1]) for r in rows)
+    weight = Counter()
+    for t in text.values():
+        weight[t] += len(t.encode()) + 1
+    for shards in (1, 6, 16):
+        size, slots, where = Counter(), {}, {}
+        for r in sharding.kd_shards(docs, shards=shards).collect():
+            size[r["shard"]] += r["size"]
+            slots.setdefault(r.shard, []).append(r.slot)
+            where.setdefault(text[r.doc_id], set()).add(r.shard)
+            assert (r["size"], r.text_crc32) == (len(text[r.doc_id].encode()) + 1, zlib.crc32(text[r.doc_id].encode()))
+            assert (r.law, r.grown_shard, r.text_split) == ("bytes", None, False)
+        assert sum(map(len, slots.values())) == len(rows) and sorted(size) == list(range(shards))
+        assert max(size.values()) - min(size.values()) <= 2 * max(weight.values())
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert all(len(s) == 1 for s in where.values())
+    target = sum(size.values()) // 7
+    found = Counter()
+    for r in sharding.kd_shards(docs, target_bytes=target).collect():
+        found[r.shard] += r["size"]
+    assert sorted(found) == list(range(len(found))) and max(found.values()) <= target and len(found) <= 14
+
+
+def test_a_text_that_outweighs_a_shard_is_split_and_odd_rows_are_dealt(spark, odd, empty, texts):
+    rows = texts + [(1000 + i, texts[0][1] * 3, "en", "src0") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    size, split = Counter(), Counter()
+    for r in sharding.kd_shards(docs, shards=8).collect():
+        size[r.shard] += r["size"]
+        split[r.text_split] += 1
+    assert split == {True: 900, False: 240} and max(size.values()) - min(size.values()) < 0.2 * sum(size.values()) / 8
     found = sharding.kd_shards(odd, shards=4).collect()
     assert len(found) == len(ODD) and all(0 <= r.shard < 4 for r in found)
+    assert len({r.shard for r in found if r.doc_id == 6}) == 1
     assert sharding.kd_shards(empty, shards=8).collect() == []
-    assert len({r.shard for r in sharding.kd_shards(docs, target_bytes=sum(size.values()) // 3).collect()}) == 4
+    with pytest.raises(ValueError, match="shards"):
+        sharding.kd_shards(empty, shards=0)
 
 
 def test_mixing_meets_its_targets(spark, odd, empty, texts):
