@@ -1,14 +1,17 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-1. A page is read into a tree of its block elements in which neighbouring
-   siblings with one label (tag and class) are one node: a repeated record.
-   The commonest such tree of a host is its exemplar.
-2. Each page's tree is aligned with the exemplar by simple tree matching (once
-   for each distinct pair of trees). Texts are counted by host and aligned node:
-   those that most pages of the host have at a node are template.
-3. What varies is content; of it, the main text is what lies in the article (or
-   in the page, if it has none), outside menus, headers, footers, asides, forms,
-   adverts, notices and comments.
+1. A page is read once, into blocks of text and the tree of its block elements, in
+   which siblings of one label (tag and class; a bare tag also by what is in it) are
+   one node: a repeated record. The commonest such tree of a host is its exemplar.
+2. Each page's tree is aligned with the exemplar by simple tree matching. Grouped
+   sums over a host's pages then say of every node how its texts vary: those that
+   most pages have there are template; what varies is content.
+3. The wrapper of a host is the smallest part of the exemplar that holds nearly all
+   varying text, with the varying first heading above it and without lists of
+   links or stock texts that rotate. What lies outside goes: menus, adverts and
+   footers, however they vary.
+4. Element names, roles and words in class names then decide what the wrapper can't:
+   hosts with few pages, hidden elements, and what varies as articles do (comments).
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
@@ -33,226 +37,429 @@ NEVER = set("nav footer aside form button select menu dialog head script style n
 MAIN = {"article", "main"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"}
+#: Elements that are text, or structure within a text, and no region of a page.
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 li td th dd dt ul ol dl table thead tbody tr blockquote pre figure figcaption address".split())
 # Words of class and id names that mark what is not main text.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|notice\w*|alert\w*|popup|modal|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*|footer|masthead|comment\w*|repl(?:y|ies)|disqus|share|sharing|social|related|newsletter|subscribe|login)(?:$|[\s_-])",
     re.I,
 )
-TAG = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-
-#: A text is template where this share of a host's pages, and so many pages, have it at a node.
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+TELLING = re.compile(r"class|id|hidden|style", re.I)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+# Possessive, so that a tag that never closes is gone through once.
+REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+>")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+
+#: Hosts with fewer pages have no wrapper. A text is template where this share of a host's pages has it at a node.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 5
+#: A wrapper holds this share of the varying text; a node is a list of links when so much of its text is in links.
+REGION_SHARE, LINK_SHARE = 0.8, 0.7
+#: A text that is drawn from fewer than this many stock texts rotates.
+STOCK = 200
 #: Bytes of wrappers (trees of hosts) that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST = 16_000_000
 
+IN_MAIN, OUT = 1, 2
+
 
 class Page:
     """Blocks of a page in order, each with its node in the condensed tree.
 
-    ``labels`` and ``parents`` are the tree, in the order of first sight; a block
-    is ``(node, text, inside main, excluded)``.
+    ``labels`` and ``parents`` are the tree, parents before children; a block is
+    ``(node, text, flags, characters in links)``.
     """
 
     def __init__(self, source: str):
-        self.labels, self.parents, self.last = ["#"], [-1], [-1]
-        self.blocks: list[tuple[int, str, bool, bool]] = []
+        self._tags, self._above = ["#"], [-1]
+        self.blocks: list[tuple[int, str, int, int]] = []
         self._read(source)
-
-    def _child(self, parent: int, label: str) -> int:
-        last = self.last[parent]
-        if last >= 0 and self.labels[last] == label:
-            return last
-        self.labels.append(label)
-        self.parents.append(parent)
-        self.last.append(-1)
-        self.last[parent] = len(self.labels) - 1
-        return self.last[parent]
+        self._condense()
 
     def _read(self, source: str) -> None:
-        stack = [("#", 0, False, False)]  # tag, node, inside main, excluded
+        stack = [("#", 0, 0)]  # tag, node, flags
+        opened: Counter = Counter()
         held: list[str] = []
+        linked, links = 0, 0  # open links, characters in them
+        skipped, depth = "", 0  # an inline element that is left out
         at = 0
 
         def flush() -> None:
+            nonlocal links
             text = "".join(held)
             held.clear()
             if "&" in text:
                 text = html.unescape(text)
             text = " ".join(text.split())
             if text:
-                _, node, main, out = stack[-1]
-                self.blocks.append((node, text, main, out))
+                _, node, flags = stack[-1]
+                self.blocks.append((node, text, flags, min(links, len(text))))
+            links = 0
+
+        def text(piece: str) -> None:
+            nonlocal links
+            if piece and not skipped:
+                held.append(piece)
+                if linked:
+                    links += len(piece)
 
         while True:
-            m = TAG.search(source, at)
-            held.append(source[at : m.start()] if m else source[at:])
-            if not m:
+            here = source.find("<", at)
+            if here < 0:
+                text(source[at:])
                 break
-            at = m.end()
-            slash, name, rest = m.groups()
-            if name is None:
+            text(source[at:here])
+            m = NAME.match(source, here)
+            if not m:
+                if source.startswith("<!--", here):
+                    end = source.find("-->", here + 4)
+                    at = end + 3
+                elif source.startswith(("<!", "<?", "</"), here):
+                    end = source.find(">", here)
+                    at = end + 1
+                else:
+                    text("<")
+                    end, at = here, here + 1
+                if end < 0:  # a comment that never ends
+                    break
                 continue
-            name = name.lower()
+            rest = REST.match(source, m.end())
+            if not rest:  # no tag after all
+                text(source[here:])
+                break
+            at, slash, name, rest = rest.end(), source[here + 1] == "/", m.group(1).lower(), rest.group()[:-1]
             if name in INLINE:
                 if name in ("br", "wbr", "img"):
-                    held.append(" ")
+                    text(" ")
+                    continue
+                if skipped:
+                    depth += (-1 if slash else 1) if name == skipped else 0
+                    skipped = skipped if depth else ""
+                elif not slash and TELLING.search(rest) and self._left_out(self._values(rest)):
+                    skipped, depth = name, 1
+                if name == "a":
+                    linked = 0 if slash else 1
                 continue
             flush()
+            skipped, linked = "", 0
             if slash:
-                if any(s[0] == name for s in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                if opened[name]:
+                    while True:
+                        gone = stack.pop()[0]
+                        opened[gone] -= 1
+                        if gone == name:
+                            break
                 continue
-            if stack[-1][0] == "p":
-                stack.pop()
-            for closing in CLOSES.get(name, ()):
-                if stack[-1][0] == closing:
-                    stack.pop()
-            _, parent, main, out = stack[-1]
-            values = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if rest.strip() else {}
-            marks = f"{values.get('class', '')} {values.get('id', '')}"
-            main = main or name in MAIN or values.get("role") == "main" or values.get("itemprop") == "articleBody"
-            out = out or name in NEVER or (name == "header" and not main) or values.get("role") in ROLES or (name not in ("html", "body") and name not in MAIN and bool(MARKS.search(marks)))
-            node = self._child(parent, f"{name}.{values.get('class', '').strip()}" if values.get("class") else name)
+            for closing in ("p",), CLOSES.get(name, ()):
+                for _ in closing:
+                    if stack[-1][0] in closing:
+                        opened[stack.pop()[0]] -= 1
+            _, parent, flags = stack[-1]
+            values = self._values(rest) if rest.strip() else {}
+            if name in MAIN or values.get("role") == "main" or values.get("itemprop") == "articleBody":
+                flags |= IN_MAIN
+            if name in NEVER or (name == "header" and not flags & IN_MAIN) or values.get("role") in ROLES or self._left_out(values, name in MAIN or name in ("html", "body")):
+                flags |= OUT
             if name in VOID or rest.endswith("/") and name in RAW:
                 continue
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
+                end = source.find(">", end.end()) if end else -1
+                if end < 0:
+                    break
+                at = end + 1
                 continue
-            stack.append((name, node, main, out))
+            kind = re.sub(r"\d+", "0", " ".join(values.get("class", "").split()))
+            self._tags.append(f"{name}.{kind}" if kind else name)
+            self._above.append(parent)
+            stack.append((name, len(self._tags) - 1, flags))
+            opened[name] += 1
         flush()
 
+    @staticmethod
+    def _values(rest: str) -> dict[str, str]:
+        values: dict[str, str] = {}
+        for name, *found in ATTRIBUTE.findall(rest):
+            values.setdefault(name.lower(), found[0] or found[1] or found[2])
+        return values
+
+    @staticmethod
+    def _left_out(values: dict[str, str], trusted: bool = False) -> bool:
+        """Hidden, or named as something other than main text (which a trusted element is not by its name)."""
+        if not values:
+            return False
+        return "hidden" in values or bool(HIDDEN.search(values.get("style", ""))) or not trusted and bool(MARKS.search(f"{values.get('class', '')} {values.get('id', '')}"))
+
+    def _condense(self) -> None:
+        """Siblings of one label become one node; those without a class only if their insides are alike."""
+        tags, above = self._tags, self._above
+        inside: list[dict] = [{} for _ in tags]
+        known: dict[tuple, int] = {}
+        kinds = [0] * len(tags)
+        for i in range(len(tags) - 1, -1, -1):
+            own = tags[i] if "." in tags[i] else (tags[i], *reversed(inside[i]))
+            kinds[i] = known.setdefault(own, len(known))
+            if i:
+                inside[above[i]].setdefault(kinds[i])
+        self.labels, self.parents = ["#"], [-1]
+        place, nodes = {}, [0] * len(tags)
+        for i in range(1, len(tags)):
+            key = (nodes[above[i]], kinds[i])
+            if key not in place:
+                place[key] = len(self.labels)
+                self.labels.append(tags[i])
+                self.parents.append(key[0])
+            nodes[i] = place[key]
+        self.blocks = [(nodes[b[0]], *b[1:]) for b in self.blocks]
+
     def shape(self) -> str:
         """The tree as text: a parent and a label for each node."""
         return "\n".join(f"{p} {x}" for p, x in zip(self.parents, self.labels, strict=True))
 
 
-def _tree(shape: str) -> tuple[list[str], list[list[int]]]:
-    parents, labels = zip(*(line.split(" ", 1) for line in shape.split("\n")), strict=True)
-    children: list[list[int]] = [[] for _ in labels]
-    for node, parent in enumerate(map(int, parents)):
+def _tree(shape: str) -> tuple[list[str], list[int], list[list[int]]]:
+    pairs = [line.split(" ", 1) for line in shape.split("\n")]
+    parents = [int(p) for p, _ in pairs]
+    children: list[list[int]] = [[] for _ in pairs]
+    for node, parent in enumerate(parents):
         if parent >= 0:
             children[parent].append(node)
-    return list(labels), children
+    return [x for _, x in pairs], parents, children
+
+
+def _paths(labels: list[str], parents: list[int], known: dict[tuple, int]) -> list[int]:
+    """A number for the labels from the root to each node; only such nodes can be matched."""
+    out = [0] * len(labels)
+    for i in range(1, len(labels)):
+        out[i] = known.setdefault((out[parents[i]], labels[i]), len(known) + 1)
+    return out
 
 
 def align(shape: str, exemplar: str) -> dict[int, int]:
     """Simple tree matching: nodes of ``shape`` to nodes of ``exemplar``, as many as order and labels allow."""
     if shape == exemplar:
         return {i: i for i in range(shape.count("\n") + 1)}
-    (la, ca), (lb, cb) = _tree(shape), _tree(exemplar)
-    tables: dict[tuple[int, int], list[list[int]]] = {}
+    (la, pa_, ca), (lb, pb, cb) = _tree(shape), _tree(exemplar)
+    known: dict[tuple, int] = {}
+    a, b = _paths(la, pa_, known), _paths(lb, pb, known)
+    partners: dict[int, list[int]] = {}
+    for j, path in enumerate(b):
+        partners.setdefault(path, []).append(j)
+    here = set(a)
+    tables: dict[tuple[int, int], tuple[np.ndarray, list[int], list[int]]] = {}
     weight: dict[tuple[int, int], int] = {}
     # Children come after their parents, so going backwards meets them first.
-    by_label: dict[str, list[int]] = {}
-    for j, label in enumerate(lb):
-        by_label.setdefault(label, []).append(j)
-    for i in reversed(range(len(la))):
-        for j in by_label.get(la[i], ()):
-            m = [[0] * (len(cb[j]) + 1) for _ in range(len(ca[i]) + 1)]
-            for x, u in enumerate(ca[i], 1):
-                for y, v in enumerate(cb[j], 1):
-                    m[x][y] = max(m[x - 1][y], m[x][y - 1], m[x - 1][y - 1] + weight.get((u, v), 0))
-            tables[i, j], weight[i, j] = m, m[-1][-1] + 1
+    for i in range(len(la) - 1, -1, -1):
+        us = [u for u in ca[i] if a[u] in partners]
+        for j in partners.get(a[i], ()):
+            vs = [v for v in cb[j] if b[v] in here]
+            m = np.zeros((len(us) + 1, len(vs) + 1), np.int32)
+            for x, u in enumerate(us, 1):
+                row = m[x - 1].copy()
+                for y, v in enumerate(vs, 1):
+                    w = weight.get((u, v))
+                    if w and m[x - 1, y - 1] + w > row[y]:
+                        row[y] = m[x - 1, y - 1] + w
+                m[x] = np.maximum.accumulate(row)
+            tables[i, j], weight[i, j] = (m, us, vs), int(m[-1, -1]) + 1
     pairs, todo = {}, [(0, 0)]
     while todo:
         i, j = todo.pop()
         pairs[i] = j
-        m, x, y = tables[i, j], len(ca[i]), len(cb[j])
+        m, us, vs = tables[i, j]
+        x, y = len(us), len(vs)
         while x and y:
-            if m[x][y] == m[x - 1][y]:
+            if m[x, y] == m[x - 1, y]:
                 x -= 1
-            elif m[x][y] == m[x][y - 1]:
+            elif m[x, y] == m[x, y - 1]:
                 y -= 1
             else:
                 x, y = x - 1, y - 1
-                todo.append((ca[i][x], cb[j][y]))
+                todo.append((us[x], vs[y]))
     return pairs
 
 
-def _name(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
 class _Aligner:
+    """Places of a tree's nodes in an exemplar, -1 where there is none; trees seen before are remembered."""
+
     def __init__(self):
-        self.known: dict[tuple[str, str], dict[int, int]] = {}
+        self.known: dict[tuple[str, str], np.ndarray] = {}
 
-    def __call__(self, shape: str, exemplar: str) -> dict[int, int]:
+    def __call__(self, shape: str, exemplar: str) -> np.ndarray:
         key = (shape, exemplar)
         if key not in self.known:
             if len(self.known) > 10_000:
                 self.known.clear()
-            self.known[key] = align(shape, exemplar)
+            out = np.full(shape.count("\n") + 1, -1)
+            for i, j in align(shape, exemplar).items():
+                out[i] = j
+            self.known[key] = out
         return self.known[key]
 
 
-def _shapes_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def induce(exemplar: str, slots: list[dict]) -> tuple[list[bool], list[int]]:
+    """The wrapper of a host: for each node of the exemplar whether it is inside; and nodes inside that hold no main text.
+
+    A slot is ``node, blocks, chars, links, varying, again``: a node's blocks, their
+    characters, those in links, those of texts that are not template, and in how
+    many pairs of its blocks, from pages with different articles, the texts are equal.
+    """
+    labels, parents, children = _tree(exemplar)
+    tag = [x.split(".", 1)[0] for x in labels]
+    linked = {s["node"] for s in slots if s["links"] >= LINK_SHARE * s["chars"] > 0}
+    mass = [0] * len(labels)
+    for s in slots:
+        if s["node"] not in linked:
+            mass[s["node"]] = s["varying"]
+    varies = [m > 0 for m in mass]
+    if not any(varies):  # links are all there is
+        linked = set()
+        for s in slots:
+            mass[s["node"]] = s["varying"]
+    for i in range(len(labels) - 1, 0, -1):
+        mass[parents[i]] += mass[i]
+    region = 0
+    while True:
+        fits = [c for c in children[region] if mass[c] >= REGION_SHARE * mass[0] > 0 and tag[c] not in TEXTUAL]
+        if not fits:
+            break
+        region = fits[0]
+    inside = [False] * len(labels)
+    for i in range(len(labels)):
+        inside[i] = i == region or i > 0 and inside[parents[i]]
+    above, i = set(), region
+    while i >= 0:
+        above.add(i)
+        i = parents[i]
+    if not any(tag[i] == "h1" and inside[i] and varies[i] for i in range(len(labels))):
+        for i in range(len(labels)):
+            inside[i] = inside[i] or tag[i] == "h1" and varies[i] and parents[i] in above
+    stock = {s["node"] for s in slots if tag[s["node"]] not in TEXTUAL and s["again"] >= 3 and s["blocks"] * (s["blocks"] - 1) / 2 < STOCK * s["again"]}
+    return inside, sorted(n for n in linked | stock if inside[n])
+
+
+def _name(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+READ = "page_id long, url string, host string, shape string, article long, nodes array<int>, names array<long>, lengths array<int>, links array<int>, flags array<int>, texts array<string>"
+
+
+def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen = Counter((host, Page(source).shape()) for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["host", "shape", "n"])
+        pages = [Page(source) for source in batch.column(3).to_pylist()]
+        blocks = [p.blocks for p in pages]
+        names = [[_name(b[1]) for b in own] for own in blocks]
+        longest = [names[i][max(range(len(own)), key=lambda k: (len(own[k][1]), -k))] if own else 0 for i, own in enumerate(blocks)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(i) for i in range(3)), pa.array([p.shape() for p in pages], pa.string()), pa.array(longest, pa.int64()),
+                pa.array([[b[0] for b in own] for own in blocks], pa.list_(pa.int32())), pa.array(names, pa.list_(pa.int64())), pa.array([[len(b[1]) for b in own] for own in blocks], pa.list_(pa.int32())),
+                pa.array([[b[3] for b in own] for own in blocks], pa.list_(pa.int32())), pa.array([[b[2] for b in own] for own in blocks], pa.list_(pa.int32())), pa.array([[b[1] for b in own] for own in blocks], pa.list_(pa.string())),
+            ],
+            [c.split(" ")[0] for c in READ.split(", ")],
+        )
 
 
 def _texts_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a batch by host, node, text and article: pages, blocks, characters, characters in links."""
     aligned = _Aligner()
     for batch in batches:
-        seen: Counter = Counter()
-        for host, source, exemplar in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            page = Page(source)
-            nodes = aligned(page.shape(), exemplar)
-            seen.update({(host, nodes[b[0]], _name(b[1])) for b in page.blocks if b[0] in nodes and not b[3]})
-        keys = list(seen)
+        seen: dict[tuple, list[int]] = {}
+        for host, shape, exemplar, article, nodes, names, lengths, links in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            place = aligned(shape, exemplar)
+            own = set()
+            for node, name, length, link in zip(nodes, names, lengths, links, strict=True):
+                if place[node] < 0:
+                    continue
+                key = (host, int(place[node]), name, article)
+                sums = seen.setdefault(key, [0, 0, 0, 0])
+                sums[0] += key not in own
+                own.add(key)
+                sums[1] += 1
+                sums[2] += length
+                sums[3] += link
+        keys, sums = list(seen), np.array(list(seen.values()), np.int64).reshape(-1, 4)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())],
-            ["host", "node", "name", "n"],
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array([k[3] for k in keys], pa.int64()), *(pa.array(sums[:, c]) for c in range(4))],
+            ["host", "node", "name", "article", "pages", "blocks", "chars", "links"],
         )
 
 
+def _induce_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [induce(e, s or []) for e, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.bool_())), pa.array([f[1] for f in found], pa.list_(pa.int32()))], ["host", "exemplar", "inside", "dropped"])
+
+
 def _extract_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     aligned = _Aligner()
     for batch in batches:
-        texts = []
-        for source, exemplar, constant in zip(*(batch.column(i).to_pylist() for i in range(2, 5)), strict=True):
-            page = Page(source)
-            nodes = aligned(page.shape(), exemplar)
-            template = {(c["node"], c["name"]) for c in constant or ()}
-            varying = [b for b in page.blocks if not b[3] and not (template and (nodes.get(b[0]), _name(b[1])) in template)]
-            inside = any(b[2] for b in page.blocks if not b[3])
-            texts.append("\n\n".join(b[1] for b in varying if b[2] or not inside))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        texts, by_wrapper, by_marks = [], [], []
+        for shape, nodes, names, flags, own, exemplar, inside, dropped, constant in zip(*(batch.column(i).to_pylist() for i in range(2, 11)), strict=True):
+            kept = list(range(len(nodes)))
+            if exemplar is not None:
+                place = aligned(shape, exemplar)
+                parents = [int(line.split(" ", 1)[0]) for line in shape.split("\n")]
+                near = place.copy()  # a node without a place is where its parent is
+                for i in range(1, len(near)):
+                    near[i] = near[i] if near[i] >= 0 else near[parents[i]]
+                template, gone = {(c["node"], c["name"]) for c in constant or ()}, set(dropped)
+                kept = [k for k in kept if inside[near[nodes[k]]] and near[nodes[k]] not in gone and (place[nodes[k]], names[k]) not in template]
+            by_wrapper.append(len(nodes) - len(kept))
+            held = [k for k in kept if not flags[k] & OUT]
+            if any(flags[k] & IN_MAIN for k in held):
+                held = [k for k in held if flags[k] & IN_MAIN]
+            by_marks.append(len(kept) - len(held))
+            texts.append("\n\n".join(own[k] for k in held))
+        counts = ([len(t) for t in texts], by_wrapper, by_marks)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], ["page_id", "url", "text", "n_chars", "n_by_wrapper", "n_by_marks"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = TEMPLATE_SHARE, least_pages: int = TEMPLATE_PAGES) -> DataFrame:
-    """``page_id, url, text, n_chars`` for each input row.
+    """``page_id, url, text, n_chars, n_by_wrapper, n_by_marks`` for each input row; the last two count the blocks that were removed.
 
     Null or empty html gives an empty text; pages without a host form a group of
     their own. Character references are decoded, white space within a block
     (non-breaking spaces too) becomes one space, blocks are joined by two line
-    feeds. Malformed markup is read as it comes: an unclosed paragraph ends where a
-    block begins, an unclosed script runs to the end. Of a host, counts by node and
-    text are all that is gathered, added up before they are shuffled.
+    feeds. Malformed markup is read as it comes, in one pass: an unclosed paragraph
+    ends where a block begins, an unclosed script or comment runs to the end, a tag
+    that never closes is text. Hidden elements are left out. Hosts with fewer than
+    ``least_pages`` pages have no wrapper. Of a host, counts by node and text are
+    all that is gathered, added up before they are shuffled; a page whose longest
+    block equals another's counts as its copy.
     """
     spark = pages.sparkSession
     bounded_batches(spark, 200)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), text_or_empty(html_col).alias("html"))
-    shapes = rows.select("host", "html").mapInArrow(_shapes_task, "host string, shape string, n long").groupBy("host", "shape").agg(F.sum("n").alias("n"))
-    hosts = written(shapes.groupBy("host").agg(F.max(F.struct("n", "shape"))["shape"].alias("exemplar"), F.sum("n").alias("pages")), "hosts")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), text_or_empty(html_col).alias("html"))
+    read = written(rows.mapInArrow(_read_task, READ), "read")
+    shapes = read.groupBy("host", "shape").agg(F.count("*").alias("n"))
+    hosts = written(shapes.groupBy("host").agg(F.max(F.struct("n", "shape"))["shape"].alias("exemplar"), F.sum("n").alias("host_pages")).where(F.col("host_pages") >= least_pages), "hosts")
     held = hosts.agg(F.count("*").alias("n"), F.sum(F.length("exemplar")).alias("chars")).first()
+    side = lambda df, small: F.broadcast(df) if small else df
     few = 100 * held["n"] + (held["chars"] or 0) <= BROADCAST
-    side = lambda df: F.broadcast(df) if few else df
     counted = (
-        rows.join(side(hosts.select("host", "exemplar")), "host").select("host", "html", "exemplar")
-        .mapInArrow(_texts_task, "host string, node int, name long, n long").groupBy("host", "node", "name").agg(F.sum("n").alias("n")).where(F.col("n") >= least_pages)
+        read.join(side(hosts.select("host", "exemplar"), few), "host").select("host", "shape", "exemplar", "article", "nodes", "names", "lengths", "links")
+        .mapInArrow(_texts_task, "host string, node int, name long, article long, pages long, blocks long, chars long, links long")
+        .groupBy("host", "node", "name", "article").agg(*(F.sum(c).alias(c) for c in ("pages", "blocks", "chars", "links")))
+        .groupBy("host", "node", "name").agg(F.count("*").alias("articles"), *(F.sum(c).alias(c) for c in ("pages", "blocks", "chars", "links")))
+    )
+    counted = counted.join(side(hosts.select("host", "host_pages"), few), "host").withColumn("constant", (F.col("pages") >= share * F.col("host_pages")) & (F.col("pages") >= least_pages))
+    counted = written(counted, "counted")
+    slots = counted.groupBy("host", "node").agg(
+        F.sum("blocks").alias("blocks"), F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.sum(F.when(F.col("constant"), 0).otherwise(F.col("chars"))).alias("varying"),
+        F.sum((F.col("articles") * (F.col("articles") - 1) / 2).cast("long")).alias("again"),
     )
-    template = (
-        counted.join(side(hosts.select("host", "pages")), "host").where(F.col("n") >= share * F.col("pages"))
-        .groupBy("host").agg(F.collect_list(F.struct("node", "name")).alias("constant"))
+    slots = slots.groupBy("host").agg(F.collect_list(F.struct("node", "blocks", "chars", "links", "varying", "again")).alias("slots"))
+    induced = hosts.join(slots, "host", "left").select("host", "exemplar", "slots").mapInArrow(_induce_task, "host string, exemplar string, inside array<boolean>, dropped array<int>")
+    constants = counted.where("constant").groupBy("host").agg(F.collect_list(F.struct("node", "name")).alias("constant"))
+    wrappers = written(induced.join(constants, "host", "left"), "wrappers")
+    size = wrappers.agg(F.sum(F.length("exemplar") + F.size("inside") + 16 * F.coalesce(F.size("constant"), F.lit(0)))).first()[0] or 0
+    return (
+        read.join(side(wrappers, 100 * held["n"] + size <= BROADCAST), "host", "left").select("page_id", "url", "shape", "nodes", "names", "flags", "texts", "exemplar", "inside", "dropped", "constant")
+        .mapInArrow(_extract_task, "page_id long, url string, text string, n_chars long, n_by_wrapper long, n_by_marks long")
     )
-    wrappers = written(hosts.join(template, "host", "left").select("host", "exemplar", "constant"), "wrappers")
-    return rows.join(side(wrappers), "host").select("page_id", "url", "html", "exemplar", "constant").mapInArrow(_extract_task, "page_id long, url string, text string, n_chars long")
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
