@@ -2,10 +2,9 @@
 
 A unit is a line (or, with ``delimiter='\\n\\n'``, a paragraph). Its digest covers the
 lower-cased unit with runs of white space as one space. Of all units with one
-digest the one with the smallest (doc_id, position) stays. Units of fewer than
-``least_words`` words are always kept, and so are empty ones; with ``least_words=1``
-every unit that is not empty takes part. Removed units are reported by their
-character offsets in the original text.
+digest the one with the smallest (doc_id, position) stays. Every unit that is not
+empty takes part, unless ``least_words`` sets a floor. Removed units are reported by
+their character offsets in the original text.
 """
 
 from __future__ import annotations
@@ -18,14 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from .shared import LAST, bounded_batches, rank_id, text_or_empty, written
 
-LEAST_WORDS = 10
+#: Digests with more than one in so many of all units are fewer than this many; they are broadcast.
+HOT = 4096
 
 
 def normalised(unit: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(unit, r"[ \t\x0B\f\r\n]+", " ")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", delimiter: str = "\n", least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", delimiter: str = "\n", least_words: int = 1) -> DataFrame:
     """``doc_id, n_units, n_removed, removed_spans, text`` for each input row.
 
     ``removed_spans``: ``start-end`` character offsets (end exclusive), joined by
@@ -44,11 +44,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("rank", "pos", F.unhex(F.md5("unit")).alias("digest"))
     )
     each = written(each, "units")
-    first = each.groupBy("digest").agg(F.min(F.struct("rank", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    removed = (
-        each.join(first, "digest").where(F.struct("rank", "pos") != F.col("first"))
-        .groupBy("rank").agg(F.collect_set("pos").alias("removed"))
-    )
+    first = written(each.groupBy("digest").agg(F.min(F.struct("rank", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    # Copies of hot units, which are few by their size, find their first by a broadcast; no other digest fills a task.
+    most = max(1, (first.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.broadcast(first.where(F.col("n") > most))
+    rest = each.join(F.broadcast(first.where(F.col("n") > most).select("digest")), "digest", "left_anti").join(first.where(F.col("n") <= most), "digest")
+    removed = each.join(hot, "digest").unionByName(rest).where(F.struct("rank", "pos") != F.col("first")).groupBy("rank").agg(F.collect_set("pos").alias("removed"))
     removed = removed.withColumnRenamed("rank", "rank_")
     joined = texts.join(removed, F.col("rank") == F.col("rank_"), "left").select("doc_id", "text", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
@@ -86,7 +87,7 @@ def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_whole_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_words=1)
+    return op2_query(spark, sf_dir)
 
 
 OP2_SQL = rf"""
@@ -97,7 +98,7 @@ k AS (
     coalesce(sum(length(unit) + 1) OVER (PARTITION BY rank ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM u
 ), f AS (
-  SELECT *, CASE WHEN len(string_split(norm, ' ')) >= {LEAST_WORDS} THEN row_number() OVER (PARTITION BY norm ORDER BY rank, pos) ELSE 1 END AS nth FROM k
+  SELECT *, CASE WHEN norm <> '' THEN row_number() OVER (PARTITION BY norm ORDER BY rank, pos) ELSE 1 END AS nth FROM k
 )
 SELECT d.doc_id, count(*) AS n_units, count(*) FILTER (nth > 1) AS n_removed,
   coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(start + length(unit) AS BIGINT) AS VARCHAR), ',' ORDER BY pos) FILTER (nth > 1), '') AS removed_spans,
@@ -105,5 +106,5 @@ SELECT d.doc_id, count(*) AS n_units, count(*) FILTER (nth > 1) AS n_removed,
 FROM d JOIN f USING (rank) GROUP BY d.doc_id
 """
 
-#: The same without the floor: every unit that is not empty.
-OP2_WHOLE_SQL = OP2_SQL.replace(f"len(string_split(norm, ' ')) >= {LEAST_WORDS}", "norm <> ''")
+#: The name under which every unit took part before that became the rule.
+OP2_WHOLE_SQL = OP2_SQL

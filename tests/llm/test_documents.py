@@ -56,7 +56,7 @@ def test_lines_against_plain_version(spark, texts):
         at, kept, spans = 0, [], []
         for line in text.split("\n"):
             norm = re.sub(r"[ \t\x0B\f\r\n]+", " ", line).strip(" ").lower()
-            if len(norm.split(" ")) >= line_dedup.LEAST_WORDS and norm in seen:
+            if norm and norm in seen:
                 spans.append(f"{at}-{at + len(line)}")
             else:
                 kept.append(line)
@@ -65,6 +65,12 @@ def test_lines_against_plain_version(spark, texts):
         assert got[d] == (text.count("\n") + 1, len(spans), ",".join(spans), "\n".join(kept))
 
 
+def test_a_floor_leaves_short_lines_alone(spark):
+    rows = [(1, "a b c\nd e"), (2, "a b c\nd e\na  B c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, least_words=3).collect()} == {1: "a b c\nd e", 2: "d e"}
+
+
 def test_short_lines_are_deduplicated_without_a_floor(spark, tmp_path):
     rows = [(1, "Chapter one\n\ntext of the first\n \t"), (2, "chapter  ONE\n\nmore"), (3, "more\nmore\nmore"), (None, "text of the first\nlast"), (4, None), (5, ""), (6, "Chapter one")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
