@@ -217,6 +217,14 @@ class Page:
         return "\n".join(f"{p} {x}" for p, x in zip(self.parents, self.labels, strict=True))
 
 
+def plain(source: str) -> str:
+    """The text of a page by itself: what its element names, roles and class names leave."""
+    blocks = [b for b in Page(source).blocks if not b[2] & OUT]
+    if any(b[2] & IN_MAIN for b in blocks):
+        blocks = [b for b in blocks if b[2] & IN_MAIN]
+    return "\n\n".join(b[1] for b in blocks)
+
+
 def _tree(shape: str) -> tuple[list[str], list[int], list[list[int]]]:
     pairs = [line.split(" ", 1) for line in shape.split("\n")]
     parents = [int(p) for p, _ in pairs]

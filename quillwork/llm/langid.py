@@ -1,12 +1,16 @@
 """Language ID by Bayesian fusion of text, declared language, address suffix and host.
 
 1. Byte-trigram counts of the texts, grouped by the language declared for them,
-   give a likelihood of each text under each language.
+   give a likelihood of each text under each language. Every declared language is
+   modelled, however rare, once its texts hold ``LEAST_GRAMS`` trigrams in all. A
+   text that fits even its likeliest language far worse than that language's own
+   texts do is in none of them: ``und``.
 2. From the text-only posteriors of all rows, grouped aggregation gives
    P(declared | language), P(suffix | language) and P(language | host); a host's
    share is smoothed towards that of its site, a site's towards the whole.
 3. The four are added up as logarithms. A row is rejected when its text has no
-   letters or when no language reaches the fixed threshold.
+   letters, when it is in no modelled language, or when no language reaches the
+   fixed threshold.
 """
 
 from __future__ import annotations
@@ -19,13 +23,20 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from . import html_text
 from .hashed import trigrams
 from .shared import bounded_batches, text_or_empty, written
 from .words import slices
 
 FEATURES = 1 << 14
-#: A language is modelled when it is declared for this share of all rows at least.
-LEAST_SHARE = 0.002
+#: A language is modelled when the texts declared to be in it hold so many trigrams.
+LEAST_GRAMS = 100
+#: Languages that can be modelled: a table of trigrams for each is broadcast (64 KB). More is an error.
+MOST_LANGUAGES = 500
+#: Trigrams of all texts that the smoothing of a language counts for.
+SMOOTHING = 500.0
+#: A text of n trigrams that lies this far below its language's own texts, in nats a trigram, is in no modelled language: APART + SHORT / sqrt(n).
+APART, SHORT = 3.0, 8.0
 #: Weight of one trigram: neighbours overlap, so each counts for a part.
 TEMPER = 0.25
 #: Most that the text may say for or against a language, in nats a document.
@@ -38,7 +49,7 @@ BROADCAST = 2_000_000
 
 
 def _letters_table() -> np.ndarray:
-    """Letters in lower case (bytes of other scripts as they are), all else white space."""
+    """Letters in lower case (bytes beyond ASCII as they are), all else white space."""
     table = np.full(256, 32, np.uint8)
     table[97:123] = np.arange(97, 123)
     table[65:91] = np.arange(97, 123)
@@ -46,16 +57,15 @@ def _letters_table() -> np.ndarray:
     return table
 
 
-def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigrams with a letter in them: feature and text number; letters of each text."""
+def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams with a letter in them: feature and text number."""
     letters = _letters_table()[np.frombuffer(b"   ".join(texts) + b"   ", np.uint8)]
     bounds = np.concatenate([[0], np.cumsum([len(t) + 3 for t in texts])])
     is_letter = letters != 32
-    total = np.concatenate([[0], np.cumsum(is_letter, dtype=np.int64)])
     feature = trigrams(letters)
     text = np.repeat(np.arange(len(texts)), np.diff(bounds))[: len(feature)]
     some = is_letter[:-2] | is_letter[1:-1] | is_letter[2:]
-    return feature[some], text[some], total[bounds[1:]] - total[bounds[:-1]]
+    return feature[some], text[some]
 
 
 def _count_task(languages: list[str]):
@@ -66,7 +76,7 @@ def _count_task(languages: list[str]):
         for batch in batches:
             declared = batch.column(0).to_pylist()
             for row, texts in slices(batch):
-                feature, text, _ = _grams(texts)
+                feature, text = _grams(texts)
                 own = np.array([number.get(declared[row + d], -1) for d in range(len(texts))])[text]
                 at = own[own >= 0] * FEATURES + feature[own >= 0]
                 counts += np.bincount(at, minlength=counts.size).reshape(counts.shape)
@@ -81,14 +91,15 @@ def _likelihood_task(table):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = table.value
         for batch in batches:
-            for row, texts in slices(batch, 4):
-                feature, text, letters = _grams(texts)
-                found = np.stack([np.bincount(text, own[feature], len(texts)) for own in logs], 1) * TEMPER
-                found = found - found.max(1, keepdims=True)
-                found = np.maximum(found, -TEXT_NATS)
+            for row, texts in slices(batch, 5):
+                feature, text = _grams(texts)
+                raw = np.stack([np.bincount(text, own[feature], len(texts)) for own in logs], 1)
+                grams = np.bincount(text, minlength=len(texts))
+                found = np.maximum((raw - raw.max(1, keepdims=True)) * TEMPER, -TEXT_NATS)
                 offsets = pa.array(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32))
-                keep = [batch.column(c).slice(row, len(texts)) for c in range(4)]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(letters), pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], ["doc_id", "declared", "suffix", "host", "letters", "text_log"])
+                keep = [batch.column(c).slice(row, len(texts)) for c in range(5)]
+                sums = [pa.array(grams), pa.array(raw.argmax(1).astype(np.int32)), pa.array(raw.max(1))]
+                yield pa.RecordBatch.from_arrays([*keep, *sums, pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], ["doc_id", "declared", "suffix", "host", "letters", "grams", "nearest", "fit", "text_log"])
 
     return task
 
@@ -110,7 +121,7 @@ def _add(*arrays: Column) -> Column:
 
 
 def _sums(languages: int) -> list[Column]:
-    return [F.sum(F.when(F.col("letters") > 0, F.col("text_p")[i]).otherwise(0.0)).alias(f"s{i}") for i in range(languages)]
+    return [F.sum(F.when(F.col("known"), F.col("text_p")[i]).otherwise(0.0)).alias(f"s{i}") for i in range(languages)]
 
 
 def _counts(languages: int) -> Column:
@@ -121,36 +132,47 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     """``doc_id, language, posterior, kept`` for each input row.
 
     ``declared``, ``suffix``, ``host``: string columns of ``docs``, each optional; a
-    null or empty one is no evidence. A text without letters (null, empty, digits
-    only) has language ``und``, posterior 0, and is rejected. Without any declared
-    language there is nothing to learn from: every text is ``und`` and is kept if
-    it has letters. Ties go to the language that comes first in the alphabet. Rows
-    with the same id are judged each by itself.
+    null or empty one is no evidence; of a declared tag such as ``en-GB`` the first
+    part counts. A text without letters (null, empty, digits or dashes only) and one
+    that fits no modelled language have language ``und``, posterior 0, and are
+    rejected; so are texts of a language for which too little text is declared,
+    unless they are too short to tell. Languages as close to a modelled one as its
+    own texts are to each other are taken for it. Without any language to model there
+    is nothing to learn from: every text is ``und`` and is kept if it has letters.
+    Ties go to the language that comes first in the alphabet. Rows with the same id
+    are judged each by itself.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     blank = F.lit(None).cast("string")
     clean = lambda c: F.nullif(F.lower(F.trim((blank if c is None else c).cast("string"))), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), clean(declared).alias("declared"), clean(suffix).alias("suffix"), clean(host).alias("host"), text_or_empty(text_col).alias("text")
-    )
-    # At most 1 / LEAST_SHARE languages, whatever the input.
-    names = rows.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n"))
-    total = names.agg(F.sum("n")).first()[0] or 0
-    languages = sorted(r["declared"] for r in names.where(F.col("n") >= max(1, LEAST_SHARE * total)).select("declared").collect())
+    primary = F.nullif(F.split(clean(declared), "[-_]")[0], F.lit(""))
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), primary.alias("declared"), clean(suffix).alias("suffix"), clean(host).alias("host"), text.rlike(r"\p{L}").alias("letters"), text.alias("text"))
+    names = [r["declared"] for r in rows.where("declared is not null").select("declared").distinct().limit(MOST_LANGUAGES + 1).collect()]
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} declared languages; clean the column first")
+    languages, counts = sorted(names), np.zeros((len(names), FEATURES))
+    if languages:
+        counted = rows.select("declared", "text").mapInArrow(_count_task(languages), "which int, feature int, n long").groupBy("which", "feature").agg(F.sum("n").alias("n")).toArrow()
+        counts[counted["which"].to_numpy(), counted["feature"].to_numpy()] = counted["n"].to_numpy()
+    enough = counts.sum(1) >= LEAST_GRAMS
+    everything = counts.sum(0) + 0.5
+    languages, counts = [x for x, e in zip(languages, enough, strict=True) if e], counts[enough]
     if not languages:
-        letters = F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]")
-        return rows.select("doc_id", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), letters.alias("kept"))
+        return rows.select("doc_id", F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.col("letters").alias("kept"))
     n = len(languages)
-
-    counted = rows.select("declared", "text").mapInArrow(_count_task(languages), "which int, feature int, n long").groupBy("which", "feature").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((n, FEATURES))
-    counts[counted["which"].to_numpy(), counted["feature"].to_numpy()] = counted["n"].to_numpy()
-    logs = np.log((counts + 0.5) / (counts + 0.5).sum(1, keepdims=True))
+    logs = np.log((counts + SMOOTHING * everything / everything.sum()) / (counts.sum(1, keepdims=True) + SMOOTHING))
     likely = rows.mapInArrow(
-        _likelihood_task(spark.sparkContext.broadcast(logs)), "doc_id long, declared string, suffix string, host string, letters long, text_log array<double>"
+        _likelihood_task(spark.sparkContext.broadcast(logs)),
+        "doc_id long, declared string, suffix string, host string, letters boolean, grams long, nearest int, fit double, text_log array<double>",
     )
-    likely = written(likely.withColumn("text_p", _softmax(F.col("text_log"))).withColumn("site", _site(F.col("host"))), "likely")
+    likely = written(likely.withColumn("text_p", _softmax(F.col("text_log"))).withColumn("site", _site(F.col("host"))), "scored")
+    # How well the texts that are nearest to a language fit it: one row a language.
+    own = likely.where("grams > 0").groupBy("nearest").agg((F.sum("fit") / F.sum("grams")).alias("own"))
+    near = F.col("fit") / F.col("grams") >= F.col("own") - APART - SHORT / F.sqrt("grams")
+    likely = likely.join(F.broadcast(own), "nearest", "left").withColumn("known", F.col("letters") & F.coalesce(near, F.lit(True))).drop("nearest", "fit", "own", "grams")
+    likely = written(likely, "likely")
 
     whole = likely.agg(*_sums(n)).first()
     whole = np.array([whole[f"s{i}"] or 0.0 for i in range(n)]) + 1.0
@@ -174,7 +196,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
         fused = fused.join(F.broadcast(found) if found.count() * (n + 2) <= BROADCAST else found, name, "left")
     prior = F.coalesce("host_log", F.transform(base, lambda x: F.log(x)))
     posterior = _softmax(_add(F.col("text_log"), F.coalesce("declared_log", zero), F.coalesce("suffix_log", zero), prior))
-    some = F.col("letters") > 0
+    some = F.col("known")
     best = F.array_max("posterior_all")
     names_column = F.array(*(F.lit(x) for x in languages))
     return (
@@ -194,16 +216,36 @@ def of_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return identify(docs, id_col=id_col, declared=F.col("lang"), host=F.col("source"))
 
 
+def _bare_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [html_text.plain(source) for source in batch.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(texts, pa.string())], ["page_id", "said", "end", "at", "text"])
+
+
 def of_pages(pages: DataFrame) -> DataFrame:
-    """``pages``: all four kinds of evidence, from the markup and the address."""
+    """``pages``: all four kinds of evidence, from the markup and the address; the text is the page's own, references decoded."""
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1)
-    bare = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<script.*?</script>|<style.*?</style>|<[^>]*>|&[a-z]+;", " ")
-    said = F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z]{2,3})", 1)
-    parts = pages.select("page_id", bare.alias("text"), said.alias("said"), F.substring_index(host, ".", -1).alias("end"), host.alias("at"))
+    said = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html[^>]*\blang=[\"']?([a-z]{2,3})", 1)
+    bounded_batches(pages.sparkSession)
+    parts = pages.select(F.col("page_id").cast("long").alias("page_id"), said.alias("said"), F.substring_index(host, ".", -1).alias("end"), host.alias("at"), text_or_empty("html").alias("html"))
+    parts = parts.mapInArrow(_bare_task, "page_id long, said string, end string, at string, text string")
     found = identify(parts, id_col="page_id", declared=F.col("said"), suffix=F.col("end"), host=F.col("at"))
     return found.withColumnRenamed("doc_id", "page_id")
 
 
+def held_out_accuracy(docs: DataFrame, fold: int = 5, **evidence: Column) -> DataFrame:
+    """``language, n, right, kept`` by declared language, over the one in ``fold`` rows whose declaration is hidden from the model.
+
+    Rows are told apart by a key of their own; those without a declaration are left out.
+    """
+    docs = written(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    hidden = F.pmod(F.xxhash64("row_key"), F.lit(fold)) == 0
+    truth = docs.where(hidden & F.col("lang").isNotNull()).select(F.col("row_key").alias("doc_id"), F.lower("lang").alias("truth"))
+    found = identify(docs.withColumn("lang", F.when(~hidden, F.col("lang"))), id_col="row_key", declared=F.col("lang"), **evidence)
+    joined = truth.join(found, "doc_id").groupBy("truth")
+    return joined.agg(F.count("*").alias("n"), F.sum((F.col("language") == F.col("truth")).cast("long")).alias("right"), F.sum(F.col("kept").cast("long")).alias("kept")).withColumnRenamed("truth", "language")
+
+
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

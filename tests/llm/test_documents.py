@@ -252,3 +252,74 @@ def test_language_id_of_pages_uses_markup_suffix_and_host(spark):
     found = {r.page_id: r for r in langid.of_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(found[i].language == ("fr" if i % 2 else "en") for i in range(30))
     assert found[31].language == "fr" and (found[30].language, found[30].kept) == ("und", False)
+
+
+def test_rare_languages_are_modelled_and_unknown_ones_rejected(spark):
+    r = random.Random(12)
+    vocab = {"en": "the of and that with from this have", "fr": "le la les des une dans pour avec", "de": "der die und das nicht ein zu ist", "fi": "hyv\u00e4\u00e4 yll\u00e4 ty\u00f6 mutta joka niin kuin kyll\u00e4"}
+    text = lambda lang, n: " ".join(r.choice(vocab[lang].split()) for _ in range(n))
+    rows = [(i, text("en" if i % 4 else "fr", 80), "en" if i % 4 else "fr-CA", f"s{i % 5}") for i in range(4000)]
+    rows += [(5000 + i, text("de", 120), "de", "s1") for i in range(3)] + [(5003, text("de", 40), None, "s1")]
+    rows += [(6000 + i, text("fi", 100), None if i else "fi", "s1") for i in range(4)]  # declared once, in too short a text
+    rows[-4] = (6000, text("fi", 8), "fi", "s1")
+    rows += [(7000, "\u2014 \u2014 \u2026 \u00ab\u00bb", "en", "s1"), (7001, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0\u3067\u3059 " * 9, None, "s1")]
+    found = {x.doc_id: x for x in langid.of_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)).collect()}
+    assert all(found[i].language == ("en" if i % 4 else "fr") and found[i].kept for i in range(4000))
+    assert all(found[5000 + i].language == "de" and found[5000 + i].kept for i in range(4))
+    assert [(found[i].language, found[i].kept) for i in (6001, 6002, 6003, 7000, 7001)] == [("und", False)] * 5
+
+
+def plain_posteriors(rows):
+    """Language ID in plain Python over (text, declared, host) rows: posterior of each language for each row."""
+    grams = lambda t: [x for x in langid._grams([t.encode()])[0].tolist()]
+    names = sorted({d for _, d, _ in rows if d})
+    counts = {x: Counter() for x in names}
+    for t, d, _ in rows:
+        if d:
+            counts[d].update(grams(t))
+    every = sum(counts.values(), Counter())
+    total = sum(every.values()) + 0.5 * langid.FEATURES
+    like = lambda x, g: np.log((counts[x][g] + langid.SMOOTHING * (every[g] + 0.5) / total) / (sum(counts[x].values()) + langid.SMOOTHING))
+    logs, fits = [], []
+    for t, _, _ in rows:
+        raw = np.array([sum(like(x, g) for g in grams(t)) for x in names])
+        fits.append((int(raw.argmax()), raw.max(), len(grams(t))))
+        logs.append(np.maximum((raw - raw.max()) * langid.TEMPER, -langid.TEXT_NATS))
+    logs = np.array(logs)
+    soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    own = {k: sum(f for j, f, _ in fits if j == k) / max(1, sum(n for j, _, n in fits if j == k)) for k in range(len(names))}
+    known = np.array([f / n >= own[k] - langid.APART - langid.SHORT / n**0.5 for k, f, n in fits])
+    p = np.array([soft(v) for v in logs]) * known[:, None]
+    whole = p.sum(0) + 1
+    base = whole / whole.sum()
+    smooth = lambda own, wider: (own + langid.PRIOR_ROWS * wider) / (own.sum() + langid.PRIOR_ROWS)
+    site = lambda h: ".".join(h.split(".")[-2:])
+    out = []
+    kinds = sorted({d for _, d, _ in rows if d})
+    fell = {d: sum(q for q, row in zip(p, rows, strict=True) if row[1] == d) for d in kinds}
+    for v, (_, d, h) in zip(logs, rows, strict=True):
+        prior = base
+        if h:
+            prior = smooth(sum(q for q, row in zip(p, rows, strict=True) if row[2] and site(row[2]) == site(h)), base)
+            prior = smooth(sum(q for q, row in zip(p, rows, strict=True) if row[2] == h), prior)
+        v = v + np.log(prior)
+        if d:
+            v = v + np.log((fell[d] + 0.5) / np.maximum(0.5, sum(fell.values()) + 0.5 * len(kinds)))
+        out.append(dict(zip(names, soft(v), strict=True)))
+    return [x if k else {"und": 0.0} for x, k in zip(out, known, strict=True)]
+
+
+def test_language_id_against_a_plain_version(spark):
+    r = random.Random(13)
+    vocab = {"en": "the of and that with from this have", "fr": "le la les des une dans pour avec", "nl": "de het een van en is dat met"}
+    rows = []
+    for i in range(90):
+        lang = r.choice(list(vocab))
+        words = [r.choice(vocab[lang if r.random() < 0.8 else "en"].split()) for _ in range(r.randrange(1, 12))]
+        rows.append((" ".join(words), r.choice([lang, lang, "fr", None]), r.choice(["a.x.org", "b.x.org", "c.net", None])))
+    docs = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "doc_id long, text string, said string, host string").repartition(3)
+    want = plain_posteriors(rows)
+    for x in langid.identify(docs, declared=docs.said, host=docs.host).collect():
+        best = max(sorted(want[x.doc_id]), key=want[x.doc_id].get)
+        assert x.language == best and abs(x.posterior - want[x.doc_id][best]) < 1e-9
+    assert sum(x.language == "und" for x in langid.identify(docs, declared=docs.said, host=docs.host).collect()) < 5
