@@ -65,6 +65,9 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     feature = trigrams(letters)
     text = np.repeat(np.arange(len(texts)), np.diff(bounds))[: len(feature)]
     some = is_letter[:-2] | is_letter[1:-1] | is_letter[2:]
+    # None that reaches into the next text: what a text has must not depend on its neighbours.
+    for back in (1, 2):
+        some[bounds[1:-1] - back] = False
     return feature[some], text[some]
 
 
