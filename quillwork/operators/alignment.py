@@ -94,3 +94,11 @@ def align_best(variables: DataFrame, concepts: DataFrame, accept: float = ACCEPT
     out = own.join(chosen, ["l", "d"], "left")
     status = F.when((F.col("l") == "") & (F.col("d") == ""), "no_text").when(F.col("best.score") >= accept, "accepted").otherwise("rejected")
     return out.select("id", "best.concept", F.coalesce("best.score", F.lit(0.0)).alias("score"), status.alias("status"))
+
+
+def alignment_report(aligned: DataFrame, rejected: int = 50) -> DataFrame:
+    """``section, id, concept, score``: all accepted ones, the best of the rejected (a report), all without text. The caller sorts."""
+    each = lambda status: aligned.where(F.col("status") == status)
+    top = each("rejected").orderBy(F.desc("score"), "id").limit(rejected)
+    rows = each("accepted").unionByName(top).unionByName(each("no_text"))
+    return rows.select(F.col("status").alias("section"), "id", "concept", "score")

@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the folder of ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
+    """``df`` as a table in the folder of ``spark.checkpoint.dir``; where that is unset, a session in one process gets a temporary one, a cluster an error."""
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillwork-")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{path.rstrip('/')}/quillwork-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -40,14 +40,16 @@ def resolve_labels(codes: DataFrame, categories: DataFrame) -> DataFrame:
 def link_variables(lists: DataFrame, variables: DataFrame) -> DataFrame:
     """``vars`` (names in document order, repeats kept) and ``var_ids`` (sorted set) of each list.
 
+    ``var_ids`` go by ``usage_id`` where ``variables`` has it, else by ``cl_id`` too.
     A list without linked variables keeps the ``vars`` it came with, if any.
     """
-    linked = variables.where(F.col("cl_id").isNotNull()).groupBy(F.col("cl_id").alias("list_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("_vars"), F.array_sort(F.collect_set(F.col("id").cast("string"))).alias("var_ids")
-    )
+    usage = F.coalesce("usage_id", "cl_id") if "usage_id" in variables.columns else F.col("cl_id")
+    names = variables.where("cl_id is not null").groupBy(F.col("cl_id").alias("list_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("_vars"))
+    ids = variables.where(usage.isNotNull()).groupBy(usage.alias("list_id")).agg(F.array_sort(F.collect_set(F.col("id").cast("string"))).alias("var_ids"))
     empty = F.array().cast("array<string>")
     own = F.col("vars") if "vars" in lists.columns else empty
-    return lists.join(linked, "list_id", "left").withColumn("vars", F.coalesce("_vars", own, empty)).withColumn("var_ids", F.coalesce("var_ids", empty)).drop("_vars")
+    linked = lists.join(names, "list_id", "left").join(ids, "list_id", "left")
+    return linked.withColumn("vars", F.coalesce("_vars", own, empty)).withColumn("var_ids", F.coalesce("var_ids", empty)).drop("_vars")
 
 
 def inject_registry(lists: DataFrame, registry: DataFrame, replaced: DataFrame) -> DataFrame:

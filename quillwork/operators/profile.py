@@ -41,3 +41,24 @@ def json_profile(rows: DataFrame, document: Column) -> DataFrame:
 def top_lists(lists: DataFrame, size: str, k: int = 10) -> DataFrame:
     """The k largest, with their rank."""
     return lists.orderBy(F.desc(size), "ord").limit(k)
+
+
+def minimal_records(lists: DataFrame, codes: DataFrame, escape: Column) -> DataFrame:
+    """What a reviewer needs of each list: its own columns with nulls as empty, its codes in order, those that ``escape`` holds for, and their number."""
+    pair = F.struct("pos", F.array("value", "label").alias("pair"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["pair"])
+    held = codes.groupBy("list_id").agg(F.count("*").alias("codes_count"), in_order(pair).alias("codes"), in_order(F.when(escape, pair)).alias("escape_codes"))
+    none = F.array().cast("array<array<string>>")
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("name", "label", "agency", "version") if c in lists.columns]
+    rest = [c for c in lists.columns if c not in ("list_id", "name", "label", "agency", "version")]
+    return lists.join(held, "list_id", "left").select(
+        "list_id", *texts, F.coalesce("codes_count", F.lit(0).cast("long")).alias("codes_count"), F.coalesce("codes", none).alias("codes"), F.coalesce("escape_codes", none).alias("escape_codes"), *rest
+    )
+
+
+def codes_preview(lists: DataFrame, codes: DataFrame, n_lists: int = 20, n_codes: int = 5) -> DataFrame:
+    """The first lists with their first codes: ``list_id, name, codes_count, preview``, a report of fixed size."""
+    first = lists.orderBy("ord", "list_id").limit(n_lists)
+    own = codes.join(F.broadcast(first.select("list_id")), "list_id")
+    held = own.groupBy("list_id").agg(F.count("*").alias("codes_count"), F.slice(F.array_sort(F.collect_list(F.struct("pos", "value", "label"))), 1, n_codes).alias("preview"))
+    return first.join(held, "list_id", "left").select("list_id", "name", F.coalesce("codes_count", F.lit(0).cast("long")).alias("codes_count"), "preview")

@@ -132,15 +132,49 @@ def apply_decisions(members: DataFrame, store: DataFrame) -> DataFrame:
     return out.withColumn("decision", F.coalesce("_held", "decision")).withColumn("decision_carried", F.col("_held").isNotNull()).drop("key", "_held")
 
 
-def sync_cleaned(cleaned: DataFrame, replaces: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def update_marks(store: DataFrame, seen: DataFrame, marked: DataFrame, as_of: Column) -> DataFrame:
+    """Marks ``(id, updated_at)``, of dismissed lists or chosen masters, after a review.
+
+    Marked ids are put in, with their old date if they have one; ids of the registry
+    (``seen``) that are no longer marked go; marks of lists not seen stay.
+    """
+    flag = lambda df, name: df.select("id").distinct().withColumn(name, F.lit(True))
+    both = store.join(flag(marked, "_marked"), "id", "full_outer").join(flag(seen, "_seen"), "id", "left")
+    return both.where("_marked or _seen is null").select("id", F.coalesce("updated_at", as_of).alias("updated_at"))
+
+
+def set_dismissed(groups: DataFrame, results: DataFrame, dismissed: bool = True) -> DataFrame:
+    """Groups with the flag of those that ``dismiss`` classified as updated."""
+    done = results.where("result = 'updated'").select(F.col("id").alias("parent_id"), F.lit(dismissed).alias("_new"))
+    return groups.join(done, "parent_id", "left").withColumn("dismissed", F.coalesce("_new", "dismissed")).drop("_new")
+
+
+def add_entries(cleaned: DataFrame, lists: DataFrame, results: DataFrame) -> DataFrame:
+    """Entries with those that ``add_unique`` classified as added; ``lists`` has the columns of ``cleaned``."""
+    added = lists.join(results.where("result = 'added'").select(F.col("id").alias("list_id")), "list_id", "left_semi")
+    return cleaned.unionByName(added.select(*cleaned.columns))
+
+
+def drop_entries(cleaned: DataFrame, results: DataFrame) -> DataFrame:
+    """Entries without those that ``remove_manual`` classified as removed."""
+    return cleaned.join(results.where("result = 'removed'").select(F.col("id").alias("list_id")), "list_id", "left_anti")
+
+
+def sync_cleaned(cleaned: DataFrame, replaces: DataFrame, members: DataFrame, moved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(cleaned, replaces)`` after a review.
 
     Approved members are added to their parent's replaced lists; members of the same
     parent that are no longer approved are taken out; other replaced lists stay. A
     parent without an entry gets one, an entry that this empties goes, others stay.
+    ``moved (parent_id, previous_parent)``: groups whose parent was swapped; they are
+    taken out of the entry of the one before.
     """
     approved = members.where("decision = 'approve'").select("parent_id", "id").distinct()
     managed = members.select("parent_id", "id").distinct()
+    if moved is not None:
+        moved = moved.where("previous_parent is not null and previous_parent <> parent_id").select("parent_id", "previous_parent")
+        group = members.select("parent_id", "id").unionByName(moved.select("parent_id", F.col("parent_id").alias("id")))
+        managed = managed.unionByName(group.join(moved, "parent_id").select(F.col("previous_parent").alias("parent_id"), "id")).distinct()
     kept = replaces.select("parent_id", "id").join(managed, ["parent_id", "id"], "left_anti")
     new = kept.unionByName(approved).distinct()
     parents = lambda df: df.select(F.col("parent_id").alias("list_id")).distinct()
@@ -149,10 +183,23 @@ def sync_cleaned(cleaned: DataFrame, replaces: DataFrame, members: DataFrame) ->
     return entries, new
 
 
-def replaced_codes(replaces: DataFrame, members: DataFrame) -> DataFrame:
-    """What replaced lists hold, where the current registry knows them."""
-    known = members.groupBy("id").agg(F.max("confidence").alias("confidence"))
-    return replaces.join(known, "id", "left")
+def sync_counters(cleaned: DataFrame, replaces: DataFrame, entries: DataFrame, new: DataFrame) -> DataFrame:
+    """``counter, n`` of a sync, from the tables before and after it."""
+    one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
+    ids, pairs = "list_id", ["parent_id", "id"]
+    parts = [
+        one("entries_created", entries.join(cleaned, ids, "left_anti")), one("entries_deleted", cleaned.join(entries, ids, "left_anti")),
+        one("replaces_added", new.join(replaces, pairs, "left_anti")), one("replaces_removed", replaces.join(new, pairs, "left_anti")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def replaced_codes(replaces: DataFrame, codes: DataFrame) -> DataFrame:
+    """``parent_id, id, pos, value, label``: the codes of replaced lists that the current registry has, one row of nulls for the others.
+
+    ``codes (list_id, pos, value, label)``: those of the registry's members.
+    """
+    return replaces.join(codes.select(F.col("list_id").alias("id"), "pos", "value", "label"), "id", "left").select("parent_id", "id", "pos", "value", "label")
 
 
 def swap_parent(members: DataFrame, groups: DataFrame, links: DataFrame, swaps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -185,6 +232,14 @@ def validate_cleaned(entries: DataFrame) -> DataFrame:
     return bad.unionByName(key).where("message is not null")
 
 
+def edit_entries(entries: DataFrame, edits: DataFrame) -> DataFrame:
+    """Entries ``(list_id, name, label, ...)`` after edits ``(list_id, op, field, new_value, seq)``: ``set`` a name or label (the latest wins), ``delete`` the entry."""
+    last = lambda field: F.max_by(F.when(F.col("field") == field, F.col("new_value")), F.when(F.col("field") == field, F.col("seq"))).alias(f"_{field}")
+    sets = edits.where("op = 'set'").groupBy("list_id").agg(last("name"), last("label"))
+    kept = entries.join(edits.where("op = 'delete'").select("list_id"), "list_id", "left_anti").join(sets, "list_id", "left")
+    return kept.withColumn("name", F.coalesce("_name", "name")).withColumn("label", F.coalesce("_label", "label")).drop("_name", "_label")
+
+
 def migrate_v1(documents: DataFrame) -> DataFrame:
     """``replaces`` from its own column or that of the first version, never null."""
     return documents.withColumn("replaces", F.coalesce("replaces", "merged_duplicates", F.array().cast("array<string>"))).drop("merged_duplicates")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from .grouping import written
 from .quality import is_escape
 
 PAIRS = "array<struct<value:string,label:string>>"
@@ -52,18 +53,25 @@ def shown(sig: Column) -> Column:
     return F.array_join(F.transform(sig, lambda c: F.concat(c["value"], F.lit("="), c["label"])), ";")
 
 
+#: Signatures with more than one in so many of all lists are fewer than this many; they are broadcast.
+HOT = 4096
+
+
 def stars(lists: DataFrame, key: str, least: int = 2) -> DataFrame:
     """``master_id, slave_id`` of each group of ``least`` lists or more that share ``key``.
 
-    The group is reduced before it is shuffled (hash first, the key itself checked),
-    so that a signature which very many lists share is no single task's work.
+    A group is reduced before it is shuffled (hash first, the key itself checked).
+    Its members find their master by a join; signatures that very many lists share,
+    which are few, are broadcast, so that none is a single task's work.
     """
-    hashed = lists.select("list_id", "ord", key).withColumn("hash", F.xxhash64(key))
+    hashed = written(lists.select("list_id", "ord", key).withColumn("hash", F.xxhash64(key)), "hashed")
     first = hashed.groupBy("hash", key).agg(F.min(F.struct("ord", "list_id")).alias("first"), F.count("*").alias("n")).where(F.col("n") >= least)
-    return (
-        hashed.join(first, ["hash", key]).where(F.col("first.list_id") != F.col("list_id"))
-        .select(F.col("first.list_id").alias("master_id"), F.col("list_id").alias("slave_id"))
-    )
+    first = written(first, "first")
+    most = max(1, (first.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.broadcast(first.where(F.col("n") > most))
+    rest = hashed.join(F.broadcast(first.where(F.col("n") > most).select("hash", key)), ["hash", key], "left_anti")
+    found = hashed.join(hot, ["hash", key]).unionByName(rest.join(first.where(F.col("n") <= most), ["hash", key]))
+    return found.where(F.col("first.list_id") != F.col("list_id")).select(F.col("first.list_id").alias("master_id"), F.col("list_id").alias("slave_id"))
 
 
 def representatives(lists: DataFrame, *keys: str) -> DataFrame:

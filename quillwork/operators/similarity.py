@@ -127,6 +127,14 @@ def fuzzy_pairs(lists: DataFrame, inspect: float = INSPECT, detect: float = DETE
     )
 
 
+def pair_details(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Pairs with what a reviewer sees: names, numbers of codes, shared variables and categories (sorted). ``lists``: ``list_id, name, n_codes, var_ids, cat_ids``."""
+    side = lambda i: lists.select(F.col("list_id").alias(i), F.col("name").alias(f"{i}_name"), F.col("n_codes").alias(f"{i}_codes"), F.col("var_ids").alias(f"_v{i}"), F.col("cat_ids").alias(f"_c{i}"))
+    shared = lambda c: F.array_sort(F.array_intersect(F.coalesce(f"_{c}a", F.array().cast("array<string>")), F.coalesce(f"_{c}b", F.array().cast("array<string>"))))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select(*pairs.columns, "a_name", "a_codes", "b_name", "b_codes", shared("v").alias("shared_vars"), shared("c").alias("shared_cats"))
+
+
 def fuzzy_excluded(lists: DataFrame, most: int = MOST_CODES) -> DataFrame:
     return lists.where(F.col("n_codes") > most).select("list_id", "n_codes")
 

@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 
 from ..functions import text
 from ..operators import candidates as assembly
-from ..operators import alignment, grouping, similarity, signature
+from ..operators import alignment, grouping, profile, similarity, signature
 from . import views
 from .listing import _sig
 from .views import read
@@ -52,6 +52,27 @@ def cross_check(spark, sf):
     return found.select("a", "b", F.array_join("shared", ",").alias("shared"), F.array_join("only_a", ",").alias("only_a"), F.array_join("only_b", ",").alias("only_b"), "usage", F.round("ratio", 6).alias("ratio"))
 
 
+def pair_details(spark, sf):
+    """Pairs with the usage of both as shared variables and their values as shared categories."""
+    lists = _lists(spark, sf).select("list_id", "name", "n_codes", F.col("var_sig").alias("var_ids"), F.transform("codes", lambda c: c["value"]).alias("cat_ids"))
+    found = similarity.pair_details(fuzzy_pairs(spark, sf).select("a", "b"), lists)
+    return found.select("a", "b", "a_name", "a_codes", "b_name", "b_codes", F.array_join("shared_vars", ",").alias("shared_vars"), F.array_join("shared_cats", ",").alias("shared_cats"))
+
+
+def minimal_records(spark, sf):
+    """Customers as records under review; codes of urgent orders count as escapes."""
+    codes = views.customer_codes(spark, sf).withColumn("pos", F.col("value"))
+    found = profile.minimal_records(views.customers(spark, sf).select("list_id", "name", "label"), codes, F.col("value").startswith("1"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.array_join(x, "=")), ";").alias(c)
+    return found.select("list_id", "name", "label", "codes_count", joined("codes"), joined("escape_codes"))
+
+
+def codes_preview(spark, sf):
+    codes = views.customer_codes(spark, sf).withColumn("pos", F.col("value"))
+    found = profile.codes_preview(views.customers(spark, sf), codes)
+    return found.select("list_id", "name", "codes_count", F.coalesce(F.array_join(F.transform("preview", lambda c: c["value"]), ","), F.lit("")).alias("preview"))
+
+
 def context_link(spark, sf):
     lists = _lists(spark, sf).select("list_id", "var_sig")
     side = lambda i: lists.select(F.col("list_id").alias(i), F.col("var_sig").alias(f"v{i}"))
@@ -177,6 +198,13 @@ ORACLES = {
         array_to_string(list_sort(list_filter(y.v, lambda z: NOT list_contains(x.v, z))), ',') AS only_b,
         CASE WHEN x.v = y.v AND len(x.v) > 0 THEN 'same' WHEN len(list_intersect(x.v, y.v)) > 0 THEN 'partial' ELSE 'disjoint' END AS usage,
         round(CASE WHEN len(x.v) + len(y.v) = 0 THEN 0 ELSE len(list_intersect(x.v, y.v)) / len(list_distinct(list_concat(x.v, y.v))) END, 6) AS ratio FROM f JOIN vs x ON x.list_id = f.a JOIN vs y ON y.list_id = f.b""",
+    "pair_details": BASE + """ SELECT f.a, f.b, substr(p.c_mktsegment, 1, 2) AS a_name, x.n AS a_codes, substr(q.c_mktsegment, 1, 2) AS b_name, y.n AS b_codes, array_to_string(list_sort(list_intersect(vx.v, vy.v)), ',') AS shared_vars,
+        (SELECT coalesce(string_agg(c.value, ',' ORDER BY c.value), '') FROM customer_codes c JOIN customer_codes d USING (value) WHERE c.list_id = f.a AND d.list_id = f.b) AS shared_cats
+        FROM f JOIN customer p ON p.c_custkey = f.a JOIN customer q ON q.c_custkey = f.b JOIN a x ON x.list_id = f.a JOIN a y ON y.list_id = f.b JOIN vs vx ON vx.list_id = f.a JOIN vs vy ON vy.list_id = f.b""",
+    "minimal_records": BASE + """ SELECT c_custkey AS list_id, substr(c_mktsegment, 1, 2) AS name, c_name AS label, count(value) AS codes_count, coalesce(string_agg(value || '=' || k.label, ';' ORDER BY value), '') AS codes,
+        coalesce(string_agg(value || '=' || k.label, ';' ORDER BY value) FILTER (value LIKE '1%'), '') AS escape_codes FROM customer LEFT JOIN customer_codes k ON k.list_id = c_custkey GROUP BY ALL""",
+    "codes_preview": BASE + """, t AS (SELECT c_custkey, substr(c_mktsegment, 1, 2) AS name FROM customer ORDER BY c_custkey LIMIT 20), z AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY value) AS nth FROM customer_codes)
+        SELECT c_custkey AS list_id, name, count(value) AS codes_count, coalesce(string_agg(value, ',' ORDER BY value) FILTER (nth <= 5), '') AS preview FROM t LEFT JOIN z ON list_id = c_custkey GROUP BY ALL""",
     "context_link": BASE + " SELECT f.a, f.b, len(list_intersect(x.v, y.v)) > 0 AS linked FROM f JOIN vs x ON x.list_id = f.a JOIN vs y ON y.list_id = f.b",
     "compare_codes": BASE + """, x AS (SELECT list_id AS pair_id, value, label FROM customer_codes), y AS (SELECT list_id - 1 AS pair_id, value, CASE WHEN list_id % 3 = 0 THEN upper(label) ELSE label END AS label FROM customer_codes)
         SELECT coalesce(x.pair_id, y.pair_id) AS pair_id, coalesce(x.value, y.value) AS value, CASE WHEN x.value IS NULL THEN 'right' WHEN y.value IS NULL THEN 'left' ELSE 'common' END AS side, coalesce(x.label = y.label, false) AS same
@@ -208,4 +236,4 @@ ORACLES = {
         SELECT x.page_id, round((SELECT count(*) FROM range(1, least(len(x.s), len(y.s)) + 1) AS i(i) WHERE x.s[1:i] = y.s[1:i]) / greatest(len(x.s), len(y.s)), 6) AS ratio FROM u x JOIN u y ON y.page_id = x.page_id - 1""",
 }
 
-QUERIES = {f.__name__: f for f in (fuzzy_excluded, size_ratio_pairs, code_similarity, fuzzy_pairs, filter_pairs, cross_check, context_link, compare_codes, candidates, fuse_pairs, components, choose_parent, links, registry, vs_parent, shared_vars, uid_prefix, variable_dups, align_best, align_stats)}
+QUERIES = {f.__name__: f for f in (pair_details, minimal_records, codes_preview, fuzzy_excluded, size_ratio_pairs, code_similarity, fuzzy_pairs, filter_pairs, cross_check, context_link, compare_codes, candidates, fuse_pairs, components, choose_parent, links, registry, vs_parent, shared_vars, uid_prefix, variable_dups, align_best, align_stats)}

@@ -6,6 +6,7 @@ A user is a group, each ``k`` of its events a member; the latest event decides.
 from __future__ import annotations
 
 import pyspark.sql.functions as F
+from pyspark.sql import Window
 
 from ..operators import review
 from .views import read
@@ -116,8 +117,60 @@ def sync_cleaned(spark, sf):
     return entries.select(F.lit("entry").alias("kind"), F.col("list_id").alias("parent_id"), F.lit(None).cast("long").alias("id")).unionByName(new.select(F.lit("replaces").alias("kind"), "parent_id", "id"))
 
 
+def member_codes(spark, sf):
+    """Event types as the codes of members, numbers of events as their labels."""
+    e = read(spark, sf, "events").select(F.get_json_object("props", "$.k").cast("long").alias("list_id"), "event_type")
+    counts = e.groupBy("list_id", "event_type").agg(F.count("*").cast("string").alias("label")).join(members(spark, sf).select(F.col("id").alias("list_id")).distinct(), "list_id", "left_semi")
+    at = F.row_number().over(Window.partitionBy("list_id").orderBy("event_type")) - 1
+    return counts.select("list_id", at.cast("long").alias("pos"), F.col("event_type").alias("value"), "label")
+
+
 def replaced_codes(spark, sf):
-    return review.replaced_codes(replaces(spark, sf), members(spark, sf)).select("parent_id", "id", "confidence")
+    return review.replaced_codes(replaces(spark, sf), member_codes(spark, sf))
+
+
+def set_dismissed(spark, sf):
+    g = groups(spark, sf)
+    return review.set_dismissed(g, review.dismiss(g, members(spark, sf), ids(spark, sf).where("id % 2 = 0"))).select("parent_id", "dismissed")
+
+
+def add_entries(spark, sf):
+    g, c = groups(spark, sf), cleaned(spark, sf)
+    results = review.add_unique(g, members(spark, sf), c, ids(spark, sf))
+    return review.add_entries(c, g.select(F.col("parent_id").alias("list_id")), results)
+
+
+def drop_entries(spark, sf):
+    c = cleaned(spark, sf)
+    return review.drop_entries(c, review.remove_manual(c, replaces(spark, sf), ids(spark, sf)))
+
+
+def update_marks(spark, sf):
+    """Dismissed groups; earlier marks on every third customer."""
+    g = groups(spark, sf).select(F.col("parent_id").alias("id"), "dismissed")
+    held = read(spark, sf, "customer").where("c_custkey % 5 < 2").select(F.col("c_custkey").alias("id"), F.lit("2025-01-01").alias("updated_at"))
+    return review.update_marks(held, g, g.where("dismissed"), F.lit("2026-01-01"))
+
+
+def sync_counters(spark, sf):
+    c, r = cleaned(spark, sf), replaces(spark, sf)
+    entries, new = review.sync_cleaned(c, r, members(spark, sf))
+    return review.sync_counters(c, r, entries, new)
+
+
+def sync_moved(spark, sf):
+    """As ``sync_cleaned``, with groups whose parent was the one two ids before."""
+    moved = groups(spark, sf).where("parent_id % 4 = 3").select("parent_id", (F.col("parent_id") - 2).alias("previous_parent"))
+    entries, new = review.sync_cleaned(cleaned(spark, sf), replaces(spark, sf), members(spark, sf), moved)
+    return entries.select(F.lit("entry").alias("kind"), F.col("list_id").alias("parent_id"), F.lit(None).cast("long").alias("id")).unionByName(new.select(F.lit("replaces").alias("kind"), "parent_id", "id"))
+
+
+def edit_entries(spark, sf):
+    entries = read(spark, sf, "customer").select(F.col("c_custkey").alias("list_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("label"))
+    o = read(spark, sf, "orders")
+    op = F.when(F.col("o_orderkey") % 50 == 0, "delete").otherwise("set")
+    edits = o.select(F.col("o_custkey").alias("list_id"), op.alias("op"), F.when(F.col("o_orderkey") % 2 == 0, "name").otherwise("label").alias("field"), F.concat(F.lit("order "), "o_orderkey").alias("new_value"), F.col("o_orderkey").alias("seq"))
+    return review.edit_entries(entries, edits)
 
 
 def swap_parent(spark, sf):
@@ -161,6 +214,12 @@ BASE = f"""WITH m AS (SELECT * FROM ({LATEST.format(0)}) WHERE parent_id % 4 <>
   st AS (SELECT {KEY} AS key, min(decision) AS decision, '2025-01-01' AS updated_at FROM ({LATEST.format(4)}) WHERE decision <> 'pending' GROUP BY 1)"""
 NONE = "parent_id NOT IN (SELECT parent_id FROM m)"
 
+MANAGED = "SELECT parent_id, id FROM m"
+SYNCED = """, ap AS (SELECT DISTINCT parent_id, id FROM m WHERE decision = 'approve'), mg AS ({0}),
+  nw AS (SELECT parent_id, id FROM rp WHERE (parent_id, id) NOT IN (SELECT (parent_id, id) FROM mg) UNION SELECT parent_id, id FROM ap),
+  em AS (SELECT DISTINCT parent_id FROM rp WHERE (parent_id, id) IN (SELECT (parent_id, id) FROM mg) AND parent_id NOT IN (SELECT parent_id FROM nw)),
+  en AS (SELECT list_id FROM cl WHERE list_id NOT IN (SELECT parent_id FROM em) UNION SELECT parent_id FROM ap)"""
+
 ORACLES = {
     "set_decisions": BASE + " SELECT parent_id, id, CASE WHEN id % 3 = 0 THEN 'approve' ELSE decision END AS decision FROM m",
     "bulk_decisions": BASE + " SELECT parent_id, id, CASE WHEN confidence >= 0.95 THEN 'approve' ELSE decision END AS decision FROM m",
@@ -182,7 +241,20 @@ ORACLES = {
     "sync_cleaned": BASE + """, ap AS (SELECT DISTINCT parent_id, id FROM m WHERE decision = 'approve'), nw AS (SELECT parent_id, id FROM rp WHERE (parent_id, id) NOT IN (SELECT (parent_id, id) FROM m) UNION SELECT parent_id, id FROM ap),
         em AS (SELECT DISTINCT parent_id FROM rp WHERE (parent_id, id) IN (SELECT (parent_id, id) FROM m) AND parent_id NOT IN (SELECT parent_id FROM nw))
         SELECT 'entry' AS kind, list_id AS parent_id, CAST(NULL AS BIGINT) AS id FROM (SELECT list_id FROM cl WHERE list_id NOT IN (SELECT parent_id FROM em) UNION SELECT parent_id FROM ap) UNION ALL SELECT 'replaces', parent_id, id FROM nw""",
-    "replaced_codes": BASE + " SELECT rp.parent_id, rp.id, max(m.confidence) AS confidence FROM rp LEFT JOIN m ON m.id = rp.id GROUP BY 1, 2",
+    "replaced_codes": BASE + """, k AS (SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS list_id, event_type AS value, CAST(count(*) AS VARCHAR) AS label FROM events GROUP BY 1, 2),
+        q AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY value) - 1 AS pos FROM k WHERE list_id IN (SELECT id FROM m)) SELECT rp.parent_id, rp.id, pos, value, label FROM rp LEFT JOIN q ON q.list_id = rp.id""",
+    "set_dismissed": BASE + f" SELECT parent_id, parent_id % 3 = 0 OR (parent_id IN (SELECT id FROM i WHERE id % 2 = 0) AND {NONE}) AS dismissed FROM g",
+    "add_entries": BASE + f" SELECT list_id FROM cl UNION ALL SELECT parent_id FROM g WHERE parent_id IN (SELECT id FROM i) AND parent_id NOT IN (SELECT list_id FROM cl) AND {NONE}",
+    "drop_entries": BASE + " SELECT list_id FROM cl WHERE list_id IN (SELECT parent_id FROM rp) OR list_id NOT IN (SELECT id FROM i)",
+    "update_marks": BASE + """, o AS (SELECT c_custkey AS id, '2025-01-01' AS updated_at FROM customer WHERE c_custkey % 5 < 2), d AS (SELECT parent_id AS id FROM g WHERE parent_id % 3 = 0)
+        SELECT id, updated_at FROM o WHERE id IN (SELECT id FROM d) OR id NOT IN (SELECT parent_id FROM g) UNION ALL SELECT id, '2026-01-01' FROM d WHERE id NOT IN (SELECT id FROM o)""",
+    "sync_counters": BASE + SYNCED.format(MANAGED) + """ SELECT 'entries_created' AS counter, count(*) AS n FROM en WHERE list_id NOT IN (SELECT list_id FROM cl) UNION ALL SELECT 'entries_deleted', count(*) FROM cl WHERE list_id NOT IN (SELECT list_id FROM en)
+        UNION ALL SELECT 'replaces_added', count(*) FROM (SELECT parent_id, id FROM nw EXCEPT SELECT parent_id, id FROM rp) UNION ALL SELECT 'replaces_removed', count(*) FROM (SELECT parent_id, id FROM rp EXCEPT SELECT parent_id, id FROM nw)""",
+    "sync_moved": BASE + SYNCED.format(MANAGED + " UNION SELECT parent_id - 2, id FROM m WHERE parent_id % 4 = 3 UNION SELECT parent_id - 2, parent_id FROM g WHERE parent_id % 4 = 3")
+    + " SELECT 'entry' AS kind, list_id AS parent_id, CAST(NULL AS BIGINT) AS id FROM en UNION ALL SELECT 'replaces', parent_id, id FROM nw",
+    "edit_entries": """WITH e AS (SELECT o_custkey AS list_id, o_orderkey % 50 = 0 AS gone, o_orderkey % 2 = 0 AS named, 'order ' || CAST(o_orderkey AS VARCHAR) AS v, o_orderkey AS seq FROM orders),
+        w AS (SELECT list_id, max_by(v, seq) FILTER (named AND NOT gone) AS n, max_by(v, seq) FILTER (NOT named AND NOT gone) AS l, bool_or(gone) AS gone FROM e GROUP BY 1)
+        SELECT c_custkey AS list_id, coalesce(n, c_name) AS name, coalesce(l, c_mktsegment) AS label FROM customer LEFT JOIN w ON list_id = c_custkey WHERE NOT coalesce(gone, false)""",
     "swap_parent": BASE + """, w AS (SELECT parent_id, min(id) AS np FROM m WHERE parent_id % 2 = 1 GROUP BY 1), ok AS (SELECT * FROM w WHERE parent_id % 5 <> 0 AND np % 5 <> 0)
         SELECT coalesce(np, parent_id) AS parent_id, id, decision FROM m LEFT JOIN ok USING (parent_id) WHERE np IS NULL OR id <> np UNION ALL SELECT np, parent_id, 'pending' FROM ok
         UNION ALL SELECT parent_id, np, CASE WHEN parent_id % 5 = 0 THEN 'refused: registry' ELSE 'refused: no links' END FROM w WHERE parent_id % 5 = 0 OR np % 5 = 0""",
@@ -197,4 +269,5 @@ ORACLES = {
 QUERIES = {f.__name__: f for f in (
     set_decisions, bulk_decisions, group_decisions, registry_stats, stats_by_type, entry_lookup, browse_lists, browse_filters, dismiss, add_unique, remove_manual, eligible_unique,
     update_decisions, apply_decisions, sync_cleaned, replaced_codes, swap_parent, validate_cleaned, migrate_v1, edit_cleaned,
+    set_dismissed, add_entries, drop_entries, update_marks, sync_counters, sync_moved, edit_entries,
 )}

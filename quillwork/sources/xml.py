@@ -1,8 +1,9 @@
 """Code lists, categories and variables out of XML fragments.
 
 Files are read as text cut at the closing tag of a fragment, so large files are
-split over tasks; each fragment is parsed by itself, prefixes dropped. ``ord`` is
-document order: file, block, line.
+split over tasks; each fragment is parsed by itself, the prefixes of its names
+dropped. ``ord`` is document order: file, block, line. Fragments that can't be parsed
+are rows of their own, not errors.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
 import pyspark.sql.functions as F
@@ -17,9 +19,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 
 from ..operators.ingest import latest_by_key, latest_version, link_variables, resolve_labels
 
+#: Kind of the row that stands for a fragment that can't be parsed; its description is the error.
+REJECT = "reject"
 KINDS = ("CodeList", "Category", "Variable", "RepresentedVariable")
 OBJECTS = """ord long, part int, kind string, id string, name string, label string, description string, user_id string, agency string, version string,
-  based_on array<string>, cl_id string, codes array<struct<pos:int,value:string,cat_id:string>>"""
+  based_on array<string>, cl_id string, usage_id string, codes array<struct<pos:int,value:string,cat_id:string>>"""
 
 
 def fragments(spark: SparkSession, path: str, tag: str = "Fragment") -> DataFrame:
@@ -37,10 +41,24 @@ def fragments(spark: SparkSession, path: str, tag: str = "Fragment") -> DataFram
     return rows.withColumn("nth", nth).join(before, ["file", "start"]).select((F.col("before") + F.col("nth")).cast("long").alias("ord"), "source")
 
 
+def _parsed(source: str) -> ElementTree.Element:
+    """The elements of a fragment under one root, names without their prefixes (which the fragment need not declare)."""
+    builder, parser = ElementTree.TreeBuilder(), expat.ParserCreate()
+    local = lambda name: name.rsplit(":", 1)[-1]
+    parser.buffer_text = True
+    parser.StartElementHandler = lambda name, attributes: builder.start(local(name), {local(k): v for k, v in attributes.items()})
+    parser.EndElementHandler = lambda name: builder.end(local(name))
+    parser.CharacterDataHandler = builder.data
+    parser.Parse(f"<x>{source}</x>", True)
+    return builder.close()
+
+
 def _bare(source: str) -> ElementTree.Element:
-    source = re.sub(r"\s+xmlns(?::[\w.-]*)?=(?:\"\"[^\"]*\"\"|\"[^\"]*\"|'[^']*')", "", source)
-    source = re.sub(r"\s+[\w.-]+:([\w.-]+=)", r" \1", source)
-    return ElementTree.fromstring("<x>" + re.sub(r"<(/?)[\w.-]+:", r"<\1", source) + "</x>")
+    """As parsed; where that fails, once more without namespace declarations of a malformed shape."""
+    try:
+        return _parsed(source)
+    except expat.ExpatError:
+        return _parsed(re.sub(r"\s+xmlns(?::[\w.-]*)?=\"\"[^\"]*\"\"", "", source))
 
 
 def _text(node: ElementTree.Element | None) -> str:
@@ -57,7 +75,7 @@ def _first(node: ElementTree.Element, *paths: str) -> str:
 
 def _row(ord_: int, part: int, node: ElementTree.Element) -> dict:
     kind = node.tag
-    row = {"ord": ord_, "part": part, "kind": kind, "id": (node.findtext("ID") or "").strip(), "codes": None, "based_on": [], "cl_id": None}
+    row = {"ord": ord_, "part": part, "kind": kind, "id": (node.findtext("ID") or "").strip(), "codes": None, "based_on": [], "cl_id": None, "usage_id": None}
     row |= {k: (node.findtext(t) or "").strip() for k, t in (("agency", "Agency"), ("version", "Version"), ("user_id", "UserID"))}
     row |= {"label": _first(node, "Label"), "description": _first(node, "Description")}
     if kind == "CodeList":
@@ -72,32 +90,51 @@ def _row(ord_: int, part: int, node: ElementTree.Element) -> dict:
     else:
         row["name"] = _first(node, "VariableName", "RepresentedVariableName") or row["id"]
         row["label"] = row["label"] or row["description"]
-        row["cl_id"] = (node.findtext("VariableRepresentation/CodeRepresentation/CodeListReference/ID") or node.findtext("CodeRepresentation/CodeListReference/ID") or "").strip() or None
+        found = [(node.findtext(p) or "").strip() or None for p in ("VariableRepresentation/CodeRepresentation/CodeListReference/ID", "CodeRepresentation/CodeListReference/ID")]
+        # A variable's list is looked up within its representation first, a list's usage the other way round.
+        row["cl_id"], row["usage_id"] = found[0] or found[1], found[1] or found[0]
     return row
 
 
+def _fragment_rows(ord_: int, source: str) -> list[dict]:
+    try:
+        return [_row(ord_, part, node) for part, node in enumerate(_bare(source)) if node.tag in KINDS]
+    except expat.ExpatError as error:
+        return [{"ord": ord_, "part": 0, "kind": REJECT, "description": str(error)}]
+
+
 def objects(source: DataFrame) -> DataFrame:
-    """One row for each object of the four kinds; a fragment may hold several."""
+    """One row for each object of the four kinds; a fragment may hold several, or be a ``reject``."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [_row(o, part, node) for o, text in zip(frame["ord"], frame["source"], strict=True) for part, node in enumerate(_bare(text)) if node.tag in KINDS]
+            rows = [row for o, text in zip(frame["ord"], frame["source"], strict=True) for row in _fragment_rows(o, text)]
             if rows:
-                names = ["ord", "part", "kind", "id", "name", "label", "description", "user_id", "agency", "version", "based_on", "cl_id", "codes"]
-                yield pd.DataFrame(rows, columns=names)
+                names = ["ord", "part", "kind", "id", "name", "label", "description", "user_id", "agency", "version", "based_on", "cl_id", "usage_id", "codes"]
+                # Rejects lack most columns; pandas fills those with NaN, which is no list or text.
+                yield pd.DataFrame(rows, columns=names).astype(object).where(lambda f: f.notna(), None)
 
     return source.mapInPandas(task, OBJECTS)
 
 
-def extract(spark: SparkSession, path: str, tag: str = "Fragment") -> dict[str, DataFrame]:
-    """``lists``, ``codes``, ``categories``, ``variables`` of the files, labels resolved, the latest version of each list."""
-    found = objects(fragments(spark, path, tag)).withColumn("ord", F.struct("ord", "part"))
-    found = found.withColumn("ord", F.col("ord.ord") * 1000 + F.least(F.col("ord.part"), F.lit(999)))
-    lists = latest_version(found.where("kind = 'CodeList' and id <> ''").select(F.col("id").alias("list_id"), "ord", "name", "label", "description", "user_id", "agency", "version", "based_on", "codes"))
+def extract(spark: SparkSession, path: str, tag: str = "Fragment", last_wins: bool = False, name_fallback_label: bool = False) -> dict[str, DataFrame]:
+    """``lists``, ``codes``, ``categories``, ``variables`` of the files, labels resolved, and ``rejects (ord, error)``.
+
+    Of several versions of a list the latest counts; with ``last_wins`` the last one
+    read, whatever its version. With ``name_fallback_label`` a list without a name
+    is called by its label. ``ord`` is a number for fragment and place in it.
+    """
+    found = objects(fragments(spark, path, tag))
+    rejects = found.where(F.col("kind") == REJECT).select("ord", F.col("description").alias("error"))
+    # One number for fragment and place, wide enough for any of both.
+    found = found.withColumn("ord", F.col("ord").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("part"))
+    name = F.coalesce(F.nullif("name", F.lit("")), "label") if name_fallback_label else F.col("name")
+    lists = found.where("kind = 'CodeList' and id <> ''").select(F.col("id").alias("list_id"), "ord", name.alias("name"), "label", "description", "user_id", "agency", "version", "based_on", "codes")
+    lists = latest_by_key(lists, "list_id", "ord") if last_wins else latest_version(lists)
     categories = latest_by_key(found.where("kind = 'Category'").select(F.col("id").alias("cat_id"), "ord", "label"), "cat_id", "ord")
-    variables = found.where("kind in ('Variable', 'RepresentedVariable') and cl_id is not null").select("id", "ord", "name", "label", "cl_id")
+    variables = found.where("kind in ('Variable', 'RepresentedVariable') and cl_id is not null").select("id", "ord", "name", "label", "cl_id", "usage_id")
     codes = resolve_labels(lists.select("list_id", F.explode("codes").alias("c")).select("list_id", "c.pos", "c.value", "c.cat_id"), categories)
-    return {"lists": link_variables(lists.drop("codes"), variables), "codes": codes, "categories": categories, "variables": variables}
+    return {"lists": link_variables(lists.drop("codes"), variables), "codes": codes, "categories": categories, "variables": variables, "rejects": rejects}
 
 
 def counts(found: dict[str, DataFrame]) -> DataFrame:
