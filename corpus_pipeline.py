@@ -2,12 +2,16 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; what it returns is written as Parquet
 and read again for the next. All but the last return the columns of ``documents``.
+An empty table stays empty. Ids may be null or shared, whole rows may repeat, extra
+columns are carried along; null texts count as empty: language ID rejects them, as
+texts without letters.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 import pyspark.sql.functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from quillwork.llm import bpe, exact_dedup, jaccard, langid, mixing
@@ -19,8 +23,19 @@ KEY = "row_key_"
 
 
 def _keyed(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a row key, written so that the keys stay as they are."""
-    return written(docs.withColumn(KEY, F.monotonically_increasing_id()), name)
+    """``docs`` with a row key that stays as it is, whatever runs anew.
+
+    Rows of files are known by their file and place in it; nothing is copied. Other
+    rows are written with their keys. Only the names of files come to the driver.
+    """
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("row_"))
+    except AnalysisException:
+        return written(docs.withColumn(KEY, F.monotonically_increasing_id()), name)
+    paths = sorted(r["file_"] for r in placed.select("file_").distinct().collect())
+    files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), "file_ string, number_ long")
+    numbered = placed.join(F.broadcast(files) if len(paths) <= 100_000 else files, "file_")
+    return numbered.withColumn(KEY, F.shiftleft("number_", 40).bitwiseOR(F.col("row_"))).drop("file_", "row_", "number_")
 
 
 def _small(found: DataFrame, name: str) -> DataFrame:
