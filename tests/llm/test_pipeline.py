@@ -171,6 +171,18 @@ def test_stages_judge_rows_and_not_ids(spark, tmp_path):
     assert docs[1][1] in found and docs[-1][1] not in found
 
 
+def test_empty_documents_and_clashing_columns_go_through(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, digest string, rank long, p double, class int, rate double, row_key long"
+    for name, rows in (("none", []), ("few", [(i, f"some words number {i} of the many that this text has", "en", "s", 1, "x", 1, 0.5, 2, 3.0, 7) for i in range(40)])):
+        spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            found = stage(spark, docs, f"{tmp_path}/{name}")
+            assert found.columns == docs.columns
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_mixing_draws_repeatedly_where_rates_exceed_one(spark, tmp_path):
     r = random.Random(9)
     kinds = ["clean", "clean", "toxic", "low"]
