@@ -171,27 +171,57 @@ class Model:
         return (w / spread[:, None]).astype(np.float32), bias
 
     def _calibrate(self, rows: _Sample, counts: dict[int, int]):
-        """One factor and a shift per class, fitted on held-out rows weighted to the true label counts."""
+        """A factor and a shift per class, fitted on held-out rows weighted to the true label counts.
+
+        They apply to scores that level off (``_levelled``): however far a text lies
+        from the boundary, its probability stays within what wrong labels allow.
+        Newton's method, with a slight pull to 0 that keeps the system regular.
+        """
         raw = (rows.scores(self.weights) + self.bias).astype(float)
-        weight = rows.target @ (np.array([counts[c] for c in self.classes]) / np.maximum(1, rows.target.sum(0)))[:, None]
+        self.typical = float(np.median(np.abs(raw - raw.mean(1, keepdims=True)))) + 1e-6
+        x = self._levelled(raw)
+        weight = rows.target @ (np.array([counts[c] for c in self.classes]) / np.maximum(1, rows.target.sum(0)))
         weight = weight / weight.sum()
-        scale, shift = 1.0, np.log(np.array([counts[c] for c in self.classes]) / sum(counts.values()))
-        for _ in range(500):
-            gap = (_shares(scale * raw + shift) - rows.target) * weight
-            scale = max(0.05, scale - 0.5 * float((gap * raw).sum()) / max(1.0, float(np.abs(raw).mean()) ** 2))
-            shift = shift - 2.0 * gap.sum(0)
-        return scale, shift
+        n, k = x.shape
+        found, pull = np.concatenate([[1.0], np.zeros(k)]), 1.0 / max(10, n)
+        # Each row's scores are linear in the parameters: k x (1 + k).
+        linear = np.concatenate([x[:, :, None], np.broadcast_to(np.eye(k), (n, k, k))], axis=2)
+
+        def loss(at):
+            p = _shares(linear @ at)
+            return -float(weight @ np.log((p * rows.target).sum(1) + 1e-300)) + pull / 2 * float(at @ at)
+
+        for _ in range(50):
+            p = _shares(linear @ found)
+            grad = np.einsum("n,nk,nkj->j", weight, p - rows.target, linear) + pull * found
+            mean = np.einsum("nk,nkj->nj", p, linear)
+            bend = np.einsum("n,nk,nki,nkj->ij", weight, p, linear, linear) - np.einsum("n,ni,nj->ij", weight, mean, mean) + pull * np.eye(1 + k)
+            step = np.linalg.solve(bend, grad)
+            while np.abs(step).max() > 1e-9 and loss(found - step) > loss(found):
+                step = step / 2
+            found = found - step
+            if np.abs(step).max() <= 1e-9:
+                break
+        return max(0.05, float(found[0])), found[1:]
+
+    def _levelled(self, raw: np.ndarray) -> np.ndarray:
+        """Scores about their mean, between -1 and 1: half of that at the typical distance."""
+        off = raw - raw.mean(1, keepdims=True)
+        return off / (np.abs(off) + self.typical)
 
     def state(self) -> tuple:
         """What a worker needs to score: plain values, for a broadcast."""
-        return self.classes, self.weights, self.bias, self.scale, self.shift
+        return self.classes, self.weights, self.bias, self.typical, self.scale, self.shift
 
     @classmethod
     def restored(cls, state: tuple) -> Model:
         model = cls.__new__(cls)
-        model.classes, model.weights, model.bias, model.scale, model.shift = state
+        model.classes, model.weights, model.bias, model.typical, model.scale, model.shift = state
         return model
 
     def probabilities(self, features: Features) -> np.ndarray:
         """Texts x classes, in the order of ``classes``."""
-        return _shares(self.scale * (features.scores(self.weights) + self.bias) + self.shift)
+        return self.calibrated(features.scores(self.weights) + self.bias)
+
+    def calibrated(self, raw: np.ndarray) -> np.ndarray:
+        return _shares(self.scale * self._levelled(raw) + self.shift)

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from quillwork.llm import bpe, langid, line_dedup, mixing, quality, sharding
+from quillwork.llm import bpe, hashed, langid, line_dedup, mixing, quality, sharding
 
 ODD = [(1, None), (2, ""), (3, " \t\n\x0b "), (4, "x"), (None, "no id here at all"), (5, "é" * 3000 + "\n" + "long " * 20000), (6, "same line of words that is long enough to be judged here"), (6, "same line of words that is long enough to be judged here")]
 CLASH = "doc_id long, text string, rank long, key int, lang string, source string, digest string, quality_p double"
@@ -137,6 +137,28 @@ def test_quality_base_counts_and_verdict(spark, odd, empty, texts):
     assert quality.quality_rules(empty, labels).collect() == []
 
 
+def test_probabilities_allow_for_wrong_labels():
+    r = np.random.default_rng(5)
+
+    def row(i):
+        good = r.random() < 0.7
+        wrong = r.random() < (0.05 if good else 0.2)
+        numbers = np.unique(np.concatenate([r.integers(0, 200, 12), r.integers(300, 340, 12) + 40 * good])).astype(np.uint16)
+        values = np.full(len(numbers), 1 / len(numbers), np.float32)
+        return {"label": int(good != wrong), "fold": i % 5, "numbers": numbers.tobytes(), "values": values.tobytes()}
+
+    rows = [row(i) for i in range(3000)]
+    fit, hidden = rows[:2000], rows[2000:]
+    model = hashed.Model(fit, dict(Counter(x["label"] for x in fit)))
+    held = hashed._Sample(hidden, model.classes)
+    raw, good = held.scores(model.weights) + model.bias, held.target[:, 1]
+    p, bare = model.calibrated(raw)[:, 1], hashed._shares(raw)[:, 1]
+    for side in (p < 0.5, p >= 0.5):
+        assert side.sum() > 200 and abs(p[side].mean() - good[side].mean()) < 0.06
+    assert ((p - good) ** 2).mean() < 0.9 * ((bare - good) ** 2).mean()
+    assert model.calibrated(np.array([[1e9, -1e9]]))[0, 0] < 0.99  # no text is beyond doubt
+
+
 def plain_tree(points, parts, first=0):
     """Shard of each (x, y, weight): split along the widest side where the weights are nearest to their share."""
     if parts == 1:
