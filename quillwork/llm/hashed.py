@@ -139,9 +139,9 @@ def _shares(score: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Multinomial logistic regression, its scores calibrated on a held-out fold."""
+    """Multinomial logistic regression, its scores scaled on a held-out fold; with ``level``, to calibrated probabilities."""
 
-    def __init__(self, sample: list[dict], counts: dict[int, int], steps: int = 80, penalty: float = 1e-4):
+    def __init__(self, sample: list[dict], counts: dict[int, int], steps: int = 80, penalty: float = 1e-4, level: bool = False):
         self.classes = sorted(counts)
         # The order of rows from Spark is not fixed; sums of floats depend on it.
         sample = sorted(sample, key=lambda r: (r["fold"], r["label"], r["numbers"], r["values"]))
@@ -150,7 +150,8 @@ class Model:
         fit = fit if {r["label"] for r in fit} == every else sample
         held = held if {r["label"] for r in held} == every else sample
         self.weights, self.bias = self._fit(_Sample(fit, self.classes), steps, penalty)
-        self.scale, self.shift = self._calibrate(_Sample(held, self.classes), counts)
+        self.typical = None
+        self.scale, self.shift = (self._calibrate if level else self._scaled)(_Sample(held, self.classes), counts)
 
     @staticmethod
     def _fit(rows: _Sample, steps: int, penalty: float):
@@ -170,6 +171,22 @@ class Model:
             bias -= rate * bm / (np.sqrt(bv) + 1e-8)
         return (w / spread[:, None]).astype(np.float32), bias
 
+    def _scaled(self, rows: _Sample, counts: dict[int, int]):
+        """One factor and a shift per class by gradient steps on held-out rows: sharp posteriors, not probabilities.
+
+        Mixing needs them: its targets lie outside of what probabilities that allow
+        for wrong labels can add up to.
+        """
+        raw = (rows.scores(self.weights) + self.bias).astype(float)
+        weight = rows.target @ (np.array([counts[c] for c in self.classes]) / np.maximum(1, rows.target.sum(0)))[:, None]
+        weight = weight / weight.sum()
+        scale, shift = 1.0, np.log(np.array([counts[c] for c in self.classes]) / sum(counts.values()))
+        for _ in range(500):
+            gap = (_shares(scale * raw + shift) - rows.target) * weight
+            scale = max(0.05, scale - 0.5 * float((gap * raw).sum()) / max(1.0, float(np.abs(raw).mean()) ** 2))
+            shift = shift - 2.0 * gap.sum(0)
+        return scale, shift
+
     def _calibrate(self, rows: _Sample, counts: dict[int, int]):
         """A factor and a shift per class, fitted on held-out rows weighted to the true label counts.
 
@@ -224,4 +241,4 @@ class Model:
         return self.calibrated(features.scores(self.weights) + self.bias)
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
-        return _shares(self.scale * self._levelled(raw) + self.shift)
+        return _shares(self.scale * (raw if self.typical is None else self._levelled(raw)) + self.shift)

@@ -68,7 +68,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     bounded_batches(docs.sparkSession)
     sample, counts = labelled_sample(docs, labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("label")), rows_per_label)
     both = len({r["label"] for r in sample}) == 2
-    held = docs.sparkSession.sparkContext.broadcast(Model(sample, counts).state() if both else None)
+    held = docs.sparkSession.sparkContext.broadcast(Model(sample, counts, level=True).state() if both else None)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.restored(held.value) if held.value else None

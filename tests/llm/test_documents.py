@@ -149,7 +149,7 @@ def test_probabilities_allow_for_wrong_labels():
 
     rows = [row(i) for i in range(3000)]
     fit, hidden = rows[:2000], rows[2000:]
-    model = hashed.Model(fit, dict(Counter(x["label"] for x in fit)))
+    model = hashed.Model(fit, dict(Counter(x["label"] for x in fit)), level=True)
     held = hashed._Sample(hidden, model.classes)
     raw, good = held.scores(model.weights) + model.bias, held.target[:, 1]
     p, bare = model.calibrated(raw)[:, 1], hashed._shares(raw)[:, 1]
