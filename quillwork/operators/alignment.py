@@ -11,20 +11,19 @@ from pyspark.sql import DataFrame, Window
 from ..functions.text import normalize_punct
 
 GRAM = 2
-#: Concepts in one block; every variable meets each block in one task.
-BLOCK = 500
+#: Concepts in one block, and texts of variables in one slice; every slice meets each block in one row.
+BLOCK, SLICE = 500, 250
 LABEL_WEIGHT, ACCEPT = 0.8, 0.6
 
 
-def near_texts(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """``a, b, ratio`` of rows ``(id, ord, text)`` whose ratio reaches the threshold, the earlier one first.
+def near_candidates(texts: DataFrame, threshold: float) -> DataFrame:
+    """``ida, idb``, the earlier first, of distinct texts ``(id, ord, text, n)`` of n characters that can reach the ratio.
 
-    Equal texts are compared once. A ratio of t leaves ``(1 - t) (|a| + |b|)``
-    characters unmatched at most, and each spoils ``GRAM`` grams at most, so near
-    texts share one of their rarest grams; repeated grams are told apart by number.
-    Texts too short for that are joined by length. Empty texts match nothing.
+    A ratio of t leaves ``(1 - t) (|a| + |b|)`` characters unmatched at most, and each
+    spoils ``GRAM`` grams at most, so near texts share one of their rarest grams;
+    repeated grams are told apart by number. Texts too short for that are joined by
+    length.
     """
-    texts = rows.where(F.coalesce("text", F.lit("")) != "").groupBy("text").agg(F.min(F.struct("ord", "id")).alias("first")).select("text", F.length("text").alias("n"), F.col("first.ord").alias("ord"), F.col("first.id").alias("id"))
     # The longest partner has n (2 - t) / t characters.
     spoiled = F.floor(F.col("n") * (1 + (2 - threshold) / threshold) * (1 - threshold) + 1e-9) * GRAM
     whole = F.col("n") - GRAM + 1 > spoiled
@@ -40,8 +39,17 @@ def near_texts(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     reach = F.explode(F.sequence(F.ceil(F.col("n") * threshold / (2 - threshold)).cast("int"), F.floor(F.col("n") * (2 - threshold) / threshold).cast("int")))
     other = side(texts.withColumn("len", reach), ["len"], "b")
     extra = short.join(other, "len").where("ida <> idb").select(F.when(F.col("orda") < F.col("ordb"), F.col("ida")).otherwise(F.col("idb")).alias("ida"), F.when(F.col("orda") < F.col("ordb"), F.col("idb")).otherwise(F.col("ida")).alias("idb"))
+    return pairs.unionByName(extra).distinct()
+
+
+def near_texts(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """``a, b, ratio`` of rows ``(id, ord, text)`` whose ratio reaches the threshold, the earlier one first.
+
+    Equal texts are compared once. Empty texts match nothing.
+    """
+    texts = rows.where(F.coalesce("text", F.lit("")) != "").groupBy("text").agg(F.min(F.struct("ord", "id")).alias("first")).select("text", F.length("text").alias("n"), F.col("first.ord").alias("ord"), F.col("first.id").alias("id"))
     own = texts.select("id", "text")
-    both = pairs.unionByName(extra).distinct().join(own.select(F.col("id").alias("ida"), F.col("text").alias("ta")), "ida").join(own.select(F.col("id").alias("idb"), F.col("text").alias("tb")), "idb")
+    both = near_candidates(texts, threshold).join(own.select(F.col("id").alias("ida"), F.col("text").alias("ta")), "ida").join(own.select(F.col("id").alias("idb"), F.col("text").alias("tb")), "idb")
 
     @F.pandas_udf("double")
     def reached(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -60,36 +68,62 @@ def near_texts(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
     return heads.select("a", "b", "ratio").unionByName(same.select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("ratio")))
 
 
+def near_values(values: DataFrame, threshold: float) -> DataFrame:
+    """``value, near``, both ways: distinct unequal values ``(value)`` that can reach the ratio, by the characters they share."""
+
+    @F.pandas_udf("boolean")
+    def possible(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y).quick_ratio() >= threshold for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    texts = values.where("value <> ''").select(F.col("value").alias("id"), F.col("value").alias("ord"), F.col("value").alias("text"), F.length("value").alias("n")).distinct()
+    found = near_candidates(texts, threshold).where(possible("ida", "idb"))
+    return found.select(F.explode(F.array(F.struct(F.col("ida").alias("value"), F.col("idb").alias("near")), F.struct(F.col("idb").alias("value"), F.col("ida").alias("near")))).alias("p")).select("p.*")
+
+
 def align_best(variables: DataFrame, concepts: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """``id, concept, score, status`` of each variable: its best concept by label (and definition).
 
     ``variables (id, label, description)``, ``concepts (concept, ord, label,
     definition)``. Status: accepted, rejected, or ``no_text`` for variables with
     neither text. The first concept wins ties; a score of 0 names none. Concepts
-    come in blocks; each distinct pair of texts of a variable is scored once a block.
+    come in blocks, the distinct pairs of texts of variables in slices. Where a bound
+    of the score, by lengths and then by characters, does not exceed the best one
+    found, the ratio itself is not computed.
     """
     own = variables.select("id", normalize_punct(F.col("label")).alias("l"), normalize_punct(F.col("description")).alias("d"))
     texts = own.where("l <> '' or d <> ''").select("l", "d").distinct()
     blocks = max(1, -(-concepts.count() // BLOCK))
     held = concepts.select("concept", "ord", normalize_punct(F.col("label")).alias("l"), normalize_punct(F.col("definition")).alias("d")).withColumn("block", F.pmod(F.xxhash64("concept"), F.lit(blocks)))
     lists = held.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("ord", "concept", "l", "d"))).alias("concepts"))
-    dealt = texts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(lists, "block")
-
-    ratio = lambda a, b: 0.0 if not a or not b else 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
-
-    @F.pandas_udf("score double, ord long, concept string")
-    def best(l: pd.Series, d: pd.Series, options: pd.Series) -> pd.DataFrame:
-        out = []
-        for label, text, held in zip(l, d, options, strict=True):
-            top = (0.0, 0, None)
-            for c in held:
-                score = LABEL_WEIGHT * ratio(label, c["l"]) + (1 - LABEL_WEIGHT) * ratio(text, c["d"])
-                if score > top[0]:
-                    top = (score, -c["ord"], c["concept"])
-            out.append((top[0], -top[1], top[2]))
-        return pd.DataFrame(out, columns=["score", "ord", "concept"])
-
-    scored = dealt.select("l", "d", best("l", "d", "concepts").alias("b")).select("l", "d", "b.*")
+    slices = max(1, -(-texts.count() // SLICE))
+    packed = texts.groupBy(F.pmod(F.xxhash64("l", "d"), F.lit(slices)).alias("slice")).agg(F.collect_list(F.struct("l", "d")).alias("texts"))
+    dealt = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("slice", "block").join(lists, "block")
+
+    def slice_best(texts, options) -> list[tuple]:
+        top = [(0.0, None, None)] * len(texts)
+        label, text = SequenceMatcher(), SequenceMatcher()
+        for c in options:
+            label.set_seq2(c["l"])
+            text.set_seq2(c["d"])
+            for i, t in enumerate(texts):
+                label.set_seq1(t["l"])
+                text.set_seq1(t["d"])
+                score = 1.0
+                for measure in ("real_quick_ratio", "quick_ratio", "ratio"):
+                    each = [1.0 if m.a == m.b and m.a else getattr(m, measure)() if m.a and m.b else 0.0 for m in (label, text)]
+                    score = LABEL_WEIGHT * each[0] + (1 - LABEL_WEIGHT) * each[1]
+                    if score <= top[i][0]:
+                        break
+                else:
+                    top[i] = (score, c["ord"], c["concept"])
+        return top
+
+    @F.pandas_udf("array<struct<score:double,ord:long,concept:string>>")
+    def best(texts: pd.Series, options: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("score", "ord", "concept"), t, strict=True)) for t in slice_best(x, y)] for x, y in zip(texts, options, strict=True)])
+
+    each = dealt.select(F.explode(F.arrays_zip("texts", best("texts", "concepts").alias("found"))).alias("r"))
+    scored = each.select("r.texts.l", "r.texts.d", "r.found.*")
     chosen = scored.groupBy("l", "d").agg(F.max_by(F.struct("concept", "score"), F.struct("score", -F.col("ord"))).alias("best"))
     out = own.join(chosen, ["l", "d"], "left")
     status = F.when((F.col("l") == "") & (F.col("d") == ""), "no_text").when(F.col("best.score") >= accept, "accepted").otherwise("rejected")

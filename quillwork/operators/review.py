@@ -12,6 +12,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
 from ..functions.text import pair_key
+from .grouping import against_parent
 
 
 def set_decisions(members: DataFrame, updates: DataFrame) -> DataFrame:
@@ -222,6 +223,27 @@ def swap_parent(members: DataFrame, groups: DataFrame, links: DataFrame, swaps:
     return stay.unionByName(old), checked.where("reason is not null").select("parent_id", "new_parent_id", "reason")
 
 
+def swapped_registry(members: DataFrame, groups: DataFrame, links: DataFrame, swaps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(members, groups, refused)`` after ``swap_parent``, with at most one swap for each group.
+
+    ``links (id, links)``: fused pairs of each member, as ``grouping.links`` gives them.
+    Members of swapped groups are detected anew against the new parent; those of
+    others stay as they are. Groups keep their order; swapped ones are marked
+    ``master_chosen`` and name their ``previous_parent``, so swapping back restores
+    the members (with the decision on the old parent pending).
+    """
+    after, refused = swap_parent(members, groups, links.where(F.size("links") > 0), swaps)
+    done = swaps.join(refused.select("parent_id"), "parent_id", "left_anti").select("parent_id", "new_parent_id")
+    new = done.select(F.col("new_parent_id").alias("parent_id"))
+    columns = ["parent_id", "id", "decision", "detection_types", "confidence", "via"]
+    linked = after.join(new, "parent_id", "left_semi").join(links, "id", "left").withColumn("links", F.coalesce("links", F.array().cast(links.schema["links"].dataType)))
+    old = members.join(done.select("parent_id"), "parent_id", "left_anti").select(columns)
+    moved = groups.join(done, "parent_id", "left")
+    moved = moved.withColumn("master_chosen", F.col("new_parent_id").isNotNull() | F.coalesce("master_chosen", F.lit(False))) if "master_chosen" in groups.columns else moved.withColumn("master_chosen", F.col("new_parent_id").isNotNull())
+    moved = moved.withColumn("previous_parent", F.when(F.col("new_parent_id").isNotNull(), F.col("parent_id"))).withColumn("parent_id", F.coalesce("new_parent_id", "parent_id")).drop("new_parent_id")
+    return against_parent(linked).select(columns).unionByName(old), moved, refused
+
+
 def validate_cleaned(entries: DataFrame) -> DataFrame:
     """``list_id, path, message`` of each failed check of ``list_id, key, codes`` (array of arrays of strings)."""
     codes = F.posexplode_outer("codes").alias("pos", "code")

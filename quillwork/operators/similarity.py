@@ -11,13 +11,15 @@ import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame, Window
 
 from ..functions.text import name_similarity
+from .alignment import near_values
+from .grouping import written
 from .signature import representatives
 
 #: Lists with more codes are not compared; leftover codes are compared pairwise up to PAIRWISE a side.
 MOST_CODES, PAIRWISE = 5000, 100
 LEAST_CODE_SIM, INSPECT, DETECT, MATCH = 0.75, 0.80, 0.90, 0.65
-#: Values of fewer characters match only when they are equal.
-LONG_VALUE = 5
+#: Values of fewer characters match only when they are equal; unequal ones match from this ratio.
+LONG_VALUE, NEAR_VALUE = 5, 0.9
 
 
 def _ratio(a: str, b: str) -> float:
@@ -77,14 +79,22 @@ def size_ratio_counts(lists: DataFrame) -> DataFrame:
     return both.select("small", "large", pairs.alias("n_pairs")).where("n_pairs > 0")
 
 
-def candidate_pairs(lists: DataFrame) -> DataFrame:
+def list_near_values(lists: DataFrame) -> DataFrame:
+    """``value, near``, both ways: the unequal values of all lists that can match."""
+    values = lists.select(F.explode("codes.value").alias("value")).where(F.length("value") >= LONG_VALUE).distinct()
+    return written(near_values(values, NEAR_VALUE), "near-values")
+
+
+def candidate_pairs(lists: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """Pairs that can reach the least code similarity: ``ida, idb``, the earlier list first.
 
     ``lists``: ``list_id, ord, n_codes, codes`` (array of value and label in code order).
     A match needs equal values, unless both are long. Route 1: of each list's
     values, rarest first, the ``n - ceil(0.75 n) + 1`` first are joined on; equal
-    values of a list are told apart by their number. Route 2, for lists that both
-    own a long value: joined on their size class and its neighbours.
+    values of a list are told apart by their number. Route 2, for lists that own a
+    value with near ones (a match of unequal values needs a ratio of ``NEAR_VALUE``):
+    one of as many first codes of the earlier list has a partner of equal or near
+    value anywhere in the other.
     """
     each = lists.select("list_id", "ord", "n_codes", F.posexplode("codes").alias("pos", "code")).withColumn("value", F.col("code.value"))
     each = each.withColumn("nth", F.row_number().over(Window.partitionBy("list_id", "value").orderBy("pos"))).select("list_id", "ord", "n_codes", "value", "nth")
@@ -93,10 +103,18 @@ def candidate_pairs(lists: DataFrame) -> DataFrame:
     prefix = ranked.where(F.col("at") <= F.col("n_codes") - F.ceil(F.col("n_codes") * LEAST_CODE_SIM) + 1)
     x, y = (prefix.select("value", "nth", *(F.col(c).alias(f"{c}{i}") for c in ("list_id", "ord", "n_codes"))) for i in "ab")
     rare = x.join(y, ["value", "nth"]).where("orda < ordb").where(near_size(F.col("n_codesa"), F.col("n_codesb"))).select(F.col("list_ida").alias("ida"), F.col("list_idb").alias("idb"))
-    long_ = lists.where(F.exists("codes", lambda c: F.length(c["value"]) >= LONG_VALUE)).withColumn("class", F.floor(F.log("n_codes") / F.lit(0.2876820724517809)))
-    x = long_.select("class", F.col("list_id").alias("ida"), F.col("ord").alias("orda"), F.col("n_codes").alias("na"))
-    y = long_.select(F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.col("list_id").alias("idb"), F.col("ord").alias("ordb"), F.col("n_codes").alias("nb"))
-    sized = x.join(y, "class").where("orda < ordb").where(near_size(F.col("na"), F.col("nb"))).select("ida", "idb")
+    near = list_near_values(lists) if near is None else near
+    own = each.select("list_id", "ord", "n_codes", "value").distinct()
+    own = own.join(own.join(near.select("value").distinct(), "value", "left_semi").select("list_id").distinct(), "list_id", "left_semi")
+    reach = near.unionByName(own.select("value", F.col("value").alias("near")).distinct())
+    held = own.groupBy(F.col("value").alias("near")).agg(F.count("*").alias("n"))
+    spread = reach.join(held, "near").groupBy("value").agg(F.sum("n").alias("df"))
+    # Distinct values stand for their repeats: the first codes hold no more distinct values than that.
+    at = F.row_number().over(Window.partitionBy("list_id").orderBy("df", "value"))
+    first = own.join(spread, "value").withColumn("at", at).where(F.col("at") <= F.col("n_codes") - F.ceil(F.col("n_codes") * LEAST_CODE_SIM) + 1)
+    x = first.select("value", F.col("list_id").alias("ida"), F.col("ord").alias("orda"), F.col("n_codes").alias("na")).join(reach, "value")
+    y = own.select(F.col("value").alias("near"), F.col("list_id").alias("idb"), F.col("ord").alias("ordb"), F.col("n_codes").alias("nb"))
+    sized = x.join(y, "near").where("orda < ordb").where(near_size(F.col("na"), F.col("nb"))).select("ida", "idb")
     return rare.unionByName(sized).distinct()
 
 
@@ -104,19 +122,21 @@ def fuzzy_pairs(lists: DataFrame, inspect: float = INSPECT, detect: float = DETE
     """``a, b, code_sim, name_sim, score, level`` of pairs at or above ``inspect``.
 
     One list for each full signature takes part, if it has codes, at most
-    ``MOST_CODES`` of them, and is no placeholder. Pairs of lists that both hold
-    short values only are bounded by their equal values before they are scored.
+    ``MOST_CODES`` of them, and is no placeholder. Pairs are bounded by their equal
+    and near values before they are scored.
     """
     lists = representatives(lists, "sig").where(F.col("n_codes").between(1, MOST_CODES))
     if "quality_flags" in lists.columns:
         lists = lists.where(~F.array_contains("quality_flags", "placeholder"))
-    own = lists.select("list_id", "name", "codes", "n_codes", F.transform("codes", lambda c: c["value"]).alias("values"), F.exists("codes", lambda c: F.length(c["value"]) >= LONG_VALUE).alias("long"))
-    side = lambda i: own.select(*(F.col(c).alias(f"{c}{i}") for c in own.columns)).withColumnRenamed(f"list_id{i}", f"id{i}")
-    pairs = candidate_pairs(lists).join(side("a"), "ida").join(side("b"), "idb")
-    # Distinct equal values can be no fewer than the matches allow only where values do not repeat; repeats are left to the matching.
-    unique = (F.size(F.array_distinct("valuesa")) == F.col("n_codesa")) & (F.size(F.array_distinct("valuesb")) == F.col("n_codesb"))
-    bound = F.size(F.array_intersect("valuesa", "valuesb")) / F.greatest("n_codesa", "n_codesb")
-    likely = pairs.where(F.col("longa") & F.col("longb") | ~unique | (bound >= LEAST_CODE_SIM))
+    near = list_near_values(lists)
+    values = lists.select("list_id", F.explode("codes.value").alias("value"))
+    around = values.join(near, "value").groupBy("list_id").agg(F.collect_set("near").alias("around"))
+    own = lists.select("list_id", "name", "codes", "n_codes", F.col("codes.value").alias("values")).join(around, "list_id", "left").withColumn("around", F.array_union("values", F.coalesce("around", F.array().cast("array<string>"))))
+    side = lambda i, *names: own.select(F.col("list_id").alias(f"id{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("name", "codes", "n_codes", *names)))
+    pairs = candidate_pairs(lists, near).join(side("a", "around"), "ida").join(side("b", "values"), "idb")
+    # Each match uses up a code of b whose value is equal or near to one of a.
+    met = F.size(F.filter("valuesb", lambda v: F.array_contains("arounda", v)))
+    likely = pairs.where(met >= F.greatest("n_codesa", "n_codesb") * LEAST_CODE_SIM)
     scored = likely.withColumn("code_sim", code_similarity("codesa", "codesb")).where(F.col("code_sim") >= LEAST_CODE_SIM)
     name, trusted = name_similarity(F.col("namea"), F.col("nameb"))
     scored = scored.withColumn("name_sim", name).withColumn("trusted", trusted)

@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 
 from ..functions import text
 from ..operators import candidates as assembly
-from ..operators import alignment, grouping, profile, similarity, signature
+from ..operators import alignment, grouping, profile, review, similarity, signature
 from . import views
 from .listing import _sig
 from .views import read
@@ -42,6 +42,15 @@ def fuzzy_pairs(spark, sf):
     return similarity.fuzzy_pairs(_lists(spark, sf)).select("a", "b", "score", "level")
 
 
+def fuzzy_pairs_text(spark, sf):
+    """Lists whose values are long, spelt otherwise in every other list: no two of those are equal, only near."""
+    codes = views.customer_codes(spark, sf).withColumn("value", F.concat(F.substring(F.md5("value"), 1, 12), F.when(F.col("list_id") % 2 == 1, "x").otherwise("")))
+    signed = signature.signatures(views.customers(spark, sf), codes)
+    ordered = codes.groupBy("list_id").agg(F.array_sort(F.collect_list(F.struct("value", "label"))).alias("codes"))
+    lists = signed.join(ordered, "list_id", "left").withColumn("codes", F.coalesce("codes", F.array().cast(signature.PAIRS)))
+    return similarity.fuzzy_pairs(lists).select("a", "b", "score", "level")
+
+
 def filter_pairs(spark, sf):
     return fuzzy_pairs(spark, sf).where(F.coalesce("score", F.lit(0.0)) >= 0.85).select("a", "b")
 
@@ -138,6 +147,26 @@ def vs_parent(spark, sf):
     return registry(spark, sf).where("id <> parent_id").select("id", "detection_types", "confidence")
 
 
+def _swapped(spark, sf):
+    """Every group's member with the largest id is chosen as its parent; a third of the members is approved, a third rejected."""
+    pairs = grouping.written(_links(spark, sf), "links")
+    found = grouping.registry(pairs, _ranked(spark, sf))
+    decision = F.when(F.col("id") % 3 == 0, "approve").when(F.col("id") % 3 == 1, "reject").otherwise("pending")
+    members = grouping.written(found.where("id <> parent_id").withColumn("decision", decision), "members")
+    groups = found.where("id = parent_id").select("parent_id", "ord").join(_ranked(spark, sf).select(F.col("list_id").alias("parent_id"), "origin"), "parent_id")
+    swaps = members.groupBy("parent_id").agg(F.max("id").alias("new_parent_id"))
+    return review.swapped_registry(members, groups, grouping.links(grouping.fuse_pairs(pairs)), swaps)
+
+
+def swap_members(spark, sf):
+    via = F.array_join(F.array_sort(F.col("via").cast("array<string>")), ",").alias("via")
+    return _swapped(spark, sf)[0].select("parent_id", "id", "decision", F.array_join("detection_types", ",").alias("detection_types"), F.round("confidence", 4).alias("confidence"), via)
+
+
+def swap_groups(spark, sf):
+    return _swapped(spark, sf)[1].select("parent_id", "ord", "master_chosen", "previous_parent")
+
+
 def shared_vars(spark, sf):
     members = components(spark, sf).select(F.col("comp").alias("group_id"), F.col("node").alias("list_id")).join(_lists(spark, sf).select("list_id", F.col("var_sig").alias("vars")), "list_id")
     return grouping.shared_vars(members).select("group_id", F.array_join("shared_vars", ",").alias("shared_vars"))
@@ -193,6 +222,9 @@ ORACLES = {
     "code_similarity": BASE + """ SELECT x.list_id, round(CASE WHEN x.n = 0 AND y.n = 0 THEN 1.0 WHEN x.n = 0 OR y.n = 0 THEN 0.0 ELSE
         (SELECT count(*) FROM customer_codes p JOIN customer_codes q ON p.value = q.value WHERE p.list_id = x.list_id AND q.list_id = y.list_id) / greatest(x.n, y.n) END, 6) AS score FROM a x JOIN a y ON y.list_id = x.list_id + 1""",
     "fuzzy_pairs": BASE + " SELECT a, b, score, CASE WHEN score >= 0.9 THEN 'detected' ELSE 'inspect' END AS level FROM f",
+    "fuzzy_pairs_text": BASE + """, r2 AS (SELECT min(list_id) AS list_id, any_value(n) AS n FROM a WHERE n > 0 GROUP BY sig, list_id % 2), k2 AS (SELECT r2.list_id, n, value FROM r2 JOIN customer_codes USING (list_id)),
+        f2 AS (SELECT x.list_id AS a, y.list_id AS b, count(*) / greatest(any_value(x.n), any_value(y.n)) AS score FROM k2 x JOIN k2 y ON x.value = y.value AND x.list_id < y.list_id GROUP BY 1, 2)
+        SELECT a, b, round(score, 4) AS score, CASE WHEN round(score, 4) >= 0.9 THEN 'detected' ELSE 'inspect' END AS level FROM f2 WHERE score >= 0.8""",
     "filter_pairs": BASE + " SELECT a, b FROM f WHERE score >= 0.85",
     "cross_check": BASE + """ SELECT f.a, f.b, array_to_string(list_sort(list_intersect(x.v, y.v)), ',') AS shared, array_to_string(list_sort(list_filter(x.v, lambda z: NOT list_contains(y.v, z))), ',') AS only_a,
         array_to_string(list_sort(list_filter(y.v, lambda z: NOT list_contains(x.v, z))), ',') AS only_b,
@@ -225,6 +257,15 @@ ORACLES = {
         UNION ALL SELECT parent_id, id, types, round(confidence, 4), '' FROM d
         UNION ALL SELECT m.parent_id, m.id, string_agg(DISTINCT t, ',' ORDER BY t), round(max(w.confidence), 4), string_agg(DISTINCT CAST(w.other AS VARCHAR), ',' ORDER BY CAST(w.other AS VARCHAR)) FROM m JOIN w ON w.id = m.id, unnest(string_split(w.types, ',')) AS x(t)
           WHERE m.id <> m.parent_id AND m.id NOT IN (SELECT id FROM d) GROUP BY 1, 2""",
+    "swap_members": LINKS + """, m AS (SELECT parent_id, id, CASE id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'pending' END AS decision FROM rk JOIN par USING (comp) WHERE id <> parent_id),
+        ok AS (SELECT parent_id, max(id) AS np FROM m WHERE parent_id % 10 <> 3 GROUP BY 1),
+        t AS (SELECT coalesce(np, m.parent_id) AS parent_id, id, decision FROM m LEFT JOIN ok USING (parent_id) WHERE np IS NULL OR id <> np UNION ALL SELECT np, parent_id, 'pending' FROM ok),
+        d AS (SELECT t.id, w.types, w.confidence FROM t JOIN w ON w.id = t.id AND w.other = t.parent_id)
+        SELECT parent_id, t.id, decision, types AS detection_types, round(confidence, 4) AS confidence, '' AS via FROM t JOIN d USING (id)
+        UNION ALL SELECT t.parent_id, t.id, decision, string_agg(DISTINCT z, ',' ORDER BY z), round(max(w.confidence), 4), string_agg(DISTINCT CAST(w.other AS VARCHAR), ',' ORDER BY CAST(w.other AS VARCHAR))
+          FROM t JOIN w ON w.id = t.id, unnest(string_split(w.types, ',')) AS x(z) WHERE t.id NOT IN (SELECT id FROM d) GROUP BY 1, 2, 3""",
+    "swap_groups": LINKS + """, g AS (SELECT parent_id, max(id) FILTER (id <> parent_id) AS np FROM rk JOIN par USING (comp) GROUP BY 1), s AS (SELECT parent_id, CASE WHEN parent_id % 10 <> 3 THEN np END AS np FROM g)
+        SELECT coalesce(np, parent_id) AS parent_id, parent_id AS ord, np IS NOT NULL AS master_chosen, CASE WHEN np IS NOT NULL THEN parent_id END AS previous_parent FROM s""",
     "size_ratio_pairs": BASE + """, h AS (SELECT n, count(*) AS c FROM r GROUP BY 1) SELECT x.n AS small, y.n AS large, CASE WHEN x.n = y.n THEN x.c * (x.c - 1) // 2 ELSE x.c * y.c END AS n_pairs
         FROM h x JOIN h y ON x.n <= y.n AND x.n >= 0.75 * y.n WHERE x.n < y.n OR x.c > 1""",
     "vs_parent": LINKS + """, m AS (SELECT parent_id, id FROM rk JOIN par USING (comp) WHERE id <> parent_id), d AS (SELECT m.id, w.types, w.confidence FROM m JOIN w ON w.id = m.id AND w.other = m.parent_id)
@@ -236,4 +277,4 @@ ORACLES = {
         SELECT x.page_id, round((SELECT count(*) FROM range(1, least(len(x.s), len(y.s)) + 1) AS i(i) WHERE x.s[1:i] = y.s[1:i]) / greatest(len(x.s), len(y.s)), 6) AS ratio FROM u x JOIN u y ON y.page_id = x.page_id - 1""",
 }
 
-QUERIES = {f.__name__: f for f in (pair_details, minimal_records, codes_preview, fuzzy_excluded, size_ratio_pairs, code_similarity, fuzzy_pairs, filter_pairs, cross_check, context_link, compare_codes, candidates, fuse_pairs, components, choose_parent, links, registry, vs_parent, shared_vars, uid_prefix, variable_dups, align_best, align_stats)}
+QUERIES = {f.__name__: f for f in (pair_details, minimal_records, codes_preview, fuzzy_excluded, size_ratio_pairs, code_similarity, fuzzy_pairs, fuzzy_pairs_text, swap_members, swap_groups, filter_pairs, cross_check, context_link, compare_codes, candidates, fuse_pairs, components, choose_parent, links, registry, vs_parent, shared_vars, uid_prefix, variable_dups, align_best, align_stats)}
