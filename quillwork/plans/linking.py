@@ -264,8 +264,8 @@ ORACLES = {
         SELECT parent_id, t.id, decision, types AS detection_types, round(confidence, 4) AS confidence, '' AS via FROM t JOIN d USING (id)
         UNION ALL SELECT t.parent_id, t.id, decision, string_agg(DISTINCT z, ',' ORDER BY z), round(max(w.confidence), 4), string_agg(DISTINCT CAST(w.other AS VARCHAR), ',' ORDER BY CAST(w.other AS VARCHAR))
           FROM t JOIN w ON w.id = t.id, unnest(string_split(w.types, ',')) AS x(z) WHERE t.id NOT IN (SELECT id FROM d) GROUP BY 1, 2, 3""",
-    "swap_groups": LINKS + """, g AS (SELECT parent_id, max(id) FILTER (id <> parent_id) AS np FROM rk JOIN par USING (comp) GROUP BY 1), s AS (SELECT parent_id, CASE WHEN parent_id % 10 <> 3 THEN np END AS np FROM g)
-        SELECT coalesce(np, parent_id) AS parent_id, parent_id AS ord, np IS NOT NULL AS master_chosen, CASE WHEN np IS NOT NULL THEN parent_id END AS previous_parent FROM s""",
+    "swap_groups": LINKS + """, g AS (SELECT parent_id, max(id) FILTER (id <> parent_id) AS np FROM rk JOIN par USING (comp) GROUP BY 1), sg AS (SELECT parent_id, CASE WHEN parent_id % 10 <> 3 THEN np END AS np FROM g)
+        SELECT coalesce(np, parent_id) AS parent_id, parent_id AS ord, np IS NOT NULL AS master_chosen, CASE WHEN np IS NOT NULL THEN parent_id END AS previous_parent FROM sg""",
     "size_ratio_pairs": BASE + """, h AS (SELECT n, count(*) AS c FROM r GROUP BY 1) SELECT x.n AS small, y.n AS large, CASE WHEN x.n = y.n THEN x.c * (x.c - 1) // 2 ELSE x.c * y.c END AS n_pairs
         FROM h x JOIN h y ON x.n <= y.n AND x.n >= 0.75 * y.n WHERE x.n < y.n OR x.c > 1""",
     "vs_parent": LINKS + """, m AS (SELECT parent_id, id FROM rk JOIN par USING (comp) WHERE id <> parent_id), d AS (SELECT m.id, w.types, w.confidence FROM m JOIN w ON w.id = m.id AND w.other = m.parent_id)

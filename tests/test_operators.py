@@ -139,3 +139,16 @@ def test_judge_replies_and_vectors(spark):
     assert got == [(True, 0.9, "r"), no, no, no, (False, 0.0, "")]
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None)], "id long, embedding array<float>")
     assert [(r.a, r.b, r.score) for r in semantic.cosine_pairs(vectors, 0.5, block=2).collect()] == [(1, 2, 1.0)]
+
+
+def test_swapped_groups_are_detected_anew(spark):
+    found = spark.createDataFrame([(1, 2, "exact", 1.0), (2, 3, "fuzzy", 0.93), (5, 6, "exact", 1.0)], "master_id long, slave_id long, detection_type string, confidence double")
+    members = spark.createDataFrame([(1, 2, "approve", ["exact"], 1.0, []), (1, 3, "reject", ["fuzzy"], 0.93, [2]), (5, 6, "pending", ["exact"], 1.0, [])], "parent_id long, id long, decision string, detection_types array<string>, confidence double, via array<long>")
+    groups = spark.createDataFrame([(1, 10, "xml"), (5, 50, "registry")], "parent_id long, ord long, origin string")
+    swaps = spark.createDataFrame([(1, 3), (5, 6)], "parent_id long, new_parent_id long")
+    links = grouping.links(grouping.fuse_pairs(found))
+    after, moved, refused = review.swapped_registry(members, groups, links, swaps)
+    got = {(r.parent_id, r.id): (r.decision, r.detection_types, r.confidence, r.via) for r in after.collect()}
+    assert got == {(3, 1): ("pending", ["exact"], 1.0, [2]), (3, 2): ("approve", ["fuzzy"], 0.93, []), (5, 6): ("pending", ["exact"], 1.0, [])}
+    assert {(r.parent_id, r.ord, r.master_chosen, r.previous_parent) for r in moved.collect()} == {(3, 10, True, 1), (5, 50, False, None)}
+    assert [(r.parent_id, r.reason) for r in refused.collect()] == [(5, "registry")]
