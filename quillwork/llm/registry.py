@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, html_text, jaccard, langid, line_dedup, mixing, quality, sharding, substring_dedup
+from . import bpe, decontaminate, exact_dedup, html_text, jaccard, langid, line_dedup, mixing, quality, sharding, substring_dedup
 
 
 def queries():
@@ -22,6 +22,7 @@ def queries():
         "op9_language_id": langid.op9_query,
         "language_id_pages": langid.pages_query,
         "op10_jaccard_join": jaccard.op10_query,
+        "op12_decontamination": decontaminate.op12_query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -33,4 +34,5 @@ def oracle_sql():
         "op5_exact_dedup": exact_dedup.OP5_SQL,
         "exact_dedup_batches": exact_dedup.TWO_BATCHES_SQL,
         "op10_jaccard_join": jaccard.OP10_SQL,
+        "op12_decontamination": decontaminate.OP12_SQL,
     }
