@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, exact_dedup, html_text, jaccard, langid, line_dedup, mixing, quality, sharding, substring_dedup
+from . import bpe, decontaminate, exact_dedup, fim, html_text, jaccard, langid, line_dedup, mixing, quality, sharding, substring_dedup
 
 
 def queries():
@@ -23,6 +23,7 @@ def queries():
         "language_id_pages": langid.pages_query,
         "op10_jaccard_join": jaccard.op10_query,
         "op12_decontamination": decontaminate.op12_query,
+        "op13_fill_in_middle": fim.op13_query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -35,4 +36,5 @@ def oracle_sql():
         "exact_dedup_batches": exact_dedup.TWO_BATCHES_SQL,
         "op10_jaccard_join": jaccard.OP10_SQL,
         "op12_decontamination": decontaminate.OP12_SQL,
+        "op13_fill_in_middle": fim.OP13_SQL,
     }
