@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, exact_dedup, fim, html_text, jaccard, langid, line_dedup, mixing, quality, sharding, substring_dedup
+from . import bpe, decontaminate, exact_dedup, fim, html_text, jaccard, langid, lexical_search, line_dedup, mixing, quality, sharding, substring_dedup
 
 
 def queries():
@@ -22,6 +22,7 @@ def queries():
         "op9_language_id": langid.op9_query,
         "language_id_pages": langid.pages_query,
         "op10_jaccard_join": jaccard.op10_query,
+        "op11_lexical_search": lexical_search.op11_query,
         "op12_decontamination": decontaminate.op12_query,
         "op13_fill_in_middle": fim.op13_query,
         "pipeline": corpus_pipeline.run,
@@ -35,6 +36,7 @@ def oracle_sql():
         "op5_exact_dedup": exact_dedup.OP5_SQL,
         "exact_dedup_batches": exact_dedup.TWO_BATCHES_SQL,
         "op10_jaccard_join": jaccard.OP10_SQL,
+        "op11_lexical_search": lexical_search.OP11_SQL,
         "op12_decontamination": decontaminate.OP12_SQL,
         "op13_fill_in_middle": fim.OP13_SQL,
     }

@@ -69,6 +69,9 @@ class Words:
     ``first``: index of the first word of each text, with the total at the end.
     """
 
+    #: Which bytes separate words.
+    separates = _space_table()
+
     def __init__(self, texts: list[bytes], lower: bool = True):
         self.texts = texts
         self.buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -76,7 +79,7 @@ class Words:
             self.buf = _lower_table()[self.buf]
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.at = np.concatenate([[0], np.cumsum(lengths)])
-        space = _space_table()[self.buf]
+        space = self.separates[self.buf]
         before = np.concatenate([[True], space[:-1]])
         self.starts = np.flatnonzero(~space & before)
         self.ends = np.flatnonzero(space & ~before)
