@@ -9,13 +9,14 @@ sample of labelled rows and score whole texts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .shared import bounded_batches, text_or_empty
+from .shared import bounded_batches, text_or_empty, written
 from .words import Words, mix, slices
 
 #: Features in the blocks (trigrams, words, pairs), as powers of two; where each block begins, and all of them.
@@ -81,21 +82,29 @@ def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled_sample(docs: DataFrame, labelled: DataFrame, rows_per_label: int) -> tuple[list[dict], dict[int, int]]:
-    """Features of at most ``rows_per_label`` rows of each label, chosen by a hash of the id, and the label counts.
+    """Features of at most ``rows_per_label`` documents of each label, chosen by hashes of id and text, and the label counts.
 
     ``labelled``: ``doc_id, label`` with small integer labels; null ids and labels
-    are left out. Only the sample comes to the driver, as features.
+    are left out. Where several documents have a labelled id, each counts on its own;
+    documents that repeat as a whole count once. Only the sample comes to the driver,
+    as features.
     """
     bounded_batches(docs.sparkSession)
     labelled = labelled.where("doc_id is not null and label is not null").select("doc_id", F.col("label").cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    chosen = None
-    for label in sorted(counts):
-        part = labelled.where(F.col("label") == label).withColumn("fold", F.xxhash64("doc_id")).orderBy("fold", "doc_id").limit(rows_per_label)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
+    if not counts:
         return [], {}
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text", F.pmod("fold", F.lit(5)).cast("int").alias("fold"))
+
+    def first(rows: DataFrame, *order: str) -> DataFrame:
+        parts = [rows.where(F.col("label") == label).orderBy(*order).limit(rows_per_label) for label in sorted(counts)]
+        return reduce(DataFrame.unionByName, parts)
+
+    # Of the ids first, so that what is compared with all documents is small; then of the documents that have them.
+    ids = written(first(labelled.distinct().withColumn("fold", F.xxhash64("doc_id")), "fold", "doc_id"), "label-ids")
+    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", F.xxhash64("text"))
+    found = texts.select("doc_id", "digest").join(F.broadcast(ids), "doc_id").distinct()
+    chosen = written(first(found, "fold", "doc_id", "digest"), "label-documents")
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "digest"]).dropDuplicates(["label", "doc_id", "digest"]).select("label", "text", F.pmod("fold", F.lit(5)).cast("int").alias("fold"))
     return rows.mapInArrow(_sample_task, "label int, fold int, numbers binary, values binary").toArrow().to_pylist(), counts
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyspark.sql.functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Rank of a row without an id: after every row that has one.
@@ -45,6 +46,18 @@ def written(df: DataFrame, name: str, partition: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, name: str, key: str = "row_key_") -> DataFrame:
+    """``docs`` with a key ``struct<file, row>`` that tells all rows apart and stays as it is, whatever runs anew.
+
+    Rows of files are known by their file (its path as 64 bits) and place in it, and
+    nothing is copied; other rows are written with their keys.
+    """
+    try:
+        return docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(key))
+    except AnalysisException:
+        return written(docs.withColumn(key, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))), name)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 250) -> None:
     """Keep Arrow batches small, so that very long texts do not add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -86,10 +86,31 @@ def test_short_lines_are_deduplicated_without_a_floor(spark, tmp_path):
 
 def test_lines_on_odd_rows(odd, empty):
     got = sorted(((r.doc_id, r.n_units, r.n_removed) for r in line_dedup.dedup_lines(odd).collect()), key=str)
-    assert got == sorted([(1, 1, 0), (2, 1, 0), (3, 2, 0), (4, 1, 0), (None, 1, 0), (5, 2, 0), (6, 1, 0), (6, 1, 0)], key=str)
+    assert got == sorted([(1, 1, 0), (2, 1, 0), (3, 2, 0), (4, 1, 0), (None, 1, 0), (5, 2, 0), (6, 1, 0), (6, 1, 1)], key=str)
     assert line_dedup.dedup_lines(empty).collect() == []
 
 
+def test_rows_that_share_an_id_or_lack_one_are_documents_of_their_own(spark, tmp_path):
+    rows = [(None, "one alpha\ntwo beta"), (None, "unique gamma\nunique delta"), (1, "two beta"), (5, "x\ntwo beta"), (5, "y\nonly here"), (None, "one alpha\ntwo beta")]
+    want = [(None, 2, 1, "10-18", "one alpha"), (None, 2, 0, "", "unique gamma\nunique delta"), (1, 1, 0, "", "two beta"), (5, 2, 1, "2-10", "x"), (5, 2, 0, "", "y\nonly here"), (None, 2, 2, "0-9,10-18", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    columns = ("doc_id", "n_units", "n_removed", "removed_spans", "text")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert sorted(db.execute(f"SELECT {', '.join(columns)} FROM ({line_dedup.OP2_SQL})").fetchall(), key=str) == sorted(want, key=str)
+    for found in (line_dedup.dedup_lines(docs), line_dedup.op2_query(spark, str(tmp_path))):
+        assert sorted(map(tuple, found.select(*columns).collect()), key=str) == sorted(want, key=str)
+
+
+def test_the_sample_of_labelled_rows_has_a_true_bound(spark):
+    docs = spark.createDataFrame([(7, f"text {i} of one id") for i in range(400)] + [(8, "the same")] * 50 + [(9, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 1), (8, 0), (9, 0), (None, 1), (7, None)], "doc_id long, label int")
+    sample, counts = hashed.labelled_sample(docs, labels, 10)
+    assert counts == {0: 2, 1: 2} and Counter(r["label"] for r in sample) == {1: 10, 0: 2}
+    assert hashed.labelled_sample(docs, labels.limit(0), 10) == ([], {})
+
+
 def test_bpe_is_what_tiktoken_does(spark, odd, empty, texts):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
