@@ -7,8 +7,9 @@
    sums over a host's pages then say of every node how its texts vary: those that
    most pages have there are template; what varies is content.
 3. The wrapper of a host is the smallest part of the exemplar that holds nearly all
-   varying text, with the varying first heading above it and without lists of
-   links or stock texts that rotate. What lies outside goes: menus, adverts and
+   varying text; an article is taken whole. The varying first heading above it and the
+   parts of the article beside it belong to it; stock texts that rotate, and lists of
+   links outside of articles, do not. What lies outside goes: menus, adverts and
    footers, however they vary.
 4. Element names, roles and words in class names then decide what the wrapper can't:
    hosts with few pages, hidden elements, and what varies as articles do (comments).
@@ -57,6 +58,8 @@ TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 5
 REGION_SHARE, LINK_SHARE = 0.8, 0.7
 #: A text that is drawn from fewer than this many stock texts rotates.
 STOCK = 200
+#: Beside a region, a part of the article has so many characters a block at least, and so many blocks a page at most.
+LEAST_TEXT, PARTS = 60, 4
 #: Bytes of wrappers (trees of hosts) that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST = 16_000_000
 
@@ -315,6 +318,7 @@ def induce(exemplar: str, slots: list[dict]) -> tuple[list[bool], list[int]]:
     labels, parents, children = _tree(exemplar)
     tag = [x.split(".", 1)[0] for x in labels]
     linked = {s["node"] for s in slots if s["links"] >= LINK_SHARE * s["chars"] > 0}
+    rotating = {s["node"] for s in slots if s["again"] >= 3 and s["blocks"] * (s["blocks"] - 1) / 2 < STOCK * s["again"]}
     mass = [0] * len(labels)
     for s in slots:
         if s["node"] not in linked:
@@ -327,23 +331,63 @@ def induce(exemplar: str, slots: list[dict]) -> tuple[list[bool], list[int]]:
     for i in range(len(labels) - 1, 0, -1):
         mass[parents[i]] += mass[i]
     region = 0
-    while True:
-        fits = [c for c in children[region] if mass[c] >= REGION_SHARE * mass[0] > 0 and tag[c] not in TEXTUAL]
+    while tag[region] != "article":
+        # An article is taken whole; of what is named as the main part only an article in it can be more to the point.
+        fits = [c for c in children[region] if mass[c] >= REGION_SHARE * mass[0] > 0 and tag[c] not in TEXTUAL and (tag[region] != "main" or tag[c] == "article")]
         if not fits:
             break
         region = fits[0]
     inside = [False] * len(labels)
     for i in range(len(labels)):
         inside[i] = i == region or i > 0 and inside[parents[i]]
-    above, i = set(), region
+    above, i = [], region
     while i >= 0:
-        above.add(i)
+        above.append(i)
         i = parents[i]
-    if not any(tag[i] == "h1" and inside[i] and varies[i] for i in range(len(labels))):
-        for i in range(len(labels)):
-            inside[i] = inside[i] or tag[i] == "h1" and varies[i] and parents[i] in above
-    stock = {s["node"] for s in slots if tag[s["node"]] not in TEXTUAL and s["again"] >= 3 and s["blocks"] * (s["blocks"] - 1) / 2 < STOCK * s["again"]}
-    return inside, sorted(n for n in linked | stock if inside[n])
+    # Links stay within what is named as an article or holds the title of one, unless they rotate as menus do.
+    trusted = [i for i in above if tag[i] in MAIN][:1]
+    headings = {i for i in range(len(labels)) if tag[i] == "h1" and varies[i]}
+    if headings and not any(inside[i] for i in headings):
+        if not trusted:
+            trusted = _beside(region, above, headings, tag, parents, children, slots, linked | rotating, inside)
+        for i in headings:
+            inside[i] = inside[i] or parents[i] in above
+    held = [False] * len(labels)
+    for i in range(len(labels)):
+        held[i] = i in trusted or i > 0 and held[parents[i]]
+    dropped = {n for n in linked if not held[n] or n in rotating} | {n for n in rotating if tag[n] not in TEXTUAL}
+    return inside, sorted(n for n in dropped if inside[n])
+
+
+def _beside(region: int, above: list[int], headings: set[int], tag: list[str], parents: list[int], children: list[list[int]], slots: list[dict], no_text: set[int], inside: list[bool]) -> list[int]:
+    """Parts of an article that lie beside its region, where the title does too: between them, or after them and written as text is.
+
+    Marks them as inside; returns the element that holds them all, if it is smaller than a page.
+    """
+    own = {s["node"]: s for s in slots}
+    for at, holder in zip(above, above[1:]):
+        if tag[holder] in ("#", "html", "body"):
+            return []
+        under: dict[int, list[int]] = {c: [] for c in children[holder]}
+        top = [-1] * len(tag)  # the child of the holder that each node is under; parents come first
+        for n in range(holder + 1, len(tag)):
+            top[n] = n if parents[n] == holder else top[parents[n]]
+            if top[n] >= 0:
+                under[top[n]].append(n)
+        titles = sorted(top[h] for h in headings if top[h] >= 0)
+        if not titles:
+            continue
+        per_page = max(own[h]["blocks"] for h in headings if h in own)
+        for c, nodes in under.items():
+            varying = [own[n] for n in nodes if n in own and n not in no_text and own[n]["varying"] > 0]
+            blocks = sum(s["blocks"] for s in varying)
+            # What repeats many times on a page, as comments do, is no part of the article by this rule.
+            written_out = blocks <= PARTS * per_page and sum(s["chars"] for s in varying) >= LEAST_TEXT * blocks
+            if varying and (titles[0] < c < at or c > at and written_out):
+                for n in nodes:
+                    inside[n] = True
+        return [holder]
+    return []
 
 
 def _name(text: str) -> int:

@@ -102,6 +102,40 @@ def test_wrappers_find_articles_where_no_name_tells(spark):
     assert sum(x.n_by_marks for x in got.values()) == 0 and sum(x.n_by_wrapper for x in got.values()) > 8 * len(rows)
 
 
+def article_site(r, host, pages, layout):
+    """Articles with a lead, a closing section and references; around them menus, a sidebar and a footer."""
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    names, rows, truth = [word() for _ in range(40)], [], {}
+    for i in range(pages):
+        title, lead, closing, refs = text(5), text(12), text(20), [text(9) for _ in range(3)]
+        body = [text(r.randrange(30, 60)) for _ in range(r.randrange(3, 6))]
+        links = "".join(f'<li><a href="/m">{x}</a></li>' for x in r.sample(names, 6))
+        paragraphs = "".join(f"<p>{b}</p>" for b in body)
+        cited = "".join(f'<li><a href="/r">{x}</a></li>' for x in refs)
+        inner = f'<h1>{title}</h1><div class="lead"><p>{lead}</p></div><div class="text">{paragraphs}</div><div class="closing"><p>{closing}</p></div><div class="refs"><ul>{cited}</ul></div>'
+        blocks = [title, lead, *body, closing, *refs]
+        if layout == "div":
+            inner, blocks = inner[: inner.index('<div class="refs">')], blocks[:-3]
+        open_, close = {"article": ("<article>", "</article>"), "main": ("<main>", "</main>"), "div": ('<div class="story">', "</div>")}[layout]
+        rows.append((f"http://{host}/{i}", f'<html><body><div class="top"><ul>{links}</ul></div>{open_}{inner}{close}<div class="side"><ul>{links}</ul><div>{r.choice(names)}</div></div><div class="foot">{text(3)} {r.choice(names)}</div></body></html>'))
+        truth[rows[-1][0]] = "\n\n".join(blocks)
+    return rows, truth
+
+
+def test_articles_come_out_whole_with_lead_closing_and_references(spark):
+    r = random.Random(9)
+    rows, truth = [], {}
+    for k, layout in enumerate(("article", "main", "div")):
+        for pages in (8, 30):
+            own, articles = article_site(r, f"w{k}-{pages}.example.org", pages, layout)
+            rows += own
+            truth |= articles
+    got = {x.url: x.text for x in extract(spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "page_id long, url string, html string").repartition(4)).collect()}
+    wrong = [url for url, text in truth.items() if got[url] != text]
+    assert not wrong, (len(wrong), wrong[0], got[wrong[0]], truth[wrong[0]])
+
+
 def test_hidden_and_marked_elements_go_also_within_a_line(spark):
     rows = [
         (1, "http://a.org/", '<p>One <span class="advert">buy <span>now</span></span>two <i style="display: none">x</i>three</p><p hidden>four</p><div style="visibility:hidden"><p>5</p></div>'),
