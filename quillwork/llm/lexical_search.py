@@ -36,8 +36,8 @@ from .words import Words, slices
 TOP = 10
 #: Characters of items that are searched for at once; more take more turns over the documents.
 ITEM_CHARS = 32 << 20
-#: Documents that a task searches at once, and that share a part of a bucket.
-TOGETHER, PART = 16_384, 200_000
+#: Documents that a task searches at once; most and least documents for which there is a part of each bucket.
+TOGETHER, PART, SMALL_PART = 16_384, 200_000, 2_000
 #: Room for the rounding of bounds.
 SLACK = 1 + 1e-9
 
@@ -118,7 +118,8 @@ def term_counts(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
 
 def impact_vectors(counts: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     """``doc_id, bucket, part, norm, terms, impacts`` of documents with a term of the items; buckets are half octaves of the norm."""
-    parts = max(1, n_docs // PART)
+    # A bucket may hold nearly all documents, as where most are copies; its parts keep all tasks busy.
+    parts = max(1, n_docs // PART, min(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_docs // SMALL_PART))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
