@@ -95,7 +95,9 @@ def name_similarity(a: Column, b: Column) -> tuple[Column, Column]:
     a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
     both, one = (a == "") & (b == ""), (a == "") | (b == "")
     short = (F.length(a) < 3) | (F.length(b) < 3)
-    score = F.when(both, 1.0).when(one, 0.0).when(short, 1.0).otherwise(seq_ratio(F.lower(a), F.lower(b)))
+    # Workers see every row; those that the ratio does not decide come as null.
+    decided = one | short
+    score = F.when(both, 1.0).when(one, 0.0).when(short, 1.0).otherwise(seq_ratio(F.when(~decided, F.lower(a)), F.when(~decided, F.lower(b))))
     return score, both | one | ~short
 
 

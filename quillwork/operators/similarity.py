@@ -12,14 +12,17 @@ from pyspark.sql import Column, DataFrame, Window
 
 from ..functions.text import name_similarity
 from .alignment import near_values
-from .grouping import written
+from .grouping import components, written
 from .signature import representatives
+from .valuesets import SMALL, overlapping_lists
 
 #: Lists with more codes are not compared; leftover codes are compared pairwise up to PAIRWISE a side.
 MOST_CODES, PAIRWISE = 5000, 100
 LEAST_CODE_SIM, INSPECT, DETECT, MATCH = 0.75, 0.80, 0.90, 0.65
 #: Values of fewer characters match only when they are equal; unequal ones match from this ratio.
 LONG_VALUE, NEAR_VALUE = 5, 0.9
+#: Most values that one class of connected values stands for.
+MOST_ALIKE = 32
 
 
 def _ratio(a: str, b: str) -> float:
@@ -64,6 +67,22 @@ def code_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([match_codes(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def plain_codes(values: Column, near: Column) -> Column:
+    """Whether no two codes of a list share a value, nor has any a near one elsewhere."""
+    return near.isNull() & (F.size(F.array_distinct(values)) == F.size(values))
+
+
+def settled_similarity(side: str, other: str) -> Column:
+    """Code similarity of two plain lists whose equal values have equal labels, null for others: what ``match_codes`` finds, without it.
+
+    Columns of each side: ``plain``, ``values`` and ``pairs`` (values with lower-case labels) as hashes, ``n_codes``.
+    """
+    col = lambda c, s: F.col(f"{c}{s}")
+    common = F.size(F.array_intersect(col("values", side), col("values", other)))
+    agreed = F.size(F.array_intersect(col("pairs", side), col("pairs", other)))
+    return F.when(col("plain", side) & col("plain", other) & (common == agreed), common / F.greatest(col("n_codes", side), col("n_codes", other)))
+
+
 def near_size(n: Column, m: Column) -> Column:
     return F.least(n, m) >= F.greatest(n, m) * LEAST_CODE_SIM
 
@@ -85,26 +104,36 @@ def list_near_values(lists: DataFrame) -> DataFrame:
     return written(near_values(values, NEAR_VALUE), "near-values")
 
 
+def value_classes(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes ``value, class`` of values connected by ``near (value, near)``, if they have at most ``MOST_ALIKE`` values; and ``near`` of the other values."""
+    joined = components(near.select(F.col("value").alias("a"), F.col("near").alias("b")))
+    joined = written(joined.select(F.col("node").alias("value"), F.col("comp").alias("class")), "value-classes")
+    large = joined.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") > MOST_ALIKE)
+    return joined.join(large, "class", "left_anti").select("value", "class"), written(near.join(joined.join(large, "class", "left_semi").select("value"), "value", "left_semi"), "alike")
+
+
 def candidate_pairs(lists: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """Pairs that can reach the least code similarity: ``ida, idb``, the earlier list first.
 
     ``lists``: ``list_id, ord, n_codes, codes`` (array of value and label in code order).
-    A match needs equal values, unless both are long. Route 1: of each list's
-    values, rarest first, the ``n - ceil(0.75 n) + 1`` first are joined on; equal
-    values of a list are told apart by their number. Route 2, for lists that own a
-    value with near ones (a match of unequal values needs a ratio of ``NEAR_VALUE``):
-    one of as many first codes of the earlier list has a partner of equal or near
-    value anywhere in the other.
+    A match needs equal values, unless both are long and near each other. So values
+    that near ones connect are one class, and of the larger list's classes, repeats
+    counted, three quarters must be in the other (``overlapping_lists``). Where very many
+    values are connected, as numbered codes are, classes would tell nothing; lists that
+    own such values have a second route: one of the ``n - ceil(0.75 n) + 1`` rarest
+    values of the earlier list has an equal or near one anywhere in the other.
     """
-    each = lists.select("list_id", "ord", "n_codes", F.posexplode("codes").alias("pos", "code")).withColumn("value", F.col("code.value"))
-    each = each.withColumn("nth", F.row_number().over(Window.partitionBy("list_id", "value").orderBy("pos"))).select("list_id", "ord", "n_codes", "value", "nth")
-    df = each.groupBy("value", "nth").agg(F.count("*").alias("df"))
-    ranked = each.join(df, ["value", "nth"]).withColumn("at", F.row_number().over(Window.partitionBy("list_id").orderBy("df", "value", "nth")))
-    prefix = ranked.where(F.col("at") <= F.col("n_codes") - F.ceil(F.col("n_codes") * LEAST_CODE_SIM) + 1)
-    x, y = (prefix.select("value", "nth", *(F.col(c).alias(f"{c}{i}") for c in ("list_id", "ord", "n_codes"))) for i in "ab")
-    rare = x.join(y, ["value", "nth"]).where("orda < ordb").where(near_size(F.col("n_codesa"), F.col("n_codesb"))).select(F.col("list_ida").alias("ida"), F.col("list_idb").alias("idb"))
     near = list_near_values(lists) if near is None else near
-    own = each.select("list_id", "ord", "n_codes", "value").distinct()
+    codes = lists.select("list_id", "ord", "n_codes", F.explode("codes.value").alias("value"))
+    if near.isEmpty():
+        return overlapping_lists(codes, LEAST_CODE_SIM)
+    classes, near = value_classes(near)
+    classes = F.broadcast(classes) if classes.count() <= SMALL else classes
+    known = codes.where(F.length("value") >= LONG_VALUE).join(classes, "value", "left").withColumn("value", F.coalesce("class", "value")).select("list_id", "ord", "value")
+    pairs = overlapping_lists(codes.where(F.length("value") < LONG_VALUE).select("list_id", "ord", "value").unionByName(known), LEAST_CODE_SIM)
+    if near.isEmpty():
+        return pairs
+    own = codes.distinct()
     own = own.join(own.join(near.select("value").distinct(), "value", "left_semi").select("list_id").distinct(), "list_id", "left_semi")
     reach = near.unionByName(own.select("value", F.col("value").alias("near")).distinct())
     held = own.groupBy(F.col("value").alias("near")).agg(F.count("*").alias("n"))
@@ -115,7 +144,7 @@ def candidate_pairs(lists: DataFrame, near: DataFrame | None = None) -> DataFram
     x = first.select("value", F.col("list_id").alias("ida"), F.col("ord").alias("orda"), F.col("n_codes").alias("na")).join(reach, "value")
     y = own.select(F.col("value").alias("near"), F.col("list_id").alias("idb"), F.col("ord").alias("ordb"), F.col("n_codes").alias("nb"))
     sized = x.join(y, "near").where("orda < ordb").where(near_size(F.col("na"), F.col("nb"))).select("ida", "idb")
-    return rare.unionByName(sized).distinct()
+    return pairs.unionByName(sized).distinct()
 
 
 def fuzzy_pairs(lists: DataFrame, inspect: float = INSPECT, detect: float = DETECT) -> DataFrame:
@@ -128,16 +157,25 @@ def fuzzy_pairs(lists: DataFrame, inspect: float = INSPECT, detect: float = DETE
     lists = representatives(lists, "sig").where(F.col("n_codes").between(1, MOST_CODES))
     if "quality_flags" in lists.columns:
         lists = lists.where(~F.array_contains("quality_flags", "placeholder"))
+    lists = written(lists.select("list_id", "ord", "name", "n_codes", "codes"), "fuzzy-lists")
     near = list_near_values(lists)
     values = lists.select("list_id", F.explode("codes.value").alias("value"))
-    around = values.join(near, "value").groupBy("list_id").agg(F.collect_set("near").alias("around"))
-    own = lists.select("list_id", "name", "codes", "n_codes", F.col("codes.value").alias("values")).join(around, "list_id", "left").withColumn("around", F.array_union("values", F.coalesce("around", F.array().cast("array<string>"))))
-    side = lambda i, *names: own.select(F.col("list_id").alias(f"id{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("name", "codes", "n_codes", *names)))
-    pairs = candidate_pairs(lists, near).join(side("a", "around"), "ida").join(side("b", "values"), "idb")
+    around = values.join(near, "value").groupBy("list_id").agg(F.collect_set("near").alias("near"))
+    # What most pairs need is narrow: values and pairs as hashes. Codes are fetched for the pairs that those don't settle.
+    hashed = F.transform("codes", lambda c: F.xxhash64(c["value"], F.lower(c["label"])))
+    own = lists.join(around, "list_id", "left").select("list_id", "name", "n_codes", plain_codes(F.col("codes.value"), F.col("near")).alias("plain"), F.transform("codes.value", lambda v: F.xxhash64(v)).alias("values"), hashed.alias("pairs"))
+    own = written(own, "fuzzy-sides")
+    side = lambda i: own.select(F.col("list_id").alias(f"id{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("name", "n_codes", "plain", "values", "pairs")))
+    pairs = candidate_pairs(lists, near).join(side("a"), "ida").join(side("b"), "idb").withColumn("settled", settled_similarity("a", "b"))
+    pairs = written(pairs.where(F.coalesce("settled", F.lit(1.0)) >= LEAST_CODE_SIM).select("ida", "idb", "namea", "nameb", "settled"), "fuzzy-candidates")
+    codes = lambda i: lists.select(F.col("list_id").alias(f"id{i}"), F.col("codes").alias(f"codes{i}"))
+    open_ = pairs.where("settled is null").join(codes("a").join(around.withColumnRenamed("list_id", "ida"), "ida", "left"), "ida").join(codes("b"), "idb")
     # Each match uses up a code of b whose value is equal or near to one of a.
-    met = F.size(F.filter("valuesb", lambda v: F.array_contains("arounda", v)))
-    likely = pairs.where(met >= F.greatest("n_codesa", "n_codesb") * LEAST_CODE_SIM)
-    scored = likely.withColumn("code_sim", code_similarity("codesa", "codesb")).where(F.col("code_sim") >= LEAST_CODE_SIM)
+    met = F.size(F.filter(F.col("codesb.value"), lambda v: F.array_contains(F.array_union("codesa.value", F.coalesce("near", F.array().cast("array<string>"))), v)))
+    likely = open_.where(met >= F.greatest(F.size("codesa"), F.size("codesb")) * LEAST_CODE_SIM)
+    told = ["ida", "idb", "namea", "nameb"]
+    scored = likely.select(*told, code_similarity("codesa", "codesb").alias("code_sim")).where(F.col("code_sim") >= LEAST_CODE_SIM)
+    scored = scored.unionByName(pairs.where("settled is not null").select(*told, F.col("settled").alias("code_sim")))
     name, trusted = name_similarity(F.col("namea"), F.col("nameb"))
     scored = scored.withColumn("name_sim", name).withColumn("trusted", trusted)
     mixed = F.when(~F.col("trusted"), F.col("code_sim")).otherwise(0.6 * F.col("code_sim") + 0.4 * F.col("name_sim"))
