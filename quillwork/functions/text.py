@@ -14,8 +14,13 @@ SPACE = r"(?U)\s+"
 
 
 @F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+
+
+def nfc(text: Column) -> Column:
+    """Composed characters. Workers get null in place of texts that are ASCII, which stay as they are."""
+    return F.coalesce(_nfc(F.when(F.length(text) != F.octet_length(text), text)), text)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 
 from ..functions import text
 from ..operators import candidates as assembly
-from ..operators import alignment, grouping, profile, review, similarity, signature
+from ..operators import alignment, grouping, neardocs, profile, review, similarity, signature
 from . import views
 from .listing import _sig
 from .views import read
@@ -186,6 +186,12 @@ def variable_dups(spark, sf):
     return alignment.near_texts(rows)
 
 
+def text_near_dups(spark, sf):
+    """Documents whose whole normalised texts nearly agree."""
+    rows = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), text.normalize(F.col("text")).alias("text"))
+    return neardocs.near_documents(rows).select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
 def _aligned(spark, sf):
     variables = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 10 != 0, F.col("p_name")).alias("label"), F.when(F.col("p_size") % 20 != 0, F.col("p_type")).alias("description"))
     concepts = read(spark, sf, "part").groupBy("p_type").agg(F.min("p_partkey").alias("ord"), F.min("p_name").alias("label")).select(F.col("p_type").alias("concept"), "ord", "label", F.col("p_type").alias("definition"))
@@ -277,4 +283,4 @@ ORACLES = {
         SELECT x.page_id, round((SELECT count(*) FROM range(1, least(len(x.s), len(y.s)) + 1) AS i(i) WHERE x.s[1:i] = y.s[1:i]) / greatest(len(x.s), len(y.s)), 6) AS ratio FROM u x JOIN u y ON y.page_id = x.page_id - 1""",
 }
 
-QUERIES = {f.__name__: f for f in (pair_details, minimal_records, codes_preview, fuzzy_excluded, size_ratio_pairs, code_similarity, fuzzy_pairs, fuzzy_pairs_text, swap_members, swap_groups, filter_pairs, cross_check, context_link, compare_codes, candidates, fuse_pairs, components, choose_parent, links, registry, vs_parent, shared_vars, uid_prefix, variable_dups, align_best, align_stats)}
+QUERIES = {f.__name__: f for f in (pair_details, minimal_records, codes_preview, fuzzy_excluded, size_ratio_pairs, code_similarity, fuzzy_pairs, fuzzy_pairs_text, swap_members, swap_groups, filter_pairs, cross_check, context_link, compare_codes, candidates, fuse_pairs, components, choose_parent, links, registry, vs_parent, shared_vars, uid_prefix, variable_dups, text_near_dups, align_best, align_stats)}
