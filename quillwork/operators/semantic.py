@@ -9,8 +9,10 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-#: Vectors in one block of the pairwise product.
-BLOCK = 2000
+from .grouping import written
+
+#: Vectors in one block of the pairwise product, and most pivots.
+BLOCK, PIVOTS = 2000, 256
 
 
 def l2_normalize(vector: Column) -> Column:
@@ -20,28 +22,100 @@ def l2_normalize(vector: Column) -> Column:
     return F.transform(wide, lambda x: x / F.when(norm > 0, norm).otherwise(1.0))
 
 
+def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``rows (id, v)`` with ``cell``, the nearest pivot, and ``angles`` to all pivots."""
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                angle = np.arccos(np.clip(np.stack(frame["v"].to_numpy()) @ pivots.T, -1, 1))
+                yield frame.assign(cell=angle.argmin(1).astype(np.int32), angles=list(angle.astype(np.float32)))
+
+    return rows.mapInPandas(task, "id long, v array<double>, cell int, angles array<float>")
+
+
+def cell_pairs(ranges: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of cells, each with itself too, that the triangle inequality leaves.
+
+    ``ranges``: cells x pivots x (least, largest angle of the cell's vectors to the
+    pivot). The angle of two vectors is at least the difference of their angles to any
+    pivot, so two cells whose ranges lie further apart than the threshold's angle at one
+    pivot have no pair. A threshold that is not above 0 leaves all.
+    """
+    n, reach = len(ranges), np.arccos(min(1.0, threshold)) + 1e-5
+    out = []
+    for i in range(n):
+        gap = np.maximum(ranges[i, :, 0] - ranges[i:, :, 1], ranges[i:, :, 0] - ranges[i, :, 1]).max(1)
+        out += [(i, i + int(j)) for j in (range(n - i) if threshold <= 0 else np.flatnonzero(gap <= reach))]
+    return out
+
+
+def metric_cells(vectors: DataFrame, threshold: float, block: int = BLOCK) -> tuple[DataFrame, list[int], list[tuple[int, int]]]:
+    """Vectors ``id, v, cell`` in unit length, written; how many each cell has; and the pairs of cells to compare.
+
+    Pivots are vectors chosen by a hash of their ids, one for half a block of vectors, at
+    most PIVOTS of them. They decide what is skipped, not what is found.
+    """
+    rows = vectors.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), l2_normalize(F.col("embedding")).alias("v"))
+    if threshold > 0:  # zero vectors have no angle, and reach nothing above 0
+        rows = rows.where(F.exists("v", lambda x: x != 0))
+    rows = written(rows, "unit-vectors")
+    wanted = min(PIVOTS, max(1, -(-2 * rows.count() // block)))
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    if not chosen:
+        return rows.withColumn("cell", F.lit(0)), [], []
+    pivots = np.array([r["v"] for r in chosen])
+    celled = written(_cells(rows, pivots), "cells")
+    # Cells times pivots rows, however many vectors there are.
+    spans = celled.select("cell", F.posexplode("angles").alias("pivot", "angle")).groupBy("cell", "pivot").agg(F.count("*").alias("n"), F.min("angle").alias("least"), F.max("angle").alias("most")).collect()
+    sizes, ranges = [0] * len(pivots), np.full((len(pivots), len(pivots), 2), [np.inf, -np.inf])
+    for r in spans:
+        sizes[r["cell"]] = r["n"]
+        ranges[r["cell"], r["pivot"]] = r["least"], r["most"]
+    pairs = [(i, j) for i, j in cell_pairs(ranges, threshold) if sizes[i] and sizes[j]]
+    return celled.select("id", "v", "cell"), sizes, pairs
+
+
 def cosine_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """``a, b, score`` of all pairs ``a < b`` with unrounded cosine >= ``threshold``.
 
-    ``vectors``: ``id, embedding``; null embeddings take no part. Every pair of
-    blocks is one task's dense product; a row is copied once for each block.
+    ``vectors``: ``id, embedding``; null embeddings take no part. Vectors lie in cells
+    around pivots, cells in blocks; pairs of cells that are too far apart are skipped,
+    every other pair of blocks is one task's dense product. A row is copied once for
+    each block that it meets.
     """
-    rows = vectors.where(F.col("embedding").isNotNull()).select("id", l2_normalize(F.col("embedding")).alias("v"))
-    blocks = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("id", "v", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    celled, sizes, pairs = metric_cells(vectors, threshold, block)
+    spark = vectors.sparkSession
+    if not pairs:
+        return spark.createDataFrame([], "a long, b long, score double")
+    blocks = [max(1, -(-n // block)) for n in sizes]
+    meets = [(i, i, j, blocks[i], blocks[j]) for i, j in pairs] + [(j, i, j, blocks[i], blocks[j]) for i, j in pairs if i != j]
+    # At most twice the square of PIVOTS rows.
+    meets = F.broadcast(spark.createDataFrame(meets, "cell int, x int, y int, nx int, ny int"))
+    own = celled.join(meets, "cell")
+    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    all_ = lambda n: F.sequence(F.lit(0), n - 1)
+    mine = F.when(F.col("cell") == F.col("x"), place(F.col("nx"))).otherwise(place(F.col("ny")))
+    own = own.withColumn("block", mine).withColumn("other", F.explode(F.when(F.col("cell") == F.col("x"), all_(F.col("ny"))).otherwise(all_(F.col("nx")))))
+    left = F.col("cell") == F.col("x")
+    same = F.col("x") == F.col("y")
+    dealt = own.select(
+        "id", "v", "x", "y", F.when(same, F.least("block", "other")).when(left, F.col("block")).otherwise(F.col("other")).alias("bx"),
+        F.when(same, F.greatest("block", "other")).when(left, F.col("other")).otherwise(F.col("block")).alias("by"), "cell", "block",
+    )
 
     def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["block"] == key[0]], rows[rows["block"] == key[1]]
-        if left.empty or right.empty:
+        x, y, bx, by = key
+        one, two = rows[(rows["cell"] == x) & (rows["block"] == bx)], rows[(rows["cell"] == y) & (rows["block"] == by)]
+        if one.empty or two.empty:
             return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": "float64"})
-        score = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
+        score = np.stack(one["v"].to_numpy()) @ np.stack(two["v"].to_numpy()).T
         i, j = np.nonzero(score >= threshold)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = a < b if key[0] == key[1] else a != b
+        a, b = one["id"].to_numpy()[i], two["id"].to_numpy()[j]
+        keep = a < b if (x, bx) == (y, by) else a != b
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": score[i, j][keep]})
 
-    return dealt.groupBy("x", "y").applyInPandas(product, "a long, b long, score double")
+    return dealt.groupBy("x", "y", "bx", "by").applyInPandas(product, "a long, b long, score double")
 
 
 def list_pairs(pairs: DataFrame, owners: DataFrame) -> DataFrame:
