@@ -6,19 +6,24 @@ import tempfile
 import uuid
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the folder of ``spark.checkpoint.dir``; where that is unset, a session in one process gets a temporary one, a cluster an error."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder of ``spark.checkpoint.dir``; where that is unset, a session in one process gets a temporary one, a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillwork-")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/quillwork-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{path.rstrip('/')}/quillwork-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts the lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,8 @@ import pyspark.sql.functions as F
 
 from pyspark.sql import Window
 
-from ..operators import ingest, quality, semantic, signature
+from ..operators import grouping, ingest, quality, semantic, signature
+from ..sources.snapshots import Snapshots
 from . import operation, views
 from .linking import _lists
 from .listing import ESCAPE_SQL
@@ -97,11 +98,10 @@ def two_operations(spark, sf):
     """Two runs over customers' lists: what the first run's review approves does not come up in the second."""
     lists = views.customers(spark, sf).withColumn("vars", F.array().cast("array<string>"))
     codes = views.customer_codes(spark, sf).withColumn("pos", F.dense_rank().over(Window.partitionBy("list_id").orderBy("value")))
-    first = operation.run_operation(lists, codes)
-    reviewed = first["members"].withColumn("decision", F.when(F.array_contains("detection_types", "exact"), "approve").when(F.col("id") % 3 == 0, "reject").otherwise("pending"))
-    none = {"cleaned": lists.select("list_id").limit(0), "replaces": reviewed.select("parent_id", "id").limit(0), "store": spark.createDataFrame([], "key string, decision string, updated_at string")}
-    state = operation.close_review(reviewed, none, "2026-01-01")
-    second = operation.run_operation(lists, codes, state)
+    review = lambda m: m.withColumn("decision", F.when(F.array_contains("detection_types", "exact"), "approve").when(F.col("id") % 3 == 0, "reject").otherwise("pending"))
+    store = Snapshots(spark, grouping.fresh_path(spark, "state"))
+    operation.stored_operation(store, "first", lists, codes, review, "2026-01-01")
+    second = operation.stored_operation(store, "second", lists, codes, lambda m: m, "2026-02-01")
     return second["members"].select("parent_id", "id", F.array_join("detection_types", ",").alias("types"), "decision", "decision_carried")
 
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import candidates, grouping, ingest, quality, review, signature, similarity
+from ..operators import candidates, grouping, quality, review, signature, similarity
+from ..sources.snapshots import Snapshots
 
 
 def detect(lists: DataFrame, codes: DataFrame) -> dict[str, DataFrame]:
@@ -57,6 +58,29 @@ def close_review(members: DataFrame, state: dict[str, DataFrame], as_of: str) ->
     }
 
 
+NO_STATE = {"cleaned": "list_id {id}", "replaces": "parent_id {id}, id {id}", "store": "key string, decision string, updated_at string"}
+
+
+def stored_operation(store: Snapshots, run_id: str, lists: DataFrame, codes: DataFrame, judge: Callable[[DataFrame], DataFrame], as_of: str) -> dict[str, DataFrame]:
+    """One run on stored state: read, detect, review with ``judge`` (members to members with decisions), commit.
+
+    Returns the run's tables. The store is as it was until the last step, and stays so if
+    any step fails; if another run has committed in between, this one raises
+    ``Conflict`` and can be run again. The registry and the members are kept with the
+    state, by run.
+    """
+    base = store.current()
+    state = store.read(base) if base else None
+    if state is None:
+        kind = lists.schema["list_id"].dataType.simpleString()
+        state = {name: store.spark.createDataFrame([], shape.format(id=kind)) for name, shape in NO_STATE.items()}
+    found = run_operation(lists, codes, {name: state[name] for name in NO_STATE})
+    members = grouping.written(judge(found["members"]), "judged")
+    after = close_review(members, state, as_of)
+    store.commit(run_id, after | {"registry": found["registry"], "members": members}, base)
+    return found | {"members": members}
+
+
 def run_summary(lists: DataFrame, found: DataFrame, versions: DataFrame | None = None, members: DataFrame | None = None, most_codes: int = similarity.MOST_CODES) -> DataFrame:
     """One row of counters over a run's tables."""
     parts = [
