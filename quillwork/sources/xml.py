@@ -1,7 +1,7 @@
 """Code lists, categories and variables out of XML fragments.
 
-Files are read as text cut at the closing tag of a fragment, so large files are
-split over tasks; each fragment is parsed by itself, the prefixes of its names
+Files are read as text cut where fragments end, so large files are split over tasks;
+each fragment is parsed by itself, the prefixes of its names
 dropped. ``ord`` is document order: file, block, line. Fragments that can't be parsed
 are rows of their own, not errors.
 """
@@ -9,6 +9,7 @@ are rows of their own, not errors.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.parsers import expat
@@ -26,14 +27,30 @@ OBJECTS = """ord long, part int, kind string, id string, name string, label stri
   based_on array<string>, cl_id string, usage_id string, codes array<struct<pos:int,value:string,cat_id:string>>"""
 
 
-def fragments(spark: SparkSession, path: str, tag: str = "Fragment") -> DataFrame:
-    """``ord, source``: one row for each fragment. ``tag`` carries the prefix that the files use (``ddi:Fragment``).
+_PREFIX = r"(?:[\w.-]+:)?"
+_OBJECT = rf"<{_PREFIX}(?:{'|'.join(KINDS)})[\s>]"
+
 
-    Paths are Hadoop's (local, object store, globs). A missing path is an error.
+def fragments(spark: SparkSession, path: str, tag: str = "Fragment") -> DataFrame:
+    """``ord, source``: one row for each fragment.
+
+    Files may use any prefix (``ddi:Fragment``) or none, also side by side: rows end
+    where a tag of that name does, and those that end with a closing one are fragments.
+    ``tag`` is its local name; a prefix before it is not looked at. A file with objects
+    but without any fragment is an error, and so is a missing path; what follows the
+    last closing tag and holds objects is a torn fragment, which can't be parsed. Paths
+    are Hadoop's (local, object store, globs).
     """
-    lines = spark.read.option("lineSep", f"</{tag}>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
-    opening = f"<{tag}[\\s>]"
-    rows = lines.where(F.col("value").rlike(opening)).withColumn("source", F.regexp_replace("value", f"(?s)^.*?<{tag}[^>]*>", ""))
+    tag = tag.rsplit(":", 1)[-1]
+    lines = spark.read.option("lineSep", f"{tag}>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    closed = F.col("value").rlike(f"</{_PREFIX}$")
+    # A file that is cut nowhere is one row, which begins with its head or root and not with an object, as what is torn does.
+    whole = (F.col("start") == 0) & F.col("value").rlike(rf"^\uFEFF?\s*<(?!{_OBJECT[1:]})[?!\w]") & ~F.col("value").rlike(f"<{_PREFIX}{tag}[\\s>]")
+    lost = F.when(whole, F.raise_error(F.concat(F.lit(f"no {tag} around the objects of "), "file")))
+    torn = ~closed & F.col("value").rlike(_OBJECT)
+    # Only the closed ones and what is torn go on; an error is raised where a torn row is looked at.
+    rows = lines.where(closed | torn).withColumn("source", F.when(closed, F.regexp_replace("value", f"</{_PREFIX}$", "")).otherwise(F.coalesce(lost.cast("string"), F.concat("value", F.lit("<")))))
+    rows = rows.withColumn("source", F.regexp_replace("source", f"(?s)^.*?<{_PREFIX}{tag}\\s[^>]*>", ""))
     # Starts of blocks first (few rows), then positions within a block: no single task sorts the whole.
     counts = rows.groupBy("file", "start").agg(F.count("*").alias("rows"))
     before = counts.select("file", "start", (F.sum("rows").over(Window.orderBy("file", "start")) - F.col("rows")).alias("before"))
@@ -41,6 +58,38 @@ def fragments(spark: SparkSession, path: str, tag: str = "Fragment") -> DataFram
     return rows.withColumn("nth", nth).join(before, ["file", "start"]).select((F.col("before") + F.col("nth")).cast("long").alias("ord"), "source")
 
 
+HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<FragmentInstance>'
+
+
+def write_fragments(source: DataFrame, path: str, head: str = HEAD, foot: str = "</FragmentInstance>", tag: str = "Fragment", parts: int | None = None) -> None:
+    """A document rebuilt from fragments ``(ord, source)``, as the folder ``path``: its files in the order of their names are the document.
+
+    ``00-head``, ``50-body-...`` written by as many tasks as there is text for (or
+    ``parts``), each with a range of ``ord``, and ``99-foot``. The folder appears when all of it is written; a
+    path that exists is an error. ``head`` declares the prefixes that the fragments use.
+    """
+    spark = source.sparkSession
+    files = spark._jvm.org.apache.hadoop.fs
+    where = files.Path(path.rstrip("/"))
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(where):
+        raise FileExistsError(path)
+    building = files.Path(where.getParent(), f".{where.getName()}-{uuid.uuid4().hex}")
+    body = files.Path(building, "body")
+    lines = source.repartitionByRange(*([parts] if parts else []), "ord").sortWithinPartitions("ord").select(F.concat(F.lit(f"<{tag}>"), "source", F.lit(f"</{tag}>")).alias("value"))
+    lines.write.text(body.toString())
+    for f in fs.listStatus(body):  # names alone change; a body has as many files as it had tasks
+        if (name := f.getPath().getName()).startswith("part-"):
+            fs.rename(f.getPath(), files.Path(building, f"50-body-{int(name.split('-')[1]):010d}"))
+    fs.delete(body, True)
+    for name, text in (("00-head", head), ("99-foot", foot)):
+        stream = fs.create(files.Path(building, name), False)
+        stream.write(bytearray(f"{text}\n".encode()))
+        stream.close()
+    if not fs.rename(building, where):
+        raise FileExistsError(path)
+
+
 def _parsed(source: str) -> ElementTree.Element:
     """The elements of a fragment under one root, names without their prefixes (which the fragment need not declare)."""
     builder, parser = ElementTree.TreeBuilder(), expat.ParserCreate()

@@ -65,6 +65,50 @@ def test_missing_path_is_an_error(spark):
         xml.extract(spark, "file:///tmp/no-such-file.xml")
 
 
+def test_prefixed_bare_and_mixed_files_are_read_alike(spark, tmp_path):
+    bare = CRATE.replace("ddi:Instance", "Instance")
+    for name, text_ in (("a", bare), ("b", bare.replace("<Fragment", "<ddi:Fragment").replace("</Fragment", "</ddi:Fragment")), ("c", bare.replace("<Fragment>", "<x.y-z:Fragment a='1'\n b='2'>").replace("</Fragment", "</x.y-z:Fragment"))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.xml").write_text(text_)
+    rows = {n: xml.objects(xml.fragments(spark, f"file://{tmp_path}/{n}")).orderBy("ord", "part").collect() for n in "abc"}
+    assert len(rows["a"]) == 9 and rows["a"] == rows["b"]
+    assert [(r.kind, r.id) for r in rows["a"] if r.kind != "reject"] == [(r.kind, r.id) for r in rows["c"] if r.kind != "reject"]
+    mixed = xml.objects(xml.fragments(spark, f"file://{tmp_path}/[abc]/f.xml")).orderBy("ord", "part").collect()
+    assert [r.id for r in mixed] == [r.id for n in "abc" for r in rows[n]]
+    assert xml.objects(xml.fragments(spark, f"file://{tmp_path}/b", tag="ddi:Fragment")).count() == 9
+
+
+def test_objects_outside_of_fragments_are_an_error_and_torn_ones_rejects(spark, tmp_path):
+    (tmp_path / "n.xml").write_text("<root><Category><ID>a</ID></Category></root>")
+    with pytest.raises(Exception, match="no Fragment around the objects"):
+        xml.extract(spark, f"file://{tmp_path}/n.xml")["categories"].collect()
+    one = "<Fragment><Category><ID>a</ID></Category></Fragment>"
+    for head in ("<Fragment>", "<Fragment a='1'>"):
+        (tmp_path / "t.xml").write_text(f"<root>{one}{head}<Category><ID>b</ID>")
+        found = xml.extract(spark, f"file://{tmp_path}/t.xml")
+        assert [r.cat_id for r in found["categories"].collect()] == ["a"] and found["rejects"].count() == 1
+
+
+def test_a_document_rebuilt_from_fragments_reads_the_same(spark, tmp_path):
+    body = "".join(f"<ddi:Fragment><Category><ID>c{i}</ID><CategoryName><String>{'n' * (i % 50)}</String></CategoryName></Category></ddi:Fragment>\n" for i in range(500))
+    (tmp_path / "a.xml").write_text(CRATE.replace("</ddi:Instance>", "") + body + "</ddi:Instance>")
+    source = xml.fragments(spark, f"file://{tmp_path}/a.xml")
+    head = CRATE[: CRATE.index("<Fragment")].strip()
+    xml.write_fragments(source.repartition(5), f"file://{tmp_path}/out", head, "</ddi:Instance>", parts=3)
+    again = xml.fragments(spark, f"file://{tmp_path}/out")
+    assert again.orderBy("ord").select("source").collect() == source.orderBy("ord").select("source").collect()
+    names = sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith("."))
+    assert names[0] == "00-head" and names[-1] == "99-foot" and len(names) > 3
+    whole = "".join((tmp_path / "out" / n).read_text() for n in names)
+    assert whole.startswith(head) and whole.rstrip().endswith("</ddi:Instance>") and whole.count("<Fragment>") == 508
+    one, two = (xml.extract(spark, f"file://{tmp_path}/{n}") for n in ("a.xml", "out"))
+    for name in ("codes", "variables", "categories"):
+        drop = [c for c in one[name].columns if c != "ord"]
+        assert sorted(map(tuple, one[name].select(drop).collect()), key=str) == sorted(map(tuple, two[name].select(drop).collect()), key=str)
+    with pytest.raises(FileExistsError):
+        xml.write_fragments(source, f"file://{tmp_path}/out")
+
+
 def test_empty_document(spark, tmp_path):
     (tmp_path / "e.xml").write_text("<root></root>")
     assert xml.extract(spark, f"file://{tmp_path}/e.xml")["lists"].collect() == []
