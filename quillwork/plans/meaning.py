@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 
 from pyspark.sql import Window
 
-from ..operators import grouping, ingest, quality, semantic, signature
+from ..operators import grouping, ingest, judging, quality, semantic, signature
 from ..sources.snapshots import Snapshots
 from . import operation, views
 from .linking import _lists
@@ -62,6 +62,25 @@ def judge_parse(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", semantic.judge_parse(reply).alias("j")).select("conv_id", "turn", "j.*")
 
 
+def _reply(texts):
+    """A judge for tests: fails on every seventh length of text."""
+    if any(len(t) % 7 == 0 for t in texts):
+        raise ValueError(f"length {len(texts[0])}" if len(texts) == 1 else "a batch")
+    return [f'{{"meme_concept": {"true" if len(t) % 2 else "false"}, "confiance": 0.{len(t) % 10}, "raison": "{len(t)}"}}' for t in texts]
+
+
+def _never(texts):
+    raise AssertionError("asked again")
+
+
+def judged_texts(spark, sf):
+    """Texts of conversations judged over a ledger; the answers come from a second run, which makes no call."""
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", "text")
+    ledger = judging.Ledger(spark, grouping.fresh_path(spark, "ledger"), "test")
+    ledger.ask(rows, _reply, "text")
+    return judging.with_judgements(rows, ledger, _never, "text").drop("text")
+
+
 def uid_prefix_pairs(spark, sf):
     uid = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[^A-Za-z0-9]+", "-")
     return semantic.prefix_pairs(read(spark, sf, "pages").select(F.col("page_id").alias("list_id"), F.col("page_id").alias("ord"), uid.alias("user_id")), 0.8).select("a", "b", F.round("score", 6).alias("score"))
@@ -129,8 +148,11 @@ ORACLES = {
         o AS (SELECT c.list_id, CASE WHEN list_id % 2 = 0 THEN name ELSE substr(CAST(list_id AS VARCHAR), 1, 12) END AS name, label, coalesce(codes, '') AS codes FROM customers c LEFT JOIN k USING (list_id))
         SELECT x.list_id, md5('CodeList A (' || x.name || '): ' || x.label || chr(10) || 'Codes: ' || x.codes || chr(10) || chr(10) || 'CodeList B (' || y.name || '): ' || y.label || chr(10) || 'Codes: ' || y.codes) AS prompt FROM o x JOIN o y ON y.list_id = x.list_id + 1""",
     "judge_parse": """SELECT conv_id, turn, turn % 3 = 0 AS same_concept, CASE WHEN turn % 3 = 0 THEN CAST('0.' || CAST(length(text) % 10 AS VARCHAR) AS DOUBLE) ELSE 0.0 END AS confidence, CASE WHEN turn % 3 = 0 THEN role ELSE 'Réponse non parseable' END AS reason FROM conversations""",
+    "judged_texts": """WITH n AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n FROM conversations)
+        SELECT conv_id, turn, n % 7 <> 0 AND n % 2 = 1 AS same_concept, CASE WHEN n % 7 = 0 THEN 0.0 ELSE CAST('0.' || CAST(n % 10 AS VARCHAR) AS DOUBLE) END AS confidence,
+          CASE WHEN n % 7 = 0 THEN 'Erreur: length ' || CAST(n AS VARCHAR) ELSE CAST(n AS VARCHAR) END AS reason FROM n""",
     "uid_prefix_pairs": """WITH u AS (SELECT page_id, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[^A-Za-z0-9]+', '-', 'g'), '-') AS s FROM pages),
         q AS (SELECT x.page_id AS a, y.page_id AS b, (SELECT count(*) FROM range(1, least(len(x.s), len(y.s)) + 1) AS i(i) WHERE x.s[1:i] = y.s[1:i]) / greatest(len(x.s), len(y.s)) AS score FROM u x JOIN u y ON x.page_id < y.page_id AND x.s[1] = y.s[1])
         SELECT a, b, round(score, 6) AS score FROM q WHERE score >= 0.8""",
 }
-QUERIES = {f.__name__: f for f in (l2_normalize, cosine_pairs, cosine_list_pairs, judge_topk, pairs_to_candidates, judge_prompt, judge_parse, uid_prefix_pairs, hash_embed, rml_lines, run_summary, based_on_split, two_operations)}
+QUERIES = {f.__name__: f for f in (l2_normalize, cosine_pairs, cosine_list_pairs, judge_topk, pairs_to_candidates, judge_prompt, judge_parse, judged_texts, uid_prefix_pairs, hash_embed, rml_lines, run_summary, based_on_split, two_operations)}

@@ -7,24 +7,38 @@ from collections.abc import Callable
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import candidates, grouping, quality, review, signature, similarity
+from ..operators import candidates, grouping, judging, quality, review, signature, similarity
 from ..sources.snapshots import Snapshots
 
 
-def detect(lists: DataFrame, codes: DataFrame) -> dict[str, DataFrame]:
-    """Signatures, all detection phases and candidates of ``lists (list_id, ord, name, vars)`` and normalised ``codes``."""
+WARNING = "phase string, status string, reason string"
+
+
+def detect(lists: DataFrame, codes: DataFrame, embed: Callable | None = None) -> dict[str, DataFrame]:
+    """Signatures, all detection phases and candidates of ``lists (list_id, ord, name, vars)`` and normalised ``codes``.
+
+    ``embed``, texts to vectors, is what the semantic phases need; without it they are
+    left out, which ``warnings (phase, status, reason)`` says. Lists with too many codes
+    for the fuzzy phase are warned of too.
+    """
     flagged = lists.join(quality.quality_flags(lists, codes), "list_id").withColumn("name_key", F.lower(F.coalesce("name", F.lit(""))))
     signed = signature.signatures(flagged, codes).withColumn("var_sig", signature.usage_signature(F.col("vars")))
     ordered = codes.groupBy("list_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value", "label"))).alias("c")).select("list_id", F.transform("c", lambda x: F.struct(x["value"].alias("value"), x["label"].alias("label"))).alias("codes"))
     signed = grouping.written(signed.join(ordered, "list_id", "left").withColumn("codes", F.coalesce("codes", F.array().cast(signature.PAIRS))), "signed")
     fuzzy = grouping.written(similarity.fuzzy_pairs(signed), "fuzzy")
+    semantic = None if embed is None else grouping.written(judging.semantic_phases(signed, embed), "semantic")
     found = candidates.assemble(
-        signature.exact_groups(signed), fuzzy.where("level = 'detected'").select("a", "b", "score"), signature.business_groups(signed), signature.label_groups(signed), signature.usage_groups(signed)
+        signature.exact_groups(signed), fuzzy.where("level = 'detected'").select("a", "b", "score"), signature.business_groups(signed), signature.label_groups(signed), signature.usage_groups(signed), semantic
     )
-    return {"lists": signed, "fuzzy": fuzzy, "candidates": grouping.written(found, "candidates")}
+    most = similarity.MOST_CODES
+    large = similarity.fuzzy_excluded(signed).agg(F.count("*").alias("n")).where("n > 0")
+    warnings = large.select(F.lit("fuzzy").alias("phase"), F.lit("partial").alias("status"), F.format_string(f"%d lists of more than {most} codes left out", "n").alias("reason"))
+    if semantic is None:
+        warnings = warnings.unionByName(lists.sparkSession.createDataFrame([("semantic", "skipped", "no function to embed texts")], WARNING))
+    return {"lists": signed, "fuzzy": fuzzy, "candidates": grouping.written(found, "candidates"), "warnings": warnings} | ({} if semantic is None else {"semantic": semantic})
 
 
-def run_operation(lists: DataFrame, codes: DataFrame, state: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+def run_operation(lists: DataFrame, codes: DataFrame, state: dict[str, DataFrame] | None = None, embed: Callable | None = None) -> dict[str, DataFrame]:
     """One run: earlier cleaned lists first, then detection, registry, carried decisions, new state.
 
     ``state``: ``cleaned (list_id)``, ``replaces (parent_id, id)``, ``store (key,
@@ -37,7 +51,7 @@ def run_operation(lists: DataFrame, codes: DataFrame, state: dict[str, DataFrame
         lists = lists.join(known, "list_id", "left").withColumn("origin", F.coalesce("origin", F.lit("xml")))
     else:
         lists = lists.withColumn("origin", F.lit("xml"))
-    found = detect(lists, codes)
+    found = detect(lists, codes, embed)
     ranked = found["lists"].select("list_id", "ord", "origin", F.lit(False).alias("preferred"))
     registry = grouping.written(grouping.registry(found["candidates"], ranked), "registry")
     members = registry.where("id <> parent_id").withColumn("decision", F.lit("pending"))
