@@ -67,6 +67,11 @@ def _trie(ordered: DataFrame, levels: int, share: float) -> DataFrame:
     return own.select("set", "n", "h", F.array(*(level(k) for k in range(levels))).alias("bits"))
 
 
+def _spread(pairs: DataFrame) -> DataFrame:
+    """Pairs over all tasks: few bytes become many rows, which sizes of files and shuffles do not tell."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y")
+
+
 def _walk(leaves: DataFrame, levels: int, share: float) -> DataFrame:
     """``x, y``: pairs of leaves ``(leaf, n, h, bits)`` that share enough bits, a leaf with itself too."""
     paths = [F.concat_ws("|", "n", "h", *(F.col("bits")[k] for k in range(d))) for d in range(levels + 1)]
@@ -77,7 +82,7 @@ def _walk(leaves: DataFrame, levels: int, share: float) -> DataFrame:
     for d in range(1, levels + 1):
         nodes = leaves.select(paths[d - 1].alias("parent"), paths[d].alias("node"), F.col("bits")[d - 1].alias("bit")).distinct()
         side = lambda s: nodes.select(F.col("parent").alias(s), F.col("node").alias(f"to{s}"), F.col("bit").alias(f"bit{s}"))  # noqa: B023, E731
-        below = pairs.join(side("x"), "x").join(side("y"), "y").where("x <> y or tox <= toy")
+        below = _spread(pairs).join(side("x"), "x").join(side("y"), "y").where("x <> y or tox <= toy")
         below = below.withColumn("shared", F.col("shared") + F.bit_count(F.col("bitx").bitwiseAND(F.col("bity"))))
         for s in "xy":
             below = below.withColumn(f"left{s}", F.col(f"left{s}") - F.bit_count(f"bit{s}"))
@@ -91,6 +96,7 @@ def _lists(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
     many = written(many, "many")
     many = F.broadcast(many) if many.count() <= SMALL else many
     dealt = members.join(many, key, "left").select(F.col(key).alias("key"), "list_id", "ord", F.pmod(F.xxhash64("list_id"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    pairs = _spread(pairs)
     for s in "xy":
         pairs = pairs.join(many.select(F.col(key).alias(s), F.col("blocks").alias(f"blocks{s}")), s, "left")
         pairs = pairs.withColumn(f"block{s}", F.explode(F.sequence(F.lit(0), F.coalesce(f"blocks{s}", F.lit(1)) - 1)))
