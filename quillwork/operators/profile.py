@@ -17,6 +17,25 @@ def size_profile(lists: DataFrame, size: str = "n_codes") -> DataFrame:
     )
 
 
+#: Size of a quantile sketch: ranks are off by less than one in a hundred (99 of 100 times).
+SKETCH = 400
+
+
+def size_sketch(lists: DataFrame, run_id: str, size: str = "n_codes") -> DataFrame:
+    """One row that stands for a run's sizes: ``run_id, n_lists, n_codes, least, most, sketch``; a few kilobytes, to be kept."""
+    return lists.agg(
+        F.lit(run_id).alias("run_id"), F.count(size).alias("n_lists"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("n_codes"), F.min(size).alias("least"), F.max(size).alias("most"),
+        F.kll_sketch_agg_bigint(F.col(size).cast("long"), SKETCH).alias("sketch"),
+    )
+
+
+def merged_profile(sketches: DataFrame) -> DataFrame:
+    """The profile of several runs together out of their sketches: counts, extremes and mean exactly, percentiles (sizes that occur) within the sketch's error of rank."""
+    whole = sketches.agg(F.sum("n_lists").alias("n_lists"), F.sum("n_codes").alias("n_codes"), F.min("least").alias("least"), F.max("most").alias("most"), F.kll_merge_agg_bigint("sketch", SKETCH).alias("sketch"))
+    p = lambda q: F.when(F.col("n_lists") > 0, F.kll_sketch_get_quantile_bigint("sketch", F.lit(q))).alias(f"p{round(q * 100)}")
+    return whole.select("n_lists", "n_codes", "least", "most", (F.col("n_codes") / F.nullif("n_lists", F.lit(0))).alias("mean"), p(0.25), p(0.5), p(0.75), p(0.95))
+
+
 def size_histogram(lists: DataFrame, size: str = "n_codes") -> DataFrame:
     """``bucket, n`` for every size class, empty ones too."""
     spark = lists.sparkSession

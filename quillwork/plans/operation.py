@@ -5,37 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from ..operators import candidates, grouping, judging, quality, review, signature, similarity
 from ..sources.snapshots import Snapshots
 
 
+class Counters:
+    """Counters of tables that a run writes anyway: observed while they are written, in the stage that writes, with no scan of their own."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._held = spark, []
+
+    def written(self, df: DataFrame, name: str, **counters: Column) -> DataFrame:
+        seen = Observation()
+        out = grouping.written(df.observe(seen, *(c.alias(k) for k, c in counters.items())), name)
+        self._held.append(seen)
+        return out
+
+    def summary(self) -> DataFrame:
+        """One row of all counters so far."""
+        values = {k: v or 0 for seen in self._held for k, v in seen.get.items()}
+        return self.spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} long" for k in values))
+
+
 WARNING = "phase string, status string, reason string"
 
 
-def detect(lists: DataFrame, codes: DataFrame, embed: Callable | None = None) -> dict[str, DataFrame]:
+def detect(lists: DataFrame, codes: DataFrame, embed: Callable | None = None, counters: Counters | None = None) -> dict[str, DataFrame]:
     """Signatures, all detection phases and candidates of ``lists (list_id, ord, name, vars)`` and normalised ``codes``.
 
     ``embed``, texts to vectors, is what the semantic phases need; without it they are
     left out, which ``warnings (phase, status, reason)`` says. Lists with too many codes
-    for the fuzzy phase are warned of too.
+    for the fuzzy phase are warned of too. ``summary`` has the counters of ``run_summary``.
     """
+    counters = counters or Counters(lists.sparkSession)
+    most = similarity.MOST_CODES
     flagged = lists.join(quality.quality_flags(lists, codes), "list_id").withColumn("name_key", F.lower(F.coalesce("name", F.lit(""))))
     signed = signature.signatures(flagged, codes).withColumn("var_sig", signature.usage_signature(F.col("vars")))
     ordered = codes.groupBy("list_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value", "label"))).alias("c")).select("list_id", F.transform("c", lambda x: F.struct(x["value"].alias("value"), x["label"].alias("label"))).alias("codes"))
-    signed = grouping.written(signed.join(ordered, "list_id", "left").withColumn("codes", F.coalesce("codes", F.array().cast(signature.PAIRS))), "signed")
+    signed = signed.join(ordered, "list_id", "left").withColumn("codes", F.coalesce("codes", F.array().cast(signature.PAIRS)))
+    signed = counters.written(signed, "signed", codelists=F.count("*"), placeholder=F.count_if(F.array_contains("quality_flags", "placeholder")), excluded_over_max_codes=F.count_if(F.col("n_codes") > most))
     fuzzy = grouping.written(similarity.fuzzy_pairs(signed), "fuzzy")
     semantic = None if embed is None else grouping.written(judging.semantic_phases(signed, embed), "semantic")
     found = candidates.assemble(
         signature.exact_groups(signed), fuzzy.where("level = 'detected'").select("a", "b", "score"), signature.business_groups(signed), signature.label_groups(signed), signature.usage_groups(signed), semantic
     )
-    most = similarity.MOST_CODES
     large = similarity.fuzzy_excluded(signed).agg(F.count("*").alias("n")).where("n > 0")
     warnings = large.select(F.lit("fuzzy").alias("phase"), F.lit("partial").alias("status"), F.format_string(f"%d lists of more than {most} codes left out", "n").alias("reason"))
     if semantic is None:
         warnings = warnings.unionByName(lists.sparkSession.createDataFrame([("semantic", "skipped", "no function to embed texts")], WARNING))
-    return {"lists": signed, "fuzzy": fuzzy, "candidates": grouping.written(found, "candidates"), "warnings": warnings} | ({} if semantic is None else {"semantic": semantic})
+    found = counters.written(found, "candidates", candidates=F.count("*"))
+    return {"lists": signed, "fuzzy": fuzzy, "candidates": found, "warnings": warnings, "summary": counters.summary()} | ({} if semantic is None else {"semantic": semantic})
 
 
 def run_operation(lists: DataFrame, codes: DataFrame, state: dict[str, DataFrame] | None = None, embed: Callable | None = None) -> dict[str, DataFrame]:
@@ -51,7 +72,8 @@ def run_operation(lists: DataFrame, codes: DataFrame, state: dict[str, DataFrame
         lists = lists.join(known, "list_id", "left").withColumn("origin", F.coalesce("origin", F.lit("xml")))
     else:
         lists = lists.withColumn("origin", F.lit("xml"))
-    found = detect(lists, codes, embed)
+    counters = Counters(lists.sparkSession)
+    found = detect(lists, codes, embed, counters)
     ranked = found["lists"].select("list_id", "ord", "origin", F.lit(False).alias("preferred"))
     registry = grouping.written(grouping.registry(found["candidates"], ranked), "registry")
     members = registry.where("id <> parent_id").withColumn("decision", F.lit("pending"))
@@ -59,7 +81,8 @@ def run_operation(lists: DataFrame, codes: DataFrame, state: dict[str, DataFrame
         members = review.apply_decisions(members, state["store"])
     else:
         members = members.withColumn("decision_carried", F.lit(False))
-    return found | {"registry": registry, "members": grouping.written(members, "run-members")}
+    members = counters.written(members, "run-members", decisions_carried=F.count_if("decision_carried"))
+    return found | {"registry": registry, "members": members, "summary": counters.summary()}
 
 
 def close_review(members: DataFrame, state: dict[str, DataFrame], as_of: str) -> dict[str, DataFrame]:
