@@ -59,23 +59,43 @@ def stats_by_type(members: DataFrame) -> DataFrame:
     return members.select(F.explode("detection_types").alias("detection_type")).groupBy("detection_type").agg(F.count("*").alias("n"))
 
 
-def browse(groups: DataFrame, members: DataFrame, decision: str | None = None, search: str = "", by: str = "duplicates", page: int = 1, per_page: int = 20) -> DataFrame:
-    """A page of groups: filtered by decision and text, sorted, with its rank and the total count."""
+def _browsed(groups: DataFrame, members: DataFrame, decision: str | list[str] | None, search: str) -> DataFrame:
+    """Groups with ``n_duplicates`` that a filter by decisions (of any of their members) and text leaves.
+
+    Text is looked for in names; a group without a name has the start of its id, a member
+    without one (or a table of members without names) its id.
+    """
+    wanted = [decision] if isinstance(decision, str) else decision
+    some = bool(wanted) and set(wanted) != {"approve", "reject", "pending"}
+    named = lambda df, short: F.lower(F.coalesce(F.nullif(F.col("name"), F.lit("")), short) if "name" in df.columns else short)
+    has = lambda text: F.contains(text, F.lit(search.lower()))
     found = members.groupBy("parent_id").agg(
-        F.count("*").alias("n_duplicates"), F.max((F.col("decision") == decision) if decision else F.lit(True)).alias("decided"),
-        F.max(F.contains(F.lower(F.col("id").cast("string")), F.lit(search.lower()))).alias("hit"),
+        F.count("*").alias("n_duplicates"), F.max(F.col("decision").isin(wanted) if some else F.lit(True)).alias("decided"), F.max(has(named(members, F.col("id").cast("string")))).alias("hit")
     )
     rows = groups.join(found, "parent_id", "left").withColumn("n_duplicates", F.coalesce("n_duplicates", F.lit(0).cast("long")))
-    if decision:
+    if some:
         rows = rows.where(F.coalesce("decided", F.lit(False)))
     if search:
-        rows = rows.where(F.contains(F.lower("name"), F.lit(search.lower())) | F.coalesce("hit", F.lit(False)))
+        rows = rows.where(has(named(groups, F.substring(F.col("parent_id").cast("string"), 1, 10))) | F.coalesce("hit", F.lit(False)))
+    return rows
+
+
+def browse(groups: DataFrame, members: DataFrame, decision: str | list[str] | None = None, search: str = "", by: str = "duplicates", page: int = 1, per_page: int = 20) -> DataFrame:
+    """A page of groups, filtered and sorted: ``parent_id, name, ord, n_duplicates`` and, if groups have ``vars``, how many there are and the first five."""
+    rows = _browsed(groups, members, decision, search)
     order = [F.desc("n_duplicates"), "ord"] if by == "duplicates" else [F.lower("name"), "ord"]
+    shown = [F.size("vars").alias("n_vars"), F.slice("vars", 1, 5).alias("vars")] if "vars" in groups.columns else []
     # Only the pages up to this one are sorted out, not the whole table.
-    top = rows.select("parent_id", "name", "ord", "n_duplicates").orderBy(*order).limit(page * per_page)
+    top = rows.select("parent_id", "name", "ord", "n_duplicates", *shown).orderBy(*order).limit(page * per_page)
     return top.offset((page - 1) * per_page)
 
 
+def browse_total(groups: DataFrame, members: DataFrame, decision: str | list[str] | None = None, search: str = "", per_page: int = 20) -> DataFrame:
+    """``total, pages`` of what ``browse`` goes through; there is one page at least."""
+    total = _browsed(groups, members, decision, search).agg(F.count("*").alias("total"))
+    return total.select("total", F.greatest(F.lit(1), F.ceil(F.col("total") / per_page)).cast("long").alias("pages"))
+
+
 def browse_filters(groups: DataFrame, members: DataFrame, which: str) -> DataFrame:
     """``none``: no duplicates, not dismissed; ``dismissed``; ``registry``; ``suspect``: any quality flag."""
     tests = {"dismissed": F.col("dismissed"), "registry": F.col("origin") == "registry", "suspect": F.size("quality_flags") > 0}

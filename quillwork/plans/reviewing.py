@@ -79,6 +79,10 @@ def browse_lists(spark, sf):
     return review.browse(groups(spark, sf), members(spark, sf), "approve", "1", page=2, per_page=10).select("parent_id", "name", "n_duplicates")
 
 
+def browse_total(spark, sf):
+    return review.browse_total(groups(spark, sf), members(spark, sf), ["approve", "pending"], "1", 10)
+
+
 def browse_filters(spark, sf):
     g, m = groups(spark, sf), members(spark, sf)
     out = None
@@ -229,6 +233,8 @@ ORACLES = {
     "entry_lookup": BASE + " SELECT parent_id, name, id, decision FROM g LEFT JOIN m USING (parent_id) WHERE parent_id = 5",
     "browse_lists": BASE + """ SELECT parent_id, name, n AS n_duplicates FROM (SELECT g.parent_id, g.name, g.ord, count(*) AS n, bool_or(decision = 'approve') AS d, bool_or(contains(CAST(id AS VARCHAR), '1')) AS h FROM g JOIN m USING (parent_id) GROUP BY ALL)
         WHERE d AND (h OR contains(lower(name), '1')) ORDER BY n DESC, ord LIMIT 10 OFFSET 10""",
+    "browse_total": BASE + """ SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 10) AS BIGINT)) AS pages
+        FROM (SELECT g.parent_id, g.name, bool_or(decision IN ('approve', 'pending')) AS d, bool_or(contains(CAST(id AS VARCHAR), '1')) AS h FROM g JOIN m USING (parent_id) GROUP BY ALL) WHERE d AND (h OR contains(lower(name), '1'))""",
     "browse_filters": BASE + f""" SELECT 'none' AS which, parent_id FROM g WHERE {NONE} AND parent_id % 3 <> 0 UNION ALL SELECT 'dismissed', parent_id FROM g WHERE parent_id % 3 = 0
         UNION ALL SELECT 'registry', parent_id FROM g WHERE parent_id % 5 = 0 UNION ALL SELECT 'suspect', parent_id FROM g WHERE parent_id % 7 = 0""",
     "dismiss": BASE + " SELECT id, CASE WHEN id NOT IN (SELECT parent_id FROM g) THEN 'not_found' WHEN id IN (SELECT parent_id FROM m) THEN 'skipped' ELSE 'updated' END AS result FROM i",
@@ -267,7 +273,7 @@ ORACLES = {
 }
 
 QUERIES = {f.__name__: f for f in (
-    set_decisions, bulk_decisions, group_decisions, registry_stats, stats_by_type, entry_lookup, browse_lists, browse_filters, dismiss, add_unique, remove_manual, eligible_unique,
+    set_decisions, bulk_decisions, group_decisions, registry_stats, stats_by_type, entry_lookup, browse_lists, browse_total, browse_filters, dismiss, add_unique, remove_manual, eligible_unique,
     update_decisions, apply_decisions, sync_cleaned, replaced_codes, swap_parent, validate_cleaned, migrate_v1, edit_cleaned,
     set_dismissed, add_entries, drop_entries, update_marks, sync_counters, sync_moved, edit_entries,
 )}
