@@ -174,6 +174,7 @@ def judge_prompt(side_a: dict[str, Column], side_b: dict[str, Column]) -> Column
     return F.concat(one("A", side_a), F.lit("\n\n"), one("B", side_b))
 
 
+# What an answer that can't be read says, and (below) the names of an answer's fields.
 UNREADABLE = "Réponse non parseable"
 
 

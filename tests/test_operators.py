@@ -17,13 +17,13 @@ def code_sim(a, b):
 
 
 def test_code_similarity_facts():
-    assert code_sim(cl("a", 10), cl("b", 10)) == 1.0
-    assert code_sim(cl("a", 13), cl("b", 13, 9)) == code_sim(cl("b", 13, 9), cl("a", 13)) == 13 / 22
-    assert code_sim(cl("a", 85), cl("b", 85, 3)) == 85 / 88
-    assert code_sim([("1", "Oui"), ("2", "Non")], [("1", "Oui"), ("2", "Sans objet")]) == 0.5
-    assert code_sim([("A0101", "x"), ("B0101", "y")], [("A0101 ", "x"), ("B0101 ", "y")]) == 1.0
-    assert code_sim([], []) == 1.0 and code_sim([], [("1", "a")]) == 0.0
-    many = lambda s: [(f"valeur{i:04d}{s}", f"label {i}") for i in range(150)]
+    assert code_sim(cl("a", 7), cl("b", 7)) == 1.0
+    assert code_sim(cl("a", 11), cl("b", 11, 6)) == code_sim(cl("b", 11, 6), cl("a", 11)) == 11 / 17
+    assert code_sim(cl("a", 60), cl("b", 60, 2)) == 60 / 62
+    assert code_sim([("n", "North mole"), ("s", "South mole")], [("n", "North mole"), ("s", "Zzz")]) == 0.5
+    assert code_sim([("quay-7", "x"), ("dock-7", "y")], [("quay-7 ", "x"), ("dock-7 ", "y")]) == 1.0
+    assert code_sim([], []) == 1.0 and code_sim([], [("k", "a")]) == 0.0
+    many = lambda s: [(f"bollard{i:03d}{s}", f"no. {i}") for i in range(130)]
     assert code_sim(many(""), many(" ")) == 0.0
 
 
@@ -61,9 +61,9 @@ def test_fuzzy_pairs_by_blocking_are_all_pairs(spark):
 
 
 def test_detected_pair_of_long_lists(spark):
-    lists = lists_of(spark, {"a": cl("a", 229), "b": cl("b", 229, 3)}, {"a": "L_TYPEQU_2024_DIFF", "b": "L_TYPEQU_2024"})
+    lists = lists_of(spark, {"a": cl("a", 170), "b": cl("b", 170, 5)}, {"a": "BERTHS OF 1987, DRAFT", "b": "BERTHS OF 1987"})
     rows = similarity.fuzzy_pairs(lists).collect()
-    assert [(r.a, r.b, r.level, r.code_sim) for r in rows] == [("a", "b", "detected", round(229 / 232, 4))]
+    assert [(r.a, r.b, r.level, r.code_sim) for r in rows] == [("a", "b", "detected", round(170 / 175, 4))]
 
 
 def test_business_and_label_groups(spark):
@@ -81,7 +81,7 @@ def test_business_and_label_groups(spark):
 
 
 def test_quality_flags(spark):
-    named = {"p": [("cf", "Voir dictionnaire des nomenclatures")], "r": [("1", "0 à 7")], "s": [("1", "un"), ("_z", "sans objet")], "n": [("1", "un"), ("2", "deux"), ("3", "code à barres")], "c": [("1", "code quartier"), ("2", "x")], "e": [("/", "rien")]}
+    named = {"p": [("q", "Voir le registre du port")], "r": [("a", "3 à 12")], "s": [("k", "quai"), ("_y", "hors service")], "n": [("a", "quai"), ("b", "môle"), ("c", "code du phare")], "c": [("a", "code du bassin"), ("b", "x")], "e": [("/", "vide")]}
     rows = [(k, v, x) for k, codes in named.items() for v, x in codes]
     codes = spark.createDataFrame([(k, v.lower(), x.lower()) for k, v, x in rows], "list_id string, value string, label string")
     lists = spark.createDataFrame([(k,) for k in [*named, "none"]], "list_id string")
