@@ -22,6 +22,10 @@ Candidates are checked in two rounds against whole sets: first each node against
 the one it shares most index entries with, then all candidates that still lie in
 different components. A bitmap of a few bits a token rules out most pairs before
 their sets are fetched; it proves what it rules out.
+
+The links of each document are counted on demand: every link lies within a
+component, so the whole sets of each component's nodes are compared, block by
+block, in one pass that emits counts and no pairs.
 """
 
 from __future__ import annotations
@@ -317,10 +321,75 @@ def _family_task(percent: int):
     return reduce
 
 
+#: Tokens held by one set in this many, or by more, are counted as a dense product; columns of it at a time; postings at a time.
+DENSE, COLUMNS, POSTINGS = 16, 4096, 4_000_000
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set in ``a`` with each in ``b``."""
+    size_a, size_b = [len(x) for x in a], [len(x) for x in b]
+    row_a, row_b = np.repeat(np.arange(len(a)), size_a), np.repeat(np.arange(len(b)), size_b)
+    _, number = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    of_a, of_b = number[: len(row_a)], number[len(row_a) :]
+    tokens = int(number.max(initial=-1)) + 1
+    in_a, in_b = np.bincount(of_a, minlength=tokens), np.bincount(of_b, minlength=tokens)
+    order_a, order_b = np.argsort(of_a, kind="stable"), np.argsort(of_b, kind="stable")
+    of_a, row_a, of_b, row_b = of_a[order_a], row_a[order_a], of_b[order_b], row_b[order_b]
+    out = np.zeros((len(a), len(b)), np.int64)
+    both, dense = (in_a > 0) & (in_b > 0), in_b * DENSE >= len(b)
+    column = np.cumsum(both & dense) - 1
+    kept_a, kept_b = (both & dense)[of_a], (both & dense)[of_b]
+    col_a, dense_a, col_b, dense_b = column[of_a[kept_a]], row_a[kept_a], column[of_b[kept_b]], row_b[kept_b]
+    for first in range(0, int((both & dense).sum()), COLUMNS):
+        x, y = np.zeros((len(a), COLUMNS), np.float32), np.zeros((len(b), COLUMNS), np.float32)
+        for matrix, col, row in ((x, col_a, dense_a), (y, col_b, dense_b)):
+            lo, hi = np.searchsorted(col, [first, first + COLUMNS])
+            matrix[row[lo:hi], col[lo:hi] - first] = 1
+        out += (x @ y.T).astype(np.int64)
+    kept_a = (both & ~dense)[of_a]
+    start, rows = (np.cumsum(in_b) - in_b)[of_a[kept_a]], row_a[kept_a]
+    length = in_b[of_a[kept_a]]
+    total = np.concatenate([[0], np.cumsum(length)])
+    at = 0
+    while at < len(rows):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + POSTINGS, "right")) - 1)
+        count = length[at:end]
+        where = np.arange(total[end] - total[at]) - np.repeat(total[at:end] - total[at], count) + np.repeat(start[at:end], count)
+        out += np.bincount(np.repeat(rows[at:end], count) * len(b) + row_b[where], minlength=out.size).reshape(out.shape)
+        at = end
+    return out
+
+
+def _degrees_task(percent: int):
+    """Rows that each set of two blocks of a component is linked with, by whole sets."""
+
+    def reduce(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block, node = table["block"].to_numpy(), table["node"].to_numpy()
+        copies = table["copies"].to_numpy()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["packed"]]
+        n = np.array([len(x) for x in sets])
+        same = key[1].as_py() == key[2].as_py()
+        a, b = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        if not len(a) or not len(b):
+            return pa.table({"node": pa.array([], pa.int64()), "near": pa.array([], pa.int64())})
+        common = common_counts([sets[i] for i in a], [sets[i] for i in b])
+        linked = 100 * common >= percent * (n[a][:, None] + n[b][None, :] - common)
+        if same:
+            np.fill_diagonal(linked, False)
+        nodes, near = node[a], linked @ copies[b]
+        if not same:
+            nodes, near = np.concatenate([nodes, node[b]]), np.concatenate([near, copies[a] @ linked])
+        return pa.table({"node": pa.array(nodes, pa.int64()), "near": pa.array(near.astype(np.int64), pa.int64())})
+
+    return reduce
+
+
 #: Nodes that share an index entry: from this many on, pairs are not listed for each entry but found once for all entries with one hub.
 FAMILY = 32
 #: Nodes of a family that one task compares with as many others.
 BLOCK = 2000
+#: Tokens of a component's nodes in one block, when links are counted.
+BLOCK_TOKENS = 1_000_000
 
 
 class JaccardJoin:
@@ -388,8 +457,23 @@ class JaccardJoin:
         large = dealt.groupBy("rep", "first", "second").applyInArrow(_family_task(self.percent), "a long, b long")
         return written(small.unionByName(large).distinct(), "likely")
 
-    def classes(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """``doc_id, n_shingles, component_id`` for each input row.
+    def degrees(self, comps: DataFrame, texts: DataFrame, by_node: DataFrame) -> DataFrame:
+        """``node, near``: how many rows with another set each node of a component is linked with."""
+        members = written(comps.join(by_node, "node").select("node", "comp", "copies", "n"), "members")
+        sets = self._packed(texts, by_node, members.select("node"), np.ndarray.tobytes, "sets")
+        blocks = members.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+        dealt = (
+            members.join(blocks, "comp").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("comp", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "copies", "packed")
+        )
+        counted = dealt.groupBy("comp", "first", "second").applyInArrow(_degrees_task(self.percent), "node long, near long")
+        return written(counted.groupBy("node").agg(F.sum("near").alias("near")), "degrees")
+
+    def classes(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+        """``doc_id, n_shingles, component_id`` for each input row, and ``n_links`` with ``count_links``.
+
+        ``n_links`` counts the other rows that the row is linked with, copies included.
 
         ``component_id`` is the smallest id that links reach, the own one included.
         Null or wordless texts have no shingles and are linked with nothing. Rows
@@ -413,7 +497,9 @@ class JaccardJoin:
             .applyInArrow(_groups_in_bucket, "gid long, node long, n long, rep long, rep_n long"),
             "groups",
         )
-        by_node = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min(rank_id()).alias("rank"))
+        by_node = rows.where("n_shingles > 0").groupBy("node").agg(
+            F.min("doc_id").alias("least"), F.min(rank_id()).alias("rank"), F.count("*").alias("copies"), F.max("n_shingles").alias("n")
+        )
         comps = None
         near = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
         star = groups.where(F.col("node") != F.col("rep")).where(near(F.col("n"), F.col("rep_n"))).groupBy("node", "rep").agg(F.count("*").alias("shared"))
@@ -433,16 +519,22 @@ class JaccardJoin:
             more = self.links(self._across(label, bitmaps, near), texts, by_node)
             comps = components(links.unionByName(more))
         if comps is None:
-            least = by_node.select("node", F.col("least").alias("component_id"))
+            least = by_node.select("node", F.col("least").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
         else:
             named = by_node.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            least = named.join(named.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
-        found = rows.where("n_shingles > 0").join(written(least, "least"), "node").select("doc_id", "n_shingles", "component_id")
-        return found.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+            least = named.join(named.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id", "copies")
+            if count_links:
+                least = least.join(self.degrees(comps, texts, by_node), "node", "left")
+                least = least.select("node", "component_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+        columns = ["doc_id", "n_shingles", "component_id", *(["n_links"] if count_links else [])]
+        least = written(least.select("node", *columns[2:]), "least")
+        found = rows.where("n_shingles > 0").join(least, "node").select(columns)
+        alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("long"))
+        return found.unionByName(alone.select(columns))
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return JaccardJoin(spark).classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return JaccardJoin(spark).classes(spark.read.parquet(f"{sf_dir}/documents.parquet"), count_links=True)
 
 
 OP10_SQL = r"""
@@ -458,6 +550,8 @@ p AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS nx, any_value(b.n) AS ny
   FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ), l AS (SELECT x, y FROM p WHERE 100 * c >= 75 * (nx + ny - c)),
+d AS (SELECT x AS doc_id, count(*) AS links FROM l GROUP BY 1),
 r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.other = l.x)
-SELECT doc_id, CAST(any_value(len(s)) AS BIGINT) AS n_shingles, min(other) AS component_id FROM r JOIN s USING (doc_id) GROUP BY doc_id
+SELECT doc_id, CAST(any_value(len(s)) AS BIGINT) AS n_shingles, min(other) AS component_id, CAST(coalesce(any_value(links), 0) AS BIGINT) AS n_links
+FROM r JOIN s USING (doc_id) LEFT JOIN d USING (doc_id) GROUP BY doc_id
 """

@@ -2,6 +2,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 
 from quillwork.llm import jaccard
 from quillwork.llm.jaccard import JaccardJoin
@@ -84,3 +85,39 @@ def test_sql_says_the_same(spark):
     con.executemany("insert into documents values (?, ?)", rows)
     found = sorted((r[con_i], r[con_n], r[con_c]) for con_i, con_n, con_c in [(0, 1, 2)] for r in con.execute(jaccard.OP10_SQL).fetchall())
     assert found == brute(rows)
+
+
+def brute_links(rows, k=5, percent=75):
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    linked = lambda x, y: bool(x) and bool(y) and 100 * len(x & y) >= percent * len(x | y)
+    return {d: sum(linked(sets[i], sets[j]) for j in range(len(rows)) if j != i) for i, (d, _) in enumerate(rows)}
+
+
+def test_links_are_counted_as_by_brute_force(spark, monkeypatch):
+    for seed, block in ((7, 2000), (8, 3)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        rows = corpus(seed)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = JaccardJoin(spark).classes(docs, count_links=True).collect()
+        assert {r["doc_id"]: r["n_links"] for r in got} == brute_links(rows), seed
+        assert sorted(tuple(r)[:3] for r in got) == brute(rows), seed
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    assert dict(con.execute(f"select doc_id, n_links from ({jaccard.OP10_SQL})").fetchall()) == brute_links(rows)
+    alone = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, "A b c d e f")], "doc_id long, text string")
+    assert sorted(map(tuple, JaccardJoin(spark).classes(alone, count_links=True).collect())) == [(1, 2, 1, 1), (2, 0, 2, 0), (3, 2, 1, 1)]
+    assert JaccardJoin(spark).classes(docs.limit(0), count_links=True).collect() == []
+
+
+def test_common_counts(monkeypatch):
+    r = np.random.default_rng(3)
+    for dense, columns, postings in ((16, 4096, 4_000_000), (2, 3, 5), (1, 1, 1)):
+        monkeypatch.setattr(jaccard, "DENSE", dense)
+        monkeypatch.setattr(jaccard, "COLUMNS", columns)
+        monkeypatch.setattr(jaccard, "POSTINGS", postings)
+        a, b = ([np.unique(r.integers(0, high, r.integers(0, 30)).astype(np.uint64)) for high in (20, 60, 1000) for _ in range(9)] for _ in range(2))
+        assert jaccard.common_counts(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
