@@ -15,6 +15,8 @@ from .grouping import written
 GRAM = 2
 #: Concepts in one block (more, where there would be too many blocks), blocks at most, and texts of variables in one slice.
 BLOCK, MOST_BLOCKS, SLICE = 64, 4096, 250
+#: Rows with one rare gram that meet in one task; more are dealt out by parts.
+MEET = 2000
 #: Counters of letters.
 LETTERS = 64
 # Weights of label and description, and the score from which a concept is accepted.
@@ -39,7 +41,13 @@ def near_candidates(texts: DataFrame, threshold: float) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram", "nth"))
     prefix = grams.join(df, ["gram", "nth"]).withColumn("at", rank).where("at <= keep")
     side = lambda df, keys, i: df.select(*keys, *(F.col(c).alias(f"{c}{i}") for c in ("id", "ord", "n")))
-    pairs = side(prefix, ["gram", "nth"], "a").join(side(prefix, ["gram", "nth"], "b"), ["gram", "nth"]).where("orda < ordb").where(near(F.col("na"), F.col("nb"))).select("ida", "idb")
+    # A gram of very many texts is dealt out: every two of its parts meet in a task of their own.
+    parts = F.ceil(F.col("df") / MEET).cast("int")
+    dealt = prefix.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.withColumn("first", F.least("part", "other")).withColumn("second", F.greatest("part", "other"))
+    keys = ["gram", "nth", "first", "second"]
+    meeting = side(dealt, [*keys, F.col("part").alias("parta")], "a").join(side(dealt, [*keys, F.col("part").alias("partb")], "b"), keys).where("first = second or parta <> partb")
+    pairs = meeting.where("orda < ordb").where(near(F.col("na"), F.col("nb"))).select("ida", "idb")
     short = side(texts.where(~whole).withColumn("len", F.col("n")), ["len"], "a")
     reach = F.explode(F.sequence(F.ceil(F.col("n") * threshold / (2 - threshold)).cast("int"), F.floor(F.col("n") * (2 - threshold) / threshold).cast("int")))
     other = side(texts.withColumn("len", reach), ["len"], "b")

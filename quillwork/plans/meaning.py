@@ -7,6 +7,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Window
 
 from ..operators import grouping, ingest, judging, quality, semantic, signature
+from ..sources import exports
 from ..sources.snapshots import Snapshots
 from . import operation, views
 from .linking import _lists
@@ -96,6 +97,26 @@ def rml_lines(spark, sf):
     return operation.turtle_lines(pairs, "http://id.example.org")
 
 
+def triples_maps(spark, sf):
+    """Near vectors as numbered maps, labels with their quotes."""
+    own = read(spark, sf, "embeddings").select("vec_id", F.concat(F.lit('class "'), F.col("label").cast("string"), F.lit('"')).alias("label"))
+    pairs = semantic.cosine_pairs(_vectors(spark, sf), THRESHOLD)
+    for i in "ab":
+        uri = F.concat(F.lit("http://id.example.org/"), F.col("vec_id").cast("string"))
+        pairs = pairs.join(own.select(F.col("vec_id").alias(i), uri.alias(f"{i}_uri"), F.col("label").alias(f"{i}_label")), i)
+    return exports.duplicate_maps(pairs, "CodeList", exports.CLOSE).select("n", "text")
+
+
+def profile_document(spark, sf):
+    """Profile of customers' lists and the kinds of events, maps and samples as text."""
+    lists = views.customers(spark, sf).select("list_id", "ord", "name")
+    codes = views.customer_codes(spark, sf).withColumn("pos", F.dense_rank().over(Window.partitionBy("list_id").orderBy("value")))
+    found = exports.profile_document(read(spark, sf, "events").select(F.col("event_type").alias("kind")), lists, codes, "customers")
+    as_text = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    shown = F.array_join(F.transform("code_lists_sample", lambda s: F.concat(s["id"].cast("string"), F.lit(":"), s["codes_count"].cast("string"), F.lit(":"), F.array_join(F.transform(s["codes_preview"], lambda c: c["value"]), ","))), ";")
+    return found.select("source", as_text("fragments_stats").alias("fragments"), "summary.*", "stats.min_codes", "stats.max_codes", F.round("stats.mean_codes", 6).alias("mean_codes"), "stats.median_codes", as_text("distribution").alias("distribution"), shown.alias("sample"))
+
+
 def run_summary(spark, sf):
     lists, codes = views.part_lists(spark, sf), views.part_codes(spark, sf)
     flagged = lists.join(quality.quality_flags(lists, codes), "list_id").withColumn("name_key", F.lit(""))
@@ -128,6 +149,19 @@ PAIRS = """WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS
   p AS (SELECT x.id AS a, y.id AS b, x.label AS la, y.label AS lb, list_cosine_similarity(x.e, y.e) AS score FROM v x JOIN v y ON x.id < y.id WHERE list_cosine_similarity(x.e, y.e) >= 0.3)"""
 ORACLES = {
     "rml_lines": PAIRS + """ SELECT printf('<http://id.example.org/%d> skos:closeMatch <http://id.example.org/%d> ; rdfs:comment "%.4f" .', a, b, round(score, 4)) AS line FROM p""",
+    "triples_maps": PAIRS + """, o AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS n FROM p)
+        SELECT n, printf('ex:CodeListDup%d', n) || chr(10) || '  a rr:TriplesMap ;' || chr(10) || printf('  rr:subjectMap [ rr:constant <http://id.example.org/%d> ] ;', a) || chr(10)
+        || printf('  rr:predicateObjectMap [ rr:predicate skos:closeMatch ; rr:object <http://id.example.org/%d> ] ;', b) || chr(10)
+        || printf('  rr:predicateObjectMap [ rr:predicate ex:similarityScore ; rr:objectMap [ rr:constant "%.3f"^^xsd:decimal ] ] ;', score) || chr(10)
+        || '  rr:predicateObjectMap [ rr:predicate rdfs:label ; rr:objectMap [ rr:constant "class ' || chr(92) || '"' || la || chr(92) || '" ↔ class ' || chr(92) || '"' || lb || chr(92) || '"" ] ] .' AS text FROM o""",
+    "profile_document": f"""WITH k AS ({SQL['customer_codes']}), z AS (SELECT c_custkey AS id, count(value) AS n FROM customer LEFT JOIN k ON list_id = c_custkey GROUP BY 1),
+        b(name, low, high) AS (VALUES ('1-10', 0, 10), ('11-50', 11, 50), ('51-100', 51, 100), ('101-500', 101, 500), ('501-1000', 501, 1000), ('1001-5000', 1001, 5000), ('5000+', 5001, 1000000000)),
+        h AS (SELECT name, count(id) AS n FROM b LEFT JOIN z ON n BETWEEN low AND high GROUP BY 1), e AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1),
+        t AS (SELECT id, n FROM z ORDER BY id LIMIT 20), r AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY value) AS nth FROM k)
+        SELECT 'customers' AS source, (SELECT string_agg(event_type || '=' || n, ';' ORDER BY event_type) FROM e) AS fragments, count(*) AS code_lists, CAST(sum(n) AS BIGINT) AS total_codes,
+        (SELECT count(DISTINCT value) FROM k) AS unique_codes_global, min(n) AS min_codes, max(n) AS max_codes, round(avg(n), 6) AS mean_codes, quantile_cont(n, 0.5) AS median_codes,
+        (SELECT string_agg(name || '=' || n, ';' ORDER BY name) FROM h) AS distribution,
+        (SELECT string_agg(id || ':' || n || ':' || coalesce((SELECT string_agg(value, ',' ORDER BY value) FROM r WHERE list_id = id AND nth <= 5), ''), ';' ORDER BY id) FROM t) AS sample FROM z""",
     "run_summary": f"""WITH part_codes AS ({SQL['part_codes']}), user_versions AS ({SQL['user_versions']}),
         s AS (SELECT list_id, count(*) AS n, bool_or(starts_with(label, 'voir ') AND NOT {ESCAPE_SQL}) AS held FROM part_codes GROUP BY 1),
         c AS (SELECT list_id, held, string_agg(DISTINCT value || '=' || label, ';' ORDER BY value || '=' || label) AS full_, coalesce(string_agg(DISTINCT value || '=' || label, ';' ORDER BY value || '=' || label) FILTER (NOT {ESCAPE_SQL}), '') AS bus,
@@ -155,4 +189,4 @@ ORACLES = {
         q AS (SELECT x.page_id AS a, y.page_id AS b, (SELECT count(*) FROM range(1, least(len(x.s), len(y.s)) + 1) AS i(i) WHERE x.s[1:i] = y.s[1:i]) / greatest(len(x.s), len(y.s)) AS score FROM u x JOIN u y ON x.page_id < y.page_id AND x.s[1] = y.s[1])
         SELECT a, b, round(score, 6) AS score FROM q WHERE score >= 0.8""",
 }
-QUERIES = {f.__name__: f for f in (l2_normalize, cosine_pairs, cosine_list_pairs, judge_topk, pairs_to_candidates, judge_prompt, judge_parse, judged_texts, uid_prefix_pairs, hash_embed, rml_lines, run_summary, based_on_split, two_operations)}
+QUERIES = {f.__name__: f for f in (l2_normalize, cosine_pairs, cosine_list_pairs, judge_topk, pairs_to_candidates, judge_prompt, judge_parse, judged_texts, uid_prefix_pairs, hash_embed, rml_lines, triples_maps, profile_document, run_summary, based_on_split, two_operations)}
