@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
@@ -13,6 +14,8 @@ from .grouping import written
 
 #: Vectors in one block of the pairwise product, and most pivots.
 BLOCK, PIVOTS = 2000, 256
+#: Pairs that a task hands on at once.
+ROWS = 100_000
 
 
 def l2_normalize(vector: Column) -> Column:
@@ -31,7 +34,8 @@ def _cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
                 angle = np.arccos(np.clip(np.stack(frame["v"].to_numpy()) @ pivots.T, -1, 1))
                 yield frame.assign(cell=angle.argmin(1).astype(np.int32), angles=list(angle.astype(np.float32)))
 
-    return rows.mapInPandas(task, "id long, v array<double>, cell int, angles array<float>")
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(task, f"{own}, cell int, angles array<float>")
 
 
 def cell_pairs(ranges: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -50,13 +54,13 @@ def cell_pairs(ranges: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     return out
 
 
-def metric_cells(vectors: DataFrame, threshold: float, block: int = BLOCK) -> tuple[DataFrame, list[int], list[tuple[int, int]]]:
-    """Vectors ``id, v, cell`` in unit length, written; how many each cell has; and the pairs of cells to compare.
+def metric_cells(vectors: DataFrame, threshold: float, block: int = BLOCK, carry: str | None = None) -> tuple[DataFrame, list[int], list[tuple[int, int]]]:
+    """Vectors ``id, v, cell`` (and ``carry``) in unit length, written; how many each cell has; and the pairs of cells to compare.
 
     Pivots are vectors chosen by a hash of their ids, one for half a block of vectors, at
     most PIVOTS of them. They decide what is skipped, not what is found.
     """
-    rows = vectors.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), l2_normalize(F.col("embedding")).alias("v"))
+    rows = vectors.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), l2_normalize(F.col("embedding")).alias("v"), *([carry] if carry else []))
     if threshold > 0:  # zero vectors have no angle, and reach nothing above 0
         rows = rows.where(F.exists("v", lambda x: x != 0))
     rows = written(rows, "unit-vectors")
@@ -73,55 +77,87 @@ def metric_cells(vectors: DataFrame, threshold: float, block: int = BLOCK) -> tu
         sizes[r["cell"]] = r["n"]
         ranges[r["cell"], r["pivot"]] = r["least"], r["most"]
     pairs = [(i, j) for i, j in cell_pairs(ranges, threshold) if sizes[i] and sizes[j]]
-    return celled.select("id", "v", "cell"), sizes, pairs
+    return celled.drop("angles"), sizes, pairs
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def _packed(celled: DataFrame, sizes: list[int], pairs: list[tuple[int, int]], block: int, carry: str | None) -> DataFrame:
+    """``number, meets, cell, ids, v`` (and ``carried``): one row for each block of a cell, vectors as bytes; ``meets`` are the cells to compare it with."""
+    spark = celled.sparkSession
+    meets: dict[int, set[int]] = {}
+    for i, j in pairs:
+        meets.setdefault(i, set()).add(j)
+        meets.setdefault(j, set()).add(i)
+    # One row for each cell.
+    cells = spark.createDataFrame([(i, max(1, -(-sizes[i] // block)), sorted(to)) for i, to in meets.items()], "cell int, blocks int, meets array<int>")
+    dealt = celled.join(F.broadcast(cells), "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = {"meets": [rows["meets"].iloc[0]], "cell": [key[0]], "block": [key[1]], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "v": [np.stack(rows["v"].to_numpy()).astype(np.float64).tobytes()]}
+        return pd.DataFrame(out | ({"carried": [rows[carry].tolist()]} if carry else {}))
+
+    own = f", carried array<{celled.schema[carry].dataType.simpleString()}>" if carry else ""
+    blocks = dealt.groupBy("cell", "block").applyInPandas(pack, f"meets array<int>, cell int, block int, ids binary, v binary{own}")
+    # As many files as there are tasks, so that the product has as many parts as its square.
+    blocks = blocks.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "cell", "block")
+    return written(blocks.withColumn("number", F.xxhash64("cell", "block")), "blocks")
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK, carry: str | None = None) -> DataFrame:
     """``a, b, score`` of all pairs ``a < b`` with unrounded cosine >= ``threshold``.
 
     ``vectors``: ``id, embedding``; null embeddings take no part. Vectors lie in cells
     around pivots, cells in blocks; pairs of cells that are too far apart are skipped,
-    every other pair of blocks is one task's dense product. A row is copied once for
-    each block that it meets.
+    every other pair of blocks is a dense product. Blocks are shuffled once, into a table
+    of one row each, and meet as they are read: what is shuffled and written, but for the
+    pairs, grows with the vectors. With ``carry``, a column of ``vectors``, pairs have it of both: ``carry_a, carry_b``.
     """
-    celled, sizes, pairs = metric_cells(vectors, threshold, block)
+    celled, sizes, pairs = metric_cells(vectors, threshold, block, carry)
     spark = vectors.sparkSession
+    kind = celled.schema[carry].dataType.simpleString() if carry else ""
+    schema = "a long, b long, score double" + (f", `{carry}_a` {kind}, `{carry}_b` {kind}" if carry else "")
     if not pairs:
-        return spark.createDataFrame([], "a long, b long, score double")
-    blocks = [max(1, -(-n // block)) for n in sizes]
-    meets = [(i, i, j, blocks[i], blocks[j]) for i, j in pairs] + [(j, i, j, blocks[i], blocks[j]) for i, j in pairs if i != j]
-    # At most twice the square of PIVOTS rows.
-    meets = F.broadcast(spark.createDataFrame(meets, "cell int, x int, y int, nx int, ny int"))
-    own = celled.join(meets, "cell")
-    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    all_ = lambda n: F.sequence(F.lit(0), n - 1)
-    mine = F.when(F.col("cell") == F.col("x"), place(F.col("nx"))).otherwise(place(F.col("ny")))
-    own = own.withColumn("block", mine).withColumn("other", F.explode(F.when(F.col("cell") == F.col("x"), all_(F.col("ny"))).otherwise(all_(F.col("nx")))))
-    left = F.col("cell") == F.col("x")
-    same = F.col("x") == F.col("y")
-    dealt = own.select(
-        "id", "v", "x", "y", F.when(same, F.least("block", "other")).when(left, F.col("block")).otherwise(F.col("other")).alias("bx"),
-        F.when(same, F.greatest("block", "other")).when(left, F.col("other")).otherwise(F.col("block")).alias("by"), "cell", "block",
-    )
-
-    def product(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x, y, bx, by = key
-        one, two = rows[(rows["cell"] == x) & (rows["block"] == bx)], rows[(rows["cell"] == y) & (rows["block"] == by)]
-        if one.empty or two.empty:
-            return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": "float64"})
-        score = np.stack(one["v"].to_numpy()) @ np.stack(two["v"].to_numpy()).T
-        i, j = np.nonzero(score >= threshold)
-        a, b = one["id"].to_numpy()[i], two["id"].to_numpy()[j]
-        keep = a < b if (x, bx) == (y, by) else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "score": score[i, j][keep]})
-
-    return dealt.groupBy("x", "y", "bx", "by").applyInPandas(product, "a long, b long, score double")
-
-
-def list_pairs(pairs: DataFrame, owners: DataFrame) -> DataFrame:
-    """Best score of each pair of different lists from pairs of their members. ``owners``: ``id, list_id``; unknown ids drop out."""
-    side = lambda i: owners.select(F.col("id").alias(i), F.col("list_id").alias(f"l{i}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("la <> lb")
+        return spark.createDataFrame([], schema)
+    blocks = _packed(celled, sizes, pairs, block, carry)
+    side = lambda s: blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in blocks.columns))
+    earlier = F.struct("number_x", "cell_x", "block_x") <= F.struct("number_y", "cell_y", "block_y")
+    told = [f"{c}_{s}" for s in "xy" for c in ("number", "cell", "block", "ids", "v", *(["carried"] if carry else []))]
+    met = side("x").join(side("y"), earlier & F.array_contains("meets_x", F.col("cell_y"))).select(*told)
+    names = ["a", "b", "score"] + ([f"{carry}_a", f"{carry}_b"] if carry else [])
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {name: batch.column(name) for name in told}
+            for r in range(batch.num_rows):
+                of = lambda name: column[name][r]  # noqa: B023, E731
+                x, y = (np.frombuffer(of(f"ids_{s}").as_buffer(), np.int64) for s in "xy")
+                vx, vy = (np.frombuffer(of(f"v_{s}").as_buffer(), np.float64).reshape(len(ids), -1) for s, ids in (("x", x), ("y", y)))
+                score = vx @ vy.T
+                i, j = np.nonzero(score >= threshold)
+                within = (of("cell_x"), of("block_x")) == (of("cell_y"), of("block_y"))
+                keep = x[i] < y[j] if within else x[i] != y[j]
+                i, j = i[keep], j[keep]
+                if not len(i):
+                    continue
+                first = x[i] < y[j]
+                out = [np.where(first, x[i], y[j]), np.where(first, y[j], x[i]), score[i, j]]
+                out = [pa.array(o) for o in out]
+                if carry:
+                    both = pa.concat_arrays([of("carried_x").values, of("carried_y").values])
+                    j = j + len(x)
+                    out += [both.take(pa.array(np.where(first, i, j))), both.take(pa.array(np.where(first, j, i)))]
+                made = pa.RecordBatch.from_arrays(out, names)
+                yield from (made.slice(at, ROWS) for at in range(0, made.num_rows, ROWS))
+
+    return met.mapInArrow(product, schema)
+
+
+def list_pairs(pairs: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """Best score of each pair of different lists from pairs of their members. ``owners``: ``id, list_id``; unknown ids drop out. Without it ``pairs`` have carried ``list_id_a, list_id_b``."""
+    if owners is None:
+        both = pairs.select("score", F.col("list_id_a").alias("la"), F.col("list_id_b").alias("lb")).where("la <> lb")
+    else:
+        side = lambda i: owners.select(F.col("id").alias(i), F.col("list_id").alias(f"l{i}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where("la <> lb")
     return both.groupBy(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(F.max("score").alias("score"))
 
 

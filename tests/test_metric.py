@@ -1,4 +1,7 @@
+import re
+
 import numpy as np
+import pyspark.sql.functions as F
 import pytest
 
 from quillwork.operators import semantic
@@ -42,3 +45,15 @@ def test_the_triangle_inequality_decides():
 def test_no_vectors(spark):
     assert cosine_pairs(spark.createDataFrame([(1, None)], SCHEMA), 0.5).collect() == []
     assert semantic.PIVOTS > 0
+
+
+def exchanges(df):
+    """Names of the shuffles in the plan of what is not yet written."""
+    return re.findall(r"Exchange (?:hash|range|round)\w*", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_vectors_are_shuffled_before_their_blocks_meet(spark):
+    """What pairs of blocks read is a written table with one row for each block, so it does not grow with their square."""
+    rows = clustered(3)
+    found = cosine_pairs(spark.createDataFrame(rows, SCHEMA).repartition(3), 0.3, block=20)
+    assert exchanges(found) == [] and {(r.a, r.b) for r in found.collect()} == brute(rows, 0.3)
