@@ -186,11 +186,14 @@ def prefix_pairs(lists: DataFrame, threshold: float = 0.5) -> DataFrame:
     ).distinct()
 
 
-def pairs_to_candidates(pairs: DataFrame, judgements: DataFrame | None = None) -> DataFrame:
-    """Candidates from ``a, b, score, phase``; judgements ``a, b, confidence`` count by pair, user-id pairs at most 0.80."""
+def pairs_to_candidates(pairs: DataFrame, judgements: DataFrame | Column | None = None) -> DataFrame:
+    """Candidates from ``a, b, score, phase``; judgements ``a, b, confidence`` count by pair, user-id pairs at most 0.80.
+
+    Judgements that ``pairs`` already hold are given as a column, null where there is none; then nothing is joined.
+    """
     rows = pairs
-    if judgements is None:
-        rows = rows.withColumn("_judged", F.lit(None).cast("double"))
+    if judgements is None or isinstance(judgements, Column):
+        rows = rows.withColumn("_judged", F.lit(None).cast("double") if judgements is None else judgements)
     else:
         rows = rows.join(judgements.select("a", "b", F.col("confidence").alias("_judged")), ["a", "b"], "left")
     by_id = F.col("phase").isin("uid_prefix", "uid_embed")

@@ -71,3 +71,11 @@ def test_a_column_goes_with_its_vectors(spark):
     by_join = best(semantic.list_pairs(cosine_pairs(vectors, 0.5), owners))
     by_carrying = best(semantic.list_pairs(found))
     assert by_join.keys() == by_carrying.keys() and all(abs(by_join[k] - by_carrying[k]) < 1e-12 for k in by_join)
+
+
+def test_judgements_that_pairs_hold_are_not_joined(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.5, "direct"), (1, 3, 0.6, "variable"), (2, 4, 0.95, "uid_embed")], "a long, b long, score double, phase string")
+    judged = F.when(F.col("b") % 2 == 0, 0.91)
+    found = semantic.pairs_to_candidates(pairs, judged)
+    by_join = semantic.pairs_to_candidates(pairs, pairs.select("a", "b", judged.alias("confidence")))
+    assert exchanges(found) == [] and sorted(found.collect()) == sorted(by_join.collect())
