@@ -67,13 +67,47 @@ def code_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([match_codes(x, y) for x, y in zip(a, b, strict=True)])
 
 
-def plain_codes(values: Column, near: Column) -> Column:
-    """Whether no two codes of a list share a value, nor has any a near one elsewhere."""
-    return near.isNull() & (F.size(F.array_distinct(values)) == F.size(values))
+def whole_classes(near: DataFrame) -> DataFrame:
+    """``value, class``: values of ``near (value, near)`` that match each other, all of them and both ways, and no others; at most ``MOST_ALIKE`` of them."""
+
+    @F.pandas_udf("boolean")
+    def match(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([min(_ratio(x, y), _ratio(y, x)) >= NEAR_VALUE for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    few = near.groupBy("value").agg(F.count("*").alias("n")).where(F.col("n") < MOST_ALIKE)
+    sure = near.join(few.select("value"), "value", "left_semi").withColumn("match", match("value", "near"))
+    around = sure.groupBy("value").agg(F.collect_set("near").alias("others"), F.bool_and("match").alias("match")).where("match")
+    around = around.select("value", F.array_sort(F.array_append("others", F.col("value"))).alias("alike"))
+    # Values that are all around each other have the same values around them.
+    whole = around.groupBy("alike").agg(F.count("*").alias("n")).where(F.col("n") == F.size("alike"))
+    return around.join(whole, "alike", "left_semi").select("value", F.col("alike")[0].alias("class"))
+
+
+def list_sides(lists: DataFrame, near: DataFrame) -> DataFrame:
+    """What most pairs need of ``lists``: ``list_id, name, n_codes, plain, values, pairs``.
+
+    ``values`` and ``pairs`` (with the label) are hashes, of a value that matches others
+    those of its class. A list is ``plain`` if no two of its codes can be partners of the same
+    code, so that there is nothing to assign: no two share a value or class, and no value is
+    near others without a class of its own.
+    """
+    told = ["list_id", "name", "n_codes"]
+    if near.isEmpty():
+        values, pairs = F.transform("codes.value", lambda v: F.xxhash64(v)), F.transform("codes", lambda c: F.xxhash64(c["value"], F.lower(c["label"])))
+        return lists.select(*told, (F.size(F.array_distinct("codes.value")) == F.size("codes")).alias("plain"), values.alias("values"), pairs.alias("pairs"))
+    known = written(near.select("value").distinct().join(whole_classes(near), "value", "left").withColumn("near", F.lit(True)), "near-classes")
+    known = F.broadcast(known) if known.count() <= SMALL else known
+    codes = lists.select(*told, F.explode("codes").alias("c")).select(*told, "c.value", F.lower("c.label").alias("label")).join(known, "value", "left")
+    # Leftover codes find near partners only up to PAIRWISE a side.
+    settled = F.col("near").isNull() | (F.col("class").isNotNull() & (F.col("n_codes") <= PAIRWISE))
+    codes = codes.select(*told, settled.alias("settled"), F.coalesce("class", "value").alias("value"), "label")
+    return codes.groupBy(*told).agg(
+        (F.bool_and("settled") & (F.count("value") == F.countDistinct("value"))).alias("plain"), F.collect_list(F.xxhash64("value")).alias("values"), F.collect_list(F.xxhash64("value", "label")).alias("pairs")
+    )
 
 
 def settled_similarity(side: str, other: str) -> Column:
-    """Code similarity of two plain lists whose equal values have equal labels, null for others: what ``match_codes`` finds, without it.
+    """Code similarity of two plain lists whose matching values have equal labels, null for others: what ``match_codes`` finds, without it.
 
     Columns of each side: ``plain``, ``values`` and ``pairs`` (values with lower-case labels) as hashes, ``n_codes``.
     """
@@ -162,9 +196,7 @@ def fuzzy_pairs(lists: DataFrame, inspect: float = INSPECT, detect: float = DETE
     values = lists.select("list_id", F.explode("codes.value").alias("value"))
     around = values.join(near, "value").groupBy("list_id").agg(F.collect_set("near").alias("near"))
     # What most pairs need is narrow: values and pairs as hashes. Codes are fetched for the pairs that those don't settle.
-    hashed = F.transform("codes", lambda c: F.xxhash64(c["value"], F.lower(c["label"])))
-    own = lists.join(around, "list_id", "left").select("list_id", "name", "n_codes", plain_codes(F.col("codes.value"), F.col("near")).alias("plain"), F.transform("codes.value", lambda v: F.xxhash64(v)).alias("values"), hashed.alias("pairs"))
-    own = written(own, "fuzzy-sides")
+    own = written(list_sides(lists, near), "fuzzy-sides")
     side = lambda i: own.select(F.col("list_id").alias(f"id{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("name", "n_codes", "plain", "values", "pairs")))
     pairs = candidate_pairs(lists, near).join(side("a"), "ida").join(side("b"), "idb").withColumn("settled", settled_similarity("a", "b"))
     pairs = written(pairs.where(F.coalesce("settled", F.lit(1.0)) >= LEAST_CODE_SIM).select("ida", "idb", "namea", "nameb", "settled"), "fuzzy-candidates")

@@ -60,6 +60,31 @@ def test_fuzzy_pairs_by_blocking_are_all_pairs(spark):
     assert got == want and len(want) > 10
 
 
+def test_near_values_of_a_class_of_their_own_are_settled_without_workers(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("codes assigned one by one")
+
+    word = lambda j: "".join(chr(97 + (j * 7 + k * k) % 26) for k in range(14))
+    named = {f"l{i}": [(word(j) + "x" * (i % 2), f"label {j}") for j in range(i % 3, i % 3 + 6 + i % 4)] for i in range(14)}
+    lists = lists_of(spark, named)
+    near = similarity.list_near_values(lists)
+    whole = {r.value: r["class"] for r in similarity.whole_classes(near).collect()}
+    assert whole and all(c == v.removesuffix("x") if v.endswith("x") else c == v for v, c in whole.items())
+    want = {(a, b): code_sim(named[a], named[b]) for a in named for b in named if a != b}
+    monkeypatch.setattr(similarity, "code_similarity", F.pandas_udf(never, "double"))
+    found = similarity.fuzzy_pairs(lists).collect()
+    assert len(found) > 5 and any((int(r.a[1:]) + int(r.b[1:])) % 2 for r in found) and all(r.code_sim == round(want[r.a, r.b], 4) for r in found)
+
+
+def test_values_that_match_some_of_their_class_are_no_class(spark):
+    """The middle one matches both others, which do not match: codes have to be assigned."""
+    named = {"a": [("abcdefghijkl", "x"), ("q", "y")], "b": [("abcdefghijklmn", "x"), ("q", "y")], "c": [("abcdefghijklmnop", "x"), ("q", "y")]}
+    near = similarity.list_near_values(lists_of(spark, named))
+    assert near.count() == 4 and similarity.whole_classes(near).count() == 0
+    own = {r.list_id: r.plain for r in similarity.list_sides(lists_of(spark, named), near).collect()}
+    assert own == {"a": False, "b": False, "c": False}
+
+
 def test_detected_pair_of_long_lists(spark):
     lists = lists_of(spark, {"a": cl("a", 170), "b": cl("b", 170, 5)}, {"a": "BERTHS OF 1987, DRAFT", "b": "BERTHS OF 1987"})
     rows = similarity.fuzzy_pairs(lists).collect()
