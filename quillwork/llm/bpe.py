@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .shared import bounded_batches, text_or_empty
 
-#: Pre-tokens that a worker remembers before it starts over.
-MEMORY = 60_000
+#: Pre-tokens that a worker learns before it forgets those that it has not met since the last so many.
+MEMORY = 100_000
 
 
 def byte_letters() -> list[str]:
@@ -77,18 +77,32 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.letters = byte_letters()
         self.back = {c: b for b, c in enumerate(self.letters)}
+        self.table = dict(enumerate(self.letters))
+        self.tokens: dict[int, bytes] = {}
         self.pieces: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+
+    def token(self, i: int) -> bytes:
+        """Bytes of one id, read from its piece once."""
+        found = self.tokens.get(i)
+        if found is None:
+            found = self.tokens[i] = bytes([self.back[c] for c in self.model.id_to_piece(int(i) + 1)])
+        return found
 
     def bytes_of(self, ids) -> bytes:
-        back = self.back
-        return bytes(back[c] for i in ids for c in self.model.id_to_piece(int(i) + 1))
+        return b"".join([self.token(i) for i in ids])
 
     def learn(self, words: set[str]) -> None:
         if len(self.pieces) + len(words) > MEMORY:
-            self.pieces.clear()
-        table = {b: c for b, c in enumerate(self.letters)}
-        todo = [w for w in words if w not in self.pieces]
-        mapped = [w.encode("utf-8").decode("latin-1").translate(table) for w in todo]
+            self.pieces, self.older = {}, self.pieces
+        todo = []
+        for w in words:
+            if w not in self.pieces:
+                if w in self.older:
+                    self.pieces[w] = self.older[w]
+                else:
+                    todo.append(w)
+        mapped = [w.encode("utf-8").decode("latin-1").translate(self.table) for w in todo]
         for w, ids in zip(todo, self.model.encode(mapped, num_threads=1), strict=True):
             own = tuple(i - 1 for i in ids)
             self.pieces[w] = own, ",".join(map(str, own)), self.bytes_of(own)
