@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .shared import bounded_batches, text_or_empty
 
 #: Pre-tokens that a worker learns before it forgets those that it has not met since the last so many.
-MEMORY = 100_000
+MEMORY = 200_000
 
 
 def byte_letters() -> list[str]:
