@@ -21,6 +21,8 @@ MOST_CODES, PAIRWISE = 5000, 100
 LEAST_CODE_SIM, INSPECT, DETECT, MATCH = 0.75, 0.80, 0.90, 0.65
 #: What of a score goes by the names of two lists; half of the last digit of scores, which are compared as rounded.
 NAME_SHARE, HALF_DIGIT = 0.4, 0.00005
+#: What to inspect from where detected pairs alone are wanted.
+DETECTED = DETECT - HALF_DIGIT
 #: Values of fewer characters match only when they are equal; unequal ones match from this ratio.
 LONG_VALUE, NEAR_VALUE = 5, 0.9
 #: Most values that one class of connected values stands for.
@@ -227,7 +229,7 @@ def fuzzy_pairs(lists: DataFrame, inspect: float = INSPECT, detect: float = DETE
 
 def detected_pairs(lists: DataFrame) -> DataFrame:
     """The pairs of ``fuzzy_pairs`` whose level is detected, without looking for the others."""
-    return fuzzy_pairs(lists, DETECT - HALF_DIGIT).where("level = 'detected'")
+    return fuzzy_pairs(lists, DETECTED).where("level = 'detected'")
 
 
 def pair_details(pairs: DataFrame, lists: DataFrame) -> DataFrame:

@@ -32,21 +32,23 @@ class Counters:
 WARNING = "phase string, status string, reason string"
 
 
-def detect(lists: DataFrame, codes: DataFrame, embed: Callable | None = None, counters: Counters | None = None) -> dict[str, DataFrame]:
+def detect(lists: DataFrame, codes: DataFrame, embed: Callable | None = None, counters: Counters | None = None, inspect: float = similarity.INSPECT) -> dict[str, DataFrame]:
     """Signatures, all detection phases and candidates of ``lists (list_id, ord, name, vars)`` and normalised ``codes``.
 
     ``embed``, texts to vectors, is what the semantic phases need; without it they are
     left out, which ``warnings (phase, status, reason)`` says. Lists with too many codes
-    for the fuzzy phase are warned of too. ``summary`` has the counters of ``run_summary``.
+    for the fuzzy phase are warned of too. ``fuzzy`` has the pairs from ``inspect`` on; candidates need
+    the detected ones alone (``similarity.DETECTED``). ``summary`` has the counters of ``run_summary``.
     """
     counters = counters or Counters(lists.sparkSession)
     most = similarity.MOST_CODES
+    codes = grouping.written(codes, "codes")  # read three times below
     flagged = lists.join(quality.quality_flags(lists, codes), "list_id").withColumn("name_key", F.lower(F.coalesce("name", F.lit(""))))
     signed = signature.signatures(flagged, codes).withColumn("var_sig", signature.usage_signature(F.col("vars")))
     ordered = codes.groupBy("list_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value", "label"))).alias("c")).select("list_id", F.transform("c", lambda x: F.struct(x["value"].alias("value"), x["label"].alias("label"))).alias("codes"))
     signed = signed.join(ordered, "list_id", "left").withColumn("codes", F.coalesce("codes", F.array().cast(signature.PAIRS)))
     signed = counters.written(signed, "signed", codelists=F.count("*"), placeholder=F.count_if(F.array_contains("quality_flags", "placeholder")), excluded_over_max_codes=F.count_if(F.col("n_codes") > most))
-    fuzzy = grouping.written(similarity.fuzzy_pairs(signed), "fuzzy")
+    fuzzy = grouping.written(similarity.fuzzy_pairs(signed, inspect), "fuzzy")
     semantic = None if embed is None else grouping.written(judging.semantic_phases(signed, embed), "semantic")
     found = candidates.assemble(
         signature.exact_groups(signed), fuzzy.where("level = 'detected'").select("a", "b", "score"), signature.business_groups(signed), signature.label_groups(signed), signature.usage_groups(signed), semantic
@@ -59,7 +61,7 @@ def detect(lists: DataFrame, codes: DataFrame, embed: Callable | None = None, co
     return {"lists": signed, "fuzzy": fuzzy, "candidates": found, "warnings": warnings, "summary": counters.summary()} | ({} if semantic is None else {"semantic": semantic})
 
 
-def run_operation(lists: DataFrame, codes: DataFrame, state: dict[str, DataFrame] | None = None, embed: Callable | None = None) -> dict[str, DataFrame]:
+def run_operation(lists: DataFrame, codes: DataFrame, state: dict[str, DataFrame] | None = None, embed: Callable | None = None, inspect: float = similarity.INSPECT) -> dict[str, DataFrame]:
     """One run: earlier cleaned lists first, then detection, registry, carried decisions, new state.
 
     ``state``: ``cleaned (list_id)``, ``replaces (parent_id, id)``, ``store (key,
@@ -73,7 +75,7 @@ def run_operation(lists: DataFrame, codes: DataFrame, state: dict[str, DataFrame
     else:
         lists = lists.withColumn("origin", F.lit("xml"))
     counters = Counters(lists.sparkSession)
-    found = detect(lists, codes, embed, counters)
+    found = detect(lists, codes, embed, counters, inspect)
     ranked = found["lists"].select("list_id", "ord", "origin", F.lit(False).alias("preferred"))
     registry = grouping.written(grouping.registry(found["candidates"], ranked), "registry")
     members = registry.where("id <> parent_id").withColumn("decision", F.lit("pending"))
@@ -98,7 +100,7 @@ def close_review(members: DataFrame, state: dict[str, DataFrame], as_of: str) ->
 NO_STATE = {"cleaned": "list_id {id}", "replaces": "parent_id {id}, id {id}", "store": "key string, decision string, updated_at string"}
 
 
-def stored_operation(store: Snapshots, run_id: str, lists: DataFrame, codes: DataFrame, judge: Callable[[DataFrame], DataFrame], as_of: str) -> dict[str, DataFrame]:
+def stored_operation(store: Snapshots, run_id: str, lists: DataFrame, codes: DataFrame, judge: Callable[[DataFrame], DataFrame], as_of: str, inspect: float = similarity.INSPECT) -> dict[str, DataFrame]:
     """One run on stored state: read, detect, review with ``judge`` (members to members with decisions), commit.
 
     Returns the run's tables. The store is as it was until the last step, and stays so if
@@ -111,7 +113,7 @@ def stored_operation(store: Snapshots, run_id: str, lists: DataFrame, codes: Dat
     if state is None:
         kind = lists.schema["list_id"].dataType.simpleString()
         state = {name: store.spark.createDataFrame([], shape.format(id=kind)) for name, shape in NO_STATE.items()}
-    found = run_operation(lists, codes, {name: state[name] for name in NO_STATE})
+    found = run_operation(lists, codes, {name: state[name] for name in NO_STATE}, inspect=inspect)
     members = grouping.written(judge(found["members"]), "judged")
     after = close_review(members, state, as_of)
     store.commit(run_id, after | {"registry": found["registry"], "members": members}, base)

@@ -1,6 +1,7 @@
 import pyspark.sql.functions as F
 import pytest
 
+from quillwork.operators import similarity
 from quillwork.plans import operation
 from quillwork.sources.snapshots import Conflict, Snapshots
 
@@ -83,3 +84,24 @@ def test_operations_over_stored_state(spark, tmp_path):
     second = operation.stored_operation(store, "two", lists, each, lambda m: m, "2026-02-01")
     found = {(r.parent_id, r.id): (r.decision, r.decision_carried) for r in second["members"].collect()}
     assert found["a", "c"] == ("reject", True) and ("a", "b") not in found and store.versions() == [1, 2]
+
+
+def test_a_run_makes_its_codes_once_and_candidates_need_detected_pairs_alone(spark):
+    alike = {f"l{i}": "abcdefghijkl"[: 7 + i % 6] for i in range(12)}
+    lists = spark.createDataFrame([(k, i, "list", []) for i, k in enumerate(alike)], "list_id string, ord long, name string, vars array<string>")
+    made = spark.sparkContext.accumulator(0)
+
+    def label(rows):
+        for batch in rows:
+            made.add(len(batch))
+            yield batch
+
+    each = [(k, p, v, f"label {v}") for k, values in alike.items() for p, v in enumerate(values)]
+    shape = "list_id string, pos int, value string, label string"
+    codes = spark.createDataFrame(each, shape).mapInPandas(label, shape)
+    tables = [operation.detect(lists, codes, inspect=inspect) for inspect in (similarity.INSPECT, similarity.DETECTED)]
+    assert made.value == 2 * len(each)
+    whole, detected = (sorted(tuple(r) for r in t["candidates"].collect()) for t in tables)
+    assert whole == detected and any(r[2] == "fuzzy" for r in whole)
+    levels = [{r.level for r in t["fuzzy"].collect()} for t in tables]
+    assert levels == [{"inspect", "detected"}, {"detected"}]
